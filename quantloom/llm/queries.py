@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantloom.llm import langid, packing
+from quantloom.llm import langid, packing, simhash
 from quantloom.llm.common import bucket_of
 
 
@@ -12,6 +12,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(bucket_of("doc_id", 4) != 2))
@@ -22,5 +26,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op9_language_id, op10_packing)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op9_language_id, op10_packing)}
 ORACLE_SQL: dict[str, str] = {}

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quantloom.llm import exactdedup, langid, packing, simhash
+from quantloom.llm import exactdedup, langid, packing, simhash, substrings
 from quantloom.llm.common import bucket_of
 
 
@@ -20,6 +21,11 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.groups(_table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.cut_repeats(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(bucket_of("doc_id", 4) != 2))
@@ -30,7 +36,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_exact_dedup, op9_language_id, op10_packing)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_exact_dedup, op5_substring_dedup, op9_language_id, op10_packing)}
 ORACLE_SQL = {
     "op3_exact_dedup": """
         WITH t AS (

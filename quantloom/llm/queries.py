@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import exactdedup, langid, packing, simhash, substrings
+from quantloom.llm import ann, exactdedup, langid, packing, simhash, substrings, toxicity
 from quantloom.llm.common import bucket_of
 
 
@@ -21,11 +21,23 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.groups(_table(spark, sf_dir, "documents"))
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.cut_repeats(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    train = docs.select("doc_id", "text").join(labels.select("doc_id", "toxic").where(bucket_of("doc_id", 5) != 0), "doc_id")
+    out = toxicity.score(docs, toxicity.fit(train))
+    return out.select("doc_id", (bucket_of("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(bucket_of("doc_id", 4) != 2))
@@ -36,7 +48,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_exact_dedup, op5_substring_dedup, op9_language_id, op10_packing)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_exact_dedup, op4_nearest, op5_substring_dedup, op6_toxicity, op9_language_id, op10_packing)}
 ORACLE_SQL = {
     "op3_exact_dedup": """
         WITH t AS (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import ann, exactdedup, langid, packing, simhash, substrings, toxicity
+from quantloom.llm import ann, exactdedup, langid, packing, pieces, simhash, substrings, tokencounts, toxicity
 from quantloom.llm.common import bucket_of
 
 
@@ -38,6 +38,20 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (bucket_of("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document, and after the edits that mask its personal data."""
+    return tokencounts.counts(tokencounts.with_masks(_table(spark, sf_dir, "documents")))
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    ids = pieces.encode(docs, carry=("text_sha256",))
+    ids = ids.select("doc_id", "ids", "text_sha256", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    text = pieces.decode(ids, carry=("text_sha256", "n_tokens", "ids_crc32"))
+    return text.select("doc_id", "n_tokens", "ids_crc32", (F.sha2("text", 256) == F.col("text_sha256")).alias("round_trip"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(bucket_of("doc_id", 4) != 2))
@@ -48,7 +62,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_exact_dedup, op4_nearest, op5_substring_dedup, op6_toxicity, op9_language_id, op10_packing)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_exact_dedup, op4_nearest, op5_substring_dedup, op6_toxicity, op7_token_counts, op8_sentencepiece, op9_language_id, op10_packing)}
 ORACLE_SQL = {
     "op3_exact_dedup": """
         WITH t AS (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import ann, exactdedup, langid, packing, pieces, simhash, substrings, tokencounts, toxicity
+from quantloom.llm import ann, exactdedup, langid, packing, pieces, secrets, simhash, substrings, tokencounts, toxicity
 from quantloom.llm.common import bucket_of
 
 
@@ -13,6 +13,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(_table(spark, sf_dir, "documents"), secrets.fit(spark))
+    return found.select("doc_id", "start", "end", "kind", F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -62,7 +67,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_exact_dedup, op4_nearest, op5_substring_dedup, op6_toxicity, op7_token_counts, op8_sentencepiece, op9_language_id, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_simhash, op3_exact_dedup, op4_nearest, op5_substring_dedup, op6_toxicity, op7_token_counts, op8_sentencepiece, op9_language_id, op10_packing)}
 ORACLE_SQL = {
     "op3_exact_dedup": """
         WITH t AS (

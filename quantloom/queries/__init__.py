@@ -23,12 +23,12 @@ class Catalog:
 
         def finish(spark: SparkSession, sf_dir: str) -> DataFrame:
             df = fn(spark, sf_dir)
-            return df.select(*(F.round(F.col(c.lstrip("~")).cast("double"), 10 if c[1] == "~" else 6).alias(c.lstrip("~")) if c[0] == "~" else F.col(c.split(":")[0]).cast(c.split(":")[1]).alias(c.split(":")[0]) if ":" in c else F.col(c) for c in names))
+            return df.select(*((F.round(F.col(c.lstrip("~")).cast("double"), 10 if c[1] == "~" else 6) + F.lit(0.0)).alias(c.lstrip("~")) if c[0] == "~" else F.col(c.split(":")[0]).cast(c.split(":")[1]).alias(c.split(":")[0]) if ":" in c else F.col(c) for c in names))
 
         self.queries[name] = finish
         if sql:
             kinds = {"long": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "date": "DATE", "string": "VARCHAR"}
-            shown = ", ".join(f"round(CAST({c.lstrip('~')} AS DOUBLE), {10 if c[1] == '~' else 6}) AS {c.lstrip('~')}" if c[0] == "~" else f"CAST({c.split(':')[0]} AS {kinds[c.split(':')[1]]}) AS {c.split(':')[0]}" if ":" in c else c for c in names)
+            shown = ", ".join(f"round(CAST({c.lstrip('~')} AS DOUBLE), {10 if c[1] == '~' else 6}) + 0.0 AS {c.lstrip('~')}" if c[0] == "~" else f"CAST({c.split(':')[0]} AS {kinds[c.split(':')[1]]}) AS {c.split(':')[0]}" if ":" in c else c for c in names)
             self.sql[name] = f"{'WITH ' + ctes if ctes else ''} SELECT {shown} FROM ({sql})"
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from quantloom.operators import options as O
 from quantloom.operators import ticks as T
 from quantloom.operators import workflow as A
+from quantloom.functions import scalars as S
+from quantloom.plans import charts
 from quantloom.queries import Catalog
 from quantloom.queries.bar_queries import AGE
 from quantloom.queries.sql import CONTRACTS, SMOOTH
@@ -58,3 +60,10 @@ def register(c: Catalog) -> None:
     c.add("key_levels", lambda s, d: A.key_levels(smooth(s, d)), "symbol level ~value rank:long", SMOOTH, f"""SELECT symbol, level, value, row_number() OVER (PARTITION BY symbol ORDER BY abs(value / close - 1), level) AS rank FROM (UNPIVOT (
         SELECT symbol, max_by(close, date) AS close, max(high) FILTER (age BETWEEN 2 AND 22) AS vah, min(low) FILTER (age BETWEEN 2 AND 22) AS val, quantile_cont(close, 0.5) FILTER (age BETWEEN 2 AND 22) AS poc, max(high) AS high_252, min(low) AS low_252, max(high) FILTER (age <= 21) AS high_21, min(low) FILTER (age <= 21) AS low_21
         FROM (SELECT *, {AGE} FROM bars) WHERE age <= 252 GROUP BY symbol) ON vah, val, poc, high_252, low_252, high_21, low_21 INTO NAME level VALUE value)""")
+    c.add("bundle_windows", lambda s, d: charts.windows(smooth(s, d)).groupBy("window", "symbol").agg(F.count("*").alias("n"), F.max("high").alias("high")), "window symbol n:long ~high", SMOOTH, """SELECT w AS "window", symbol, count(*) AS n, max(high) AS high FROM bars JOIN (SELECT symbol, max(date) AS last FROM bars GROUP BY symbol) USING (symbol),
+        (VALUES ('1mo', 1), ('3mo', 3), ('1y', 12)) AS t(w, m) WHERE date > CAST(last - to_months(CAST(m AS INTEGER)) AS DATE) GROUP BY ALL""")
+    c.sql["bundle_windows"] = c.sql["bundle_windows"].replace("SELECT window,", 'SELECT "window",', 1)
+    c.add("session_bucket_eastern", lambda s, d: ticks(s, d).select("event_id", *(S.session_bucket(F.col("ts").cast("timestamp"), i).cast("timestamp_ntz").alias(n) for i, n in (("15m", "m15"), ("1d", "day"), ("1w", "week")))), "event_id m15 day week", "", """SELECT event_id, time_bucket(INTERVAL 15 MINUTE, ts) AS m15,
+        date_trunc('day', ts - INTERVAL 5 HOUR) + INTERVAL 5 HOUR AS day, date_trunc('week', ts - INTERVAL 5 HOUR) + INTERVAL 5 HOUR AS week FROM events""")
+    c.add("epoch_units", lambda s, d: ticks(s, d).select("event_id", S.from_epoch(F.unix_millis(F.col("ts").cast("timestamp")) * F.element_at(F.array(*map(F.lit, (1, 1000, 1000000))), (F.col("event_id") % 3 + 1).cast("int"))).alias("ts")).select("event_id", F.unix_millis("ts").alias("ms")), "event_id ms:long", "", "SELECT event_id, epoch_ms(ts) AS ms FROM events")
+    c.add("compact_numbers", lambda s, d: tables.table(s, d, "orders").select("o_orderkey", S.compact(F.col("o_totalprice").cast("double") * 1000).alias("label")), "o_orderkey label")

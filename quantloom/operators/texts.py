@@ -84,7 +84,7 @@ def clean_html(pages: DataFrame) -> DataFrame:
     x = F.regexp_replace(x, r"<[^>]+>", " ")
     unescape = F.pandas_udf(lambda s: s.map(lambda t: None if t is None else html.unescape(t)), "string")
     x = unescape(x)
-    return pages.select("page_id", F.trim(F.regexp_replace(F.regexp_replace(x, r"[^\S\n]+", " "), r"\s*\n\s*", "\n")).alias("text"))
+    return pages.select("page_id", F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"[^\S\n]+", " "), r"\s*\n\s*", "\n"), r"^\s+|\s+$", "").alias("text"))
 
 
 def citations(docs: DataFrame) -> DataFrame:

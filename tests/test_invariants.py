@@ -5,7 +5,6 @@ import json
 import math
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -239,12 +238,12 @@ def test_stream_bars_equal_batch(spark, sf_dir, tmp_path):
 
 
 def test_stream_drops_repeats(spark, tmp_path):
-    t = spark.createDataFrame([(i % 50, "a", pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=i % 50), 1.0) for i in range(150)], "event_id long, symbol string, ts timestamp, price double")
+    t = spark.createDataFrame([(i % 50, "a", dt.datetime(2024, 1, 1) + dt.timedelta(seconds=i % 50), 1.0) for i in range(150)], "event_id long, symbol string, ts timestamp, price double")
     assert len(run_stream(spark, t, live.unique, "append", tmp_path)) == 50
 
 
 def test_stream_open_bar(spark, tmp_path):
-    at = lambda m: pd.Timestamp("2024-01-01 10:00") + pd.Timedelta(minutes=m)
+    at = lambda m: dt.datetime(2024, 1, 1, 10) + dt.timedelta(minutes=m)
     rows = [(1, "a", at(1), 10.0, 5.0), (2, "a", at(3), 12.0, 9.0), (3, "a", at(20), 11.0, 12.0), (4, "a", at(5), 99.0, 1.0), (5, "a", at(22), 8.0, 13.0), (6, "a", at(23), 9.0, 11.0)]
     t = spark.createDataFrame(rows, "event_id long, symbol string, ts timestamp, price double, size double")
     last = run_stream(spark, t, live.open_bars, "update", tmp_path)[-1]

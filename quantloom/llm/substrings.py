@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import map_texts, mix64, stored
+from quantloom.llm.common import map_texts, mix64, stored, text_slices
 
 #: Words of a minimiser.
 ANCHOR = 5
@@ -67,26 +67,79 @@ def _stretches(texts: list[str | None], k: int) -> tuple[np.ndarray, ...]:
     return text[starts], starts - base[text[starts]], best[starts].view(np.int64), hashes, ends
 
 
+class Repeats:
+    """What a task has met more than once: keys of whole stretches with the smallest document so far, up to a bound.
+
+    It plays the part of a map-side combine: a later document's copy of a known stretch is settled before the shuffle, so
+    a line that many documents share sends a few rows a task, not one a document. What isn't known here is settled later.
+    """
+
+    def __init__(self, most: int = 200_000):
+        self.most, self.keys, self.least = most, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def settled(self, key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Which stretches also start in a smaller document met by this task."""
+        order = np.lexsort((doc, key))
+        k, d = key[order], doc[order]
+        starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+        group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(k)]))
+        least = d[starts]
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, k[starts]), len(self.keys) - 1)
+            least = np.where(self.keys[at] == k[starts], np.minimum(least, self.least[at]), least)
+        out = np.zeros(len(key), bool)
+        out[order] = d > least[group]
+        again = np.unique(group[out[order]])
+        if len(again):
+            keys, mins = np.r_[self.keys, k[starts][again]], np.r_[self.least, least[again]]
+            by = np.lexsort((mins, keys))
+            first = np.r_[True, keys[by][1:] != keys[by][:-1]]
+            if first.sum() <= self.most:
+                self.keys, self.least = keys[by][first], mins[by][first]
+        return out
+
+
 def stretches(docs: DataFrame, k: int) -> DataFrame:
-    """anchor, doc_id, pos and edges (their hashes, _HASH bytes each) of every compacted stretch."""
+    """anchor, doc_id, pos, n and edges of every compacted stretch.
+
+    n is 0 and edges has the hashes (_HASH bytes each) where the stretch is still open; where its task has settled that it
+    goes, n is its number of edges, and the anchor is arbitrary so that such rows spread evenly.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Repeats()
+        for batch in batches:
+            for rows in text_slices(batch, "text"):
+                text, pos, anchor, hashes, ends = _stretches(rows.column("text").to_pylist(), k)
+                if not len(text):
+                    continue
+                doc = rows.column("doc_id").to_numpy()[text]
+                starts = np.r_[0, ends[:-1]]
+                size = ends - starts
+                place = (np.arange(len(hashes)) - np.repeat(starts, size)).astype(np.uint64)
+                key = np.add.reduceat(mix64(_wide(hashes) + place * _BASE), starts) ^ mix64(anchor.view(np.uint64))
+                gone = known.settled(key, doc)
+                anchor = np.where(gone, mix64(doc.view(np.uint64) * _BASE + pos.astype(np.uint64)).view(np.int64), anchor)
+                offsets = np.r_[0, np.cumsum(np.where(gone, 0, size)) * _HASH].astype(np.int32)
+                left = np.ascontiguousarray(hashes[~np.repeat(gone, size)])
+                data = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(left.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(doc), pa.array(pos.astype(np.int32)), pa.array(np.where(gone, size, 0).astype(np.int32)), data], ["anchor", "doc_id", "pos", "n", "edges"])
+
+    return docs.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(run, "anchor long, doc_id long, pos int, n int, edges binary")
 
-    def run(rows: pa.RecordBatch) -> pa.RecordBatch:
-        text, pos, anchor, hashes, ends = _stretches(rows.column("text").to_pylist(), k)
-        doc = rows.column("doc_id").take(pa.array(text))
-        offsets = np.r_[0, ends * _HASH].astype(np.int32)
-        data = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(hashes).tobytes())])
-        return pa.RecordBatch.from_arrays([pa.array(anchor), doc, pa.array(pos.astype(np.int32)), data], ["anchor", "doc_id", "pos", "edges"])
 
-    return map_texts(docs.select("doc_id", "text").where("doc_id is not null and text is not null"), run, "anchor long, doc_id long, pos int, edges binary")
+def _wide(hashes: np.ndarray) -> np.ndarray:
+    """Rows of _HASH bytes as integers."""
+    wide = np.zeros((len(hashes), 8), np.uint8)
+    wide[:, :_HASH] = hashes
+    return wide.view("<u8").ravel()
 
 
 def _edges_of(data: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The hashes in a binary column, as integers, and how many each row has."""
     offsets = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1]
     raw = np.frombuffer(data.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].reshape(-1, _HASH)
-    wide = np.zeros((len(raw), 8), np.uint8)
-    wide[:, :_HASH] = raw
-    return wide.view("<u8").ravel(), np.diff(offsets) // _HASH
+    return _wide(raw), np.diff(offsets) // _HASH
 
 
 def _settle(anchor: np.ndarray, doc: np.ndarray, pos: np.ndarray, edges: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,6 +182,11 @@ def spans(found: DataFrame) -> DataFrame:
         last = None  # the last stretch read: anchor, edges and the smallest document with it
         over = None  # a minimiser with more stretches than a task holds
         for batch in batches:
+            size = batch.column("n").to_numpy()
+            if (done := size > 0).any():
+                own = batch.filter(pa.array(done))
+                yield emit(own.column("doc_id"), own.column("pos").to_numpy(), own.column("n").to_numpy())
+                batch = batch.filter(pa.array(~done))
             if not batch.num_rows:
                 continue
             anchor, doc, edges = batch.column("anchor").to_numpy(), batch.column("doc_id").to_numpy(), batch.column("edges")

@@ -1,11 +1,10 @@
 """Exact duplicates by an extendible-hash index on shared files, in DataFrame operations only.
 
-Texts are compared without the ASCII white space of the contract. The index has one entry for each distinct text: its
-64-bit hash (the directory key), SHA-256 and length, how many rows have it, and which row stays. The directory starts
-with one slot and doubles until no bucket holds more than ``capacity`` entries: a bucket of local depth d owns the
-hashes with one d-bit prefix. Buckets are written to the shared folder in ranges of keys, so one owner task has all
-entries with the same hash; entries of one hash are its chain. Rows look themselves up in the index and are compared
-byte for byte with the chained entry's own text.
+Texts are compared without the ASCII white space of the contract. The index has one entry for each 64-bit hash of a text:
+how many rows have it, and which row stays. The directory starts with one slot and doubles until no bucket holds more
+than ``capacity`` entries: a bucket of local depth d owns the hashes with one d-bit prefix. Buckets are written to the
+shared folder in ranges of keys, so one owner task has each entry. Rows look themselves up in the index; the bytes of
+rows under one hash are then compared, and a hash under which they differ gets a chain with an entry for each text.
 """
 
 from __future__ import annotations
@@ -27,16 +26,21 @@ def normalised(column: str):
     return out
 
 
-def narrow(docs: DataFrame) -> DataFrame:
-    """doc_id, points (of the original text), h, sha and size (of the normalised text): what the index needs of a row."""
-    text = docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("points"), normalised("text").alias("t"))
-    return text.select("doc_id", "points", F.xxhash64("t").alias("h"), F.sha2("t", 256).alias("sha"), F.octet_length("t").alias("size"))
+def texts(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
+    """doc_id, points (of the original text), t (the normalised text) and h (its hash; fewer bits are for tests)."""
+    out = docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("points"), normalised("text").alias("t"))
+    h = F.xxhash64("t")
+    return out.withColumn("h", h if hash_bits == 64 else h.bitwiseAND(F.lit((1 << hash_bits) - 1)))
 
 
-def entries(rows: DataFrame) -> DataFrame:
-    """One index entry for each distinct (h, sha, size): n rows and the row that stays. Pre-aggregated before its shuffle."""
-    best = F.max(F.struct(F.col("points"), (-F.col("doc_id")).alias("less"), "doc_id")).alias("best")
-    return rows.groupBy("h", "sha", "size").agg(F.count("*").alias("n"), best).select("h", "sha", "size", "n", F.col("best.doc_id").alias("keep_id"))
+def _best():
+    """The row that stays: most code points, then the smallest doc_id; a row without one comes last."""
+    return F.max(F.struct("points", (-F.col("doc_id")).alias("less"), "doc_id")).alias("best")
+
+
+def entries(rows: DataFrame, keys: tuple[str, ...] = ("h",)) -> DataFrame:
+    """One index entry for each key: n rows and the row that stays. Pre-aggregated before its shuffle."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), _best()).select(*keys, "n", F.col("best.doc_id").alias("keep_id"))
 
 
 def directory(index: DataFrame, capacity: int) -> DataFrame:
@@ -61,23 +65,37 @@ def directory(index: DataFrame, capacity: int) -> DataFrame:
 
 
 def build_index(rows: DataFrame, capacity: int = 1_000_000) -> DataFrame:
-    """The index as a table in the shared folder: bucket, depth, h, sha, size, n, keep_id, in ranges of (bucket, h)."""
+    """The index as a table in the shared folder: bucket, depth, h, n, keep_id, in ranges of (bucket, h)."""
     index = stored(entries(rows), "exact-entries")
     slots = F.broadcast(directory(index, capacity))  # at most 2 ** MOST_DEPTH rows
     out = index.withColumn("slot", F.shiftrightunsigned("h", 64 - MOST_DEPTH)).join(slots, "slot").drop("slot")
-    return stored(out.repartitionByRange("bucket", "h").sortWithinPartitions("bucket", "h", "sha"), "exact-index")
+    return stored(out.repartitionByRange("bucket", "h").sortWithinPartitions("bucket", "h"), "exact-index")
+
+
+def collisions(docs: DataFrame, index: DataFrame, hash_bits: int = 64) -> DataFrame:
+    """The hashes whose rows are not byte for byte the same: under them the least and the greatest text differ.
+
+    Only rows that share a hash are compared. Copies of a heavy hash are reduced where they are read, and not moved.
+    """
+    shared = join_heavy(texts(docs, hash_bits).select("h", "t"), index.where("n > 1").select("h", "n"), ["h"], "n")
+    return shared.groupBy("h").agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a != b").select("h")
 
 
-def groups(docs: DataFrame, capacity: int = 1_000_000) -> DataFrame:
+def groups(docs: DataFrame, capacity: int = 1_000_000, hash_bits: int = 64) -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 of every row of ``docs``.
 
     Of equal texts, the row with the most code points stays, then the smallest doc_id. Null and empty texts, and those
     of white space only, are equal to each other. Rows that repeat a doc_id and text share its answer; a null doc_id
-    stays only where its whole group has none. An empty table gives an empty result. Other columns aren't read.
+    stays only where its group's row that stays has none. An empty table gives an empty result. Other columns aren't read.
     """
-    rows = stored(narrow(docs), "exact-rows")
-    index = build_index(rows, capacity).select("h", "sha", "size", "n", "keep_id")
-    found = join_heavy(rows, index, ["h", "sha", "size"], "n")
+    rows = stored(texts(docs, hash_bits).select("doc_id", "points", "h", F.sha2("t", 256).alias("sha")), "exact-rows")
+    index = build_index(rows, capacity).select("h", "n", "keep_id")
+    found = join_heavy(rows, index, ["h"], "n").select("doc_id", "keep_id", "n", "sha", "h")
+    clash = stored(collisions(docs, index, hash_bits), "exact-collisions")
+    if not clash.isEmpty():
+        chained = texts(docs, hash_bits).join(clash, "h")
+        own = chained.join(entries(chained, ("h", "t")), ["h", "t"]).select("doc_id", "keep_id", "n", F.sha2("t", 256).alias("sha"), "h")
+        found = found.join(clash, "h", "left_anti").unionByName(own)
     kept = F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull())
     return found.select("doc_id", "keep_id", F.col("n").alias("group_size"), kept.alias("kept"), F.col("sha").alias("text_sha256"))
 

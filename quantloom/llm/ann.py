@@ -89,8 +89,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, config: Permuta
     squared = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     n, norm = data.agg(F.count("*"), F.sqrt(F.max(squared))).first()
     sample = data.select("embedding").distinct().orderBy(F.xxhash64("embedding")).limit(config.pivots).collect()  # bounded
+    if not sample:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     shards, blocks = max(1, -(-n // config.shard_rows)), max(1, -(-asked.count() // config.query_rows))
-    pivots = spark.sparkContext.broadcast(_lifted(np.array([x[0] for x in sample], np.float64).reshape(len(sample), -1), norm or 0.0))
+    pivots = spark.sparkContext.broadcast(_lifted(np.array([x[0] for x in sample], np.float64), norm))
     shard = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
     block = F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(blocks)).cast("int")
     left = data.select(shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vec_id", "embedding")

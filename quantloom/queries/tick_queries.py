@@ -65,5 +65,5 @@ def register(c: Catalog) -> None:
     c.sql["bundle_windows"] = c.sql["bundle_windows"].replace("SELECT window,", 'SELECT "window",', 1)
     c.add("session_bucket_eastern", lambda s, d: ticks(s, d).select("event_id", *(S.session_bucket(F.col("ts").cast("timestamp"), i).cast("timestamp_ntz").alias(n) for i, n in (("15m", "m15"), ("1d", "day"), ("1w", "week")))), "event_id m15 day week", "", """SELECT event_id, time_bucket(INTERVAL 15 MINUTE, ts) AS m15,
         date_trunc('day', ts - INTERVAL 5 HOUR) + INTERVAL 5 HOUR AS day, date_trunc('week', ts - INTERVAL 5 HOUR) + INTERVAL 5 HOUR AS week FROM events""")
-    c.add("epoch_units", lambda s, d: ticks(s, d).select("event_id", S.from_epoch(F.unix_millis(F.col("ts").cast("timestamp")) * F.element_at(F.array(*map(F.lit, (1, 1000, 1000000))), (F.col("event_id") % 3 + 1).cast("int"))).alias("ts")).select("event_id", F.unix_millis("ts").alias("ms")), "event_id ms:long", "", "SELECT event_id, epoch_ms(ts) AS ms FROM events")
+    c.add("epoch_units", lambda s, d: ticks(s, d).select("event_id", S.from_epoch(F.unix_millis(F.col("ts").cast("timestamp")) * F.element_at(F.array(*map(F.lit, (1, 1000, 1000000))), (F.col("event_id") % 3 + 1).cast("int"))).alias("ts")).select("event_id", F.unix_millis("ts").alias("ms")), "event_id ms:long", "", "SELECT event_id, epoch_us(ts) // 1000 AS ms FROM events")
     c.add("compact_numbers", lambda s, d: tables.table(s, d, "orders").select("o_orderkey", S.compact(F.col("o_totalprice").cast("double") * 1000).alias("label")), "o_orderkey label")

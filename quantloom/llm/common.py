@@ -11,11 +11,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: The ASCII white space that the word and equality contracts name.
 SPACES = " \t\n\x0b\x0c\r"
 #: Python work on texts is done on slices of about so many bytes, so that a task's memory stays bounded.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,6 +31,13 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Hand texts to Python in batches of 2,000 rows, unless the session says otherwise: both sides hold a batch or two."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, "2000")
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: cuts the lineage and survives the loss of any executor."""
     shared_dir(df.sparkSession)
@@ -73,9 +81,11 @@ def text_slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start)
 
 
-def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, column: str = "text") -> DataFrame:
+def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, column: str = "text") -> DataFrame:
     """``mapInArrow`` over bounded slices of a table with a text column."""
 
+    bounded_batches(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, column):

@@ -17,7 +17,6 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,7 +62,7 @@ class Ppm:
         for k in range(0, self._n, 50):
             quad = (at[k : k + 50, None] << np.uint32(16)) | at[None, :]
             table[k : k + 50] = self.lengths(quad.ravel()).reshape(-1, self._n, len(self.langs))
-        self._table = table.reshape(-1, len(self.langs))
+        self._table = table.reshape(self._n * self._n, len(self.langs))
 
     @staticmethod
     def _tree(rows: np.ndarray) -> list[tuple]:
@@ -185,11 +184,8 @@ def accepted(docs: DataFrame, model: Ppm, least: float = 0.5, sharpness: float =
     """The rows of ``docs``, with all their columns, whose language is known with a score of ``least`` or more."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def known(text: pd.Series) -> pd.Series:
-        out: list[bool] = []
-        for lo in range(0, len(text), 500):
-            out += [x >= least for x in _answers(shared.value, text.iloc[lo : lo + 500].tolist(), sharpness)[1]]
-        return pd.Series(out, dtype=bool)
+    def run(rows: pa.RecordBatch) -> pa.RecordBatch:
+        score = _answers(shared.value, rows.column("text").to_pylist(), sharpness)[1]
+        return rows.filter(pa.array([x >= least for x in score], pa.bool_()))
 
-    return docs.where(known("text"))
+    return map_texts(docs, run, docs.schema)

@@ -20,10 +20,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import map_texts, stored
+from quantloom.llm.common import bounded_batches, map_texts, stored
 
 #: A worker's cache of pieces of text is emptied beyond so many entries.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 250_000
 _UNSAFE = re.compile(r"\s[ \n]")
 _encoders: dict[str, "Encoder"] = {}
 
@@ -76,6 +76,7 @@ def encoder(tokenizer: str) -> Encoder:
 
 def encoded(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0) -> DataFrame:
     """First pass: part, before (ids ahead within the part), doc_id, n, ids (16-bit little-endian, with the end id)."""
+    bounded_batches(docs.sparkSession)
     end = int(end_id).to_bytes(2, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,7 +18,7 @@ from quantloom.llm.common import map_texts
 
 MARK = "▁"
 #: A worker's cache of encoded words is emptied beyond so many entries.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 _BASE = np.uint64(0x100000001B3)
 _models: dict[str, "Pieces"] = {}
 
@@ -156,7 +156,7 @@ def encode(docs: DataFrame, name: str = "piece_bpe_32k.model", carry: tuple[str,
         ids = [np.frombuffer(x, "<u2").astype("<u4").tobytes() for x in model(name).encode([x or "" for x in rows.column("text").to_pylist()])]
         return pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(ids, pa.binary()), *_carried(rows, carry)], ["doc_id", "ids", *carry])
 
-    return map_texts(docs.select("doc_id", "text", *carry), run, "doc_id long, ids binary" + _types(docs, carry))
+    return map_texts(docs.select(*dict.fromkeys(("doc_id", "text", *carry))), run, "doc_id long, ids binary" + _types(docs, carry))
 
 
 def decode(encoded: DataFrame, name: str = "piece_bpe_32k.model", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -166,4 +166,4 @@ def decode(encoded: DataFrame, name: str = "piece_bpe_32k.model", carry: tuple[s
         text = [model(name).decode(np.frombuffer(x or b"", "<u4")) for x in rows.column("ids").to_pylist()]
         return pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(text, pa.string()), *_carried(rows, carry)], ["doc_id", "text", *carry])
 
-    return map_texts(encoded.select("doc_id", "ids", *carry), run, "doc_id long, text string" + _types(encoded, carry), "ids")
+    return map_texts(encoded.select(*dict.fromkeys(("doc_id", "ids", *carry))), run, "doc_id long, text string" + _types(encoded, carry), "ids")

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quantloom.llm.common import bounded_batches
 from quantloom.llm.packing import encoder
 
 #: The least number of characters of a leaf but the last.
@@ -61,7 +62,7 @@ class CountTree:
         ends = list(accumulate(map(len, self.leaves)))
         total = ends[-1]
         touched: list[list] = []  # first and last leaf, and the edits inside; edits whose leaves meet are one region
-        for a, b, new in sorted(edits):
+        for a, b, new in sorted(edits, key=lambda e: e[:2]):
             a, b = min(max(a, 0), total), min(max(b, a, 0), total)
             first = min(bisect_right(ends, max(a - 1, 0)), len(ends) - 1)
             last = min(bisect_right(ends, b), len(ends) - 1)
@@ -123,4 +124,5 @@ def counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
             out.append((before, tree.total, len(tree.leaves), tree.reencoded))
         return pd.DataFrame(np.array(out, np.int64).reshape(-1, 4), columns=["n_tokens", "n_tokens_edited", "n_leaves", "n_reencoded"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", count("text", "edits").alias("c")).select("doc_id", "c.*")

@@ -113,3 +113,86 @@ def curve_shape(yields: DataFrame) -> DataFrame:
     at = lambda k: F.max(F.when(F.col("tenor") == k, F.col("value")))
     g = yields.groupBy("date").agg((at(10) - at(2)).alias("s2s10"), (at(20) - at(5)).alias("s5s20"))
     return g.withColumn("shape", F.expr("CASE WHEN s2s10 IS NULL THEN NULL WHEN s2s10 < -0.05 THEN 'inverted' WHEN s2s10 < 0.25 THEN 'flat' WHEN s2s10 < 1.5 THEN 'normal' ELSE 'steep' END"))
+
+
+def newest_periods(quarters: DataFrame) -> DataFrame:
+    """Quarters with their age: 1 is a symbol's newest."""
+    return quarters.withColumn("age", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("period_end"))))
+
+
+def trajectory(quarters: DataFrame, most: int = 8) -> DataFrame:
+    """Over the newest quarters: slopes of yearly revenue growth and of operating margin, and whether each speeds up on average.
+
+    The mean second difference of a row of values is its last step less its first, over a positive number.
+    """
+    d = with_derived(quarters).withColumn("growth", growth(F.col("revenue"), F.lag("revenue", 4).over(by_period())))
+    x = newest_periods(d).where(F.col("age") <= most)
+    row = lambda c: F.array_compact(F.expr(f"transform(array_sort(collect_list(named_struct('at', -age, 'v', {c}))), x -> x.v)"))
+    line = lambda c: F.when(F.count(c) >= 3, F.regr_slope(F.col(c), -F.col("age").cast("double")))
+    g = x.groupBy("symbol").agg(F.count("*").alias("n"), row("growth").alias("g"), row("operating_margin").alias("m"), line("growth").alias("growth_slope"), line("operating_margin").alias("margin_slope"))
+    faster = lambda a: F.expr(f"CASE WHEN size({a}) >= 3 THEN {a}[size({a}) - 1] - {a}[size({a}) - 2] - {a}[1] + {a}[0] > 0 END")
+    return g.select("symbol", "n", "growth_slope", "margin_slope", faster("g").alias("revenue_accelerates"), faster("m").alias("margin_accelerates"))
+
+
+def metric_trends(quarters: DataFrame, metrics: tuple[str, ...] = ("revenue", "gross_profit", "operating_income", "cfo")) -> DataFrame:
+    """For each metric: newest yearly and quarterly change, and a label from its last two quarterly changes."""
+    long = quarters.select("symbol", "period_end", F.expr(f"stack({len(metrics)}, {', '.join(f'{chr(39)}{m}{chr(39)}, {m}' for m in metrics)}) AS (metric, v)")).where("v is not null")
+    x = long.withColumn("age", F.row_number().over(Window.partitionBy("symbol", "metric").orderBy(F.desc("period_end")))).where("age <= 5")
+    g = x.groupBy("symbol", "metric").agg(*(F.max(F.when(F.col("age") == k, F.col("v"))).alias(f"v{k}") for k in (1, 2, 3, 5)))
+    g = g.select("symbol", "metric", F.expr("v1 / nullif(v5, 0.0) - 1").alias("yoy"), F.expr("v1 / nullif(v2, 0.0) - 1").alias("qoq"), F.expr("v2 / nullif(v3, 0.0) - 1").alias("before"))
+    label = "CASE WHEN qoq IS NULL OR before IS NULL THEN 'stable' WHEN qoq < 0 AND before < 0 THEN 'declining' WHEN qoq > before + 0.01 THEN 'accelerating' WHEN qoq < before - 0.01 THEN 'decelerating' ELSE 'stable' END"
+    return g.select("symbol", "metric", "yoy", "qoq", F.expr(label).alias("trend"))
+
+
+#: Bands of the spread of recent margins; fewer than two margins are insufficient.
+STABILITY = "CASE WHEN {n} < 2 THEN 'insufficient' WHEN {spread} < 0.01 THEN 'very stable' WHEN {spread} < 0.03 THEN 'stable' WHEN {spread} < 0.07 THEN 'moderate' ELSE 'volatile' END"
+
+
+def momentum_and_margins(quarters: DataFrame) -> DataFrame:
+    """Whether quarterly and yearly revenue growth both rose, the yearly change of margins and how stable they are."""
+    x = newest_periods(with_derived(quarters)).where("age <= 6")
+    at = lambda c, k: F.max(F.when(F.col("age") == k, F.col(c)))
+    four = lambda c: F.when(F.col("age") <= 4, F.col(c))
+    g = x.groupBy("symbol").agg(
+        *(at("revenue", k).alias(f"r{k}") for k in (1, 2, 3, 5, 6)), (at("gross_margin", 1) - at("gross_margin", 5)).alias("gross_change"), (at("operating_margin", 1) - at("operating_margin", 5)).alias("operating_change"),
+        *(f(four(c)).alias(f"{k}_{c}") for c in ("gross_margin", "operating_margin") for k, f in (("n", F.count), ("hi", F.max), ("lo", F.min))),
+    )
+    r = lambda a, b: f"r{a} / nullif(r{b}, 0.0)"
+    label = lambda c: F.expr(STABILITY.format(n=f"n_{c}", spread=f"(hi_{c} - lo_{c})"))
+    return g.select("symbol", F.expr(f"coalesce({r(1, 2)} > {r(2, 3)} AND {r(1, 5)} > {r(2, 6)}, false)").alias("accelerating"), "gross_change", "operating_change", label("gross_margin").alias("gross_stability"), label("operating_margin").alias("operating_stability"))
+
+
+def year_sums(quarters: DataFrame, flows: tuple[str, ...], stocks: tuple[str, ...]) -> DataFrame:
+    """A row per symbol: sums of the newest four quarters' flows (null unless all four are there) and the newest stocks."""
+    x = newest_periods(quarters).where("age <= 4")
+    return x.groupBy("symbol").agg(*(F.when(F.count(c) == 4, F.sum(c)).alias(c) for c in flows), *(F.max(F.when(F.col("age") == 1, F.col(c))).alias(c) for c in stocks))
+
+
+def quality(quarters: DataFrame) -> DataFrame:
+    """Gross profit and accruals over assets, net debt over EBITDA and interest cover, of the newest four quarters."""
+    x = year_sums(quarters, ("gross_profit", "ebitda", "net_income", "cfo", "operating_income", "interest"), ("total_assets", "total_debt", "cash", "investments"))
+    return x.select(
+        "symbol", F.expr("gross_profit / nullif(total_assets, 0.0)").alias("gp_to_assets"), F.expr("(net_income - cfo) / nullif(total_assets, 0.0)").alias("accruals"),
+        F.expr("(total_debt - coalesce(cash, 0.0) - coalesce(investments, 0.0)) / nullif(ebitda, 0.0)").alias("net_debt_ebitda"), F.expr("operating_income / nullif(abs(interest), 0.0)").alias("interest_cover"),
+    )
+
+
+#: Ratio: its formula over a year's sums, the newest balance sheet, the price, the capitalisation and the enterprise value.
+RATIOS = {
+    "pe": "price / nullif(eps, 0.0)", "ps": "cap / nullif(revenue, 0.0)", "pb": "cap / nullif(equity, 0.0)", "ev_ebitda": "ev / nullif(ebitda, 0.0)", "ev_ebit": "ev / nullif(operating_income, 0.0)", "ev_sales": "ev / nullif(revenue, 0.0)",
+    "debt_to_equity": "total_debt / nullif(equity, 0.0)", "fcf_yield": "fcf / nullif(cap, 0.0)", "nav_per_share": "equity / nullif(shares, 0.0)", "net_cash_per_share": "(cash + coalesce(investments, 0.0) - total_debt) / nullif(shares, 0.0)",
+    "gross_margin": "gross_profit / nullif(revenue, 0.0)", "operating_margin": "operating_income / nullif(revenue, 0.0)", "net_margin": "net_income / nullif(revenue, 0.0)",
+}
+
+
+def ratios(quarters: DataFrame, prices: DataFrame, provided: DataFrame) -> DataFrame:
+    """Valuation and balance-sheet ratios in long form: symbol, ratio, value and where it comes from.
+
+    A ratio worked out from the statements beats a provided one (symbol, ratio, value). ``prices`` has symbol, price and
+    vendor_cap; the capitalisation is price times shares where both are known.
+    """
+    x = year_sums(quarters, ("eps", "revenue", "gross_profit", "operating_income", "net_income", "ebitda", "fcf"), ("shares", "cash", "investments", "total_debt", "equity")).join(prices, "symbol")
+    x = x.withColumn("cap", F.expr("coalesce(price * shares, vendor_cap)")).withColumn("ev", F.expr("cap + total_debt - cash - coalesce(investments, 0.0)"))
+    own = x.select("symbol", F.explode(F.map_from_arrays(F.array(*map(F.lit, RATIOS)), F.array(*(F.expr(sql) for sql in RATIOS.values())))).alias("ratio", "own"))
+    both = own.join(provided, ["symbol", "ratio"], "full")
+    return both.select("symbol", "ratio", F.coalesce("own", "value").alias("value"), F.when(F.col("own").isNotNull(), "statements").when(F.col("value").isNotNull(), "provider").alias("source"))

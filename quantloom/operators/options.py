@@ -129,3 +129,32 @@ def implied_density(contracts: DataFrame, spot: float, as_of: str, r: float = 0.
         return pd.DataFrame({"underlying": [rows["underlying"].iloc[0]], "expiry": [rows["expiry"].iloc[0]], "q25": [q[0]], "q50": [q[1]], "q75": [q[2]], "n": [len(k)]})
 
     return contracts.select("underlying", "expiry", "strike", "type", "mark").groupBy("underlying", "expiry").applyInPandas(run, "underlying string, expiry date, q25 double, q50 double, q75 double, n int")
+
+
+def without_outliers(points: DataFrame, value: str = "iv", sigmas: float = 6.0, floor: float = 0.05) -> DataFrame:
+    """Points of each (underlying, expiry) but those far from the median, by the median absolute deviation.
+
+    Smiles of fewer than four points, or that would be left with fewer, are kept whole.
+    """
+    key = ["underlying", "expiry"]
+    med = points.groupBy(*key).agg(F.percentile(value, 0.5).alias("__med"))
+    x = points.join(med, key).withColumn("__off", F.abs(F.col(value) - F.col("__med")))
+    mad = x.groupBy(*key).agg(F.percentile("__off", 0.5).alias("__mad"))
+    w = Window.partitionBy(*key)
+    x = x.join(mad, key).withColumn("__in", F.col("__off") <= F.greatest(F.lit(sigmas * 1.4826) * F.col("__mad"), F.lit(floor)))
+    return x.withColumn("__k", F.count_if("__in").over(w)).where("__in or __k < 4").select(*points.columns)
+
+
+def smile(points: DataFrame, spot: float, tolerance: float = 0.10) -> DataFrame:
+    """At-the-money volatility (mean at the nearest strike) and the 25-delta put less call volatility of each expiry.
+
+    ``points`` has underlying, expiry, strike, type, iv and delta. A wing further than ``tolerance`` from 0.25 gives null.
+    """
+    key, known = ["underlying", "expiry"], points.where("iv is not null")
+    near = known.groupBy(*key).agg(F.min(F.struct(F.abs(F.col("strike") - spot).alias("off"), "strike"))["strike"].alias("atm_strike"))
+    atm = known.join(near, key).where("strike = atm_strike").groupBy(*key, "atm_strike").agg(F.avg("iv").alias("atm_iv"))
+    off = F.abs(F.abs("delta") - 0.25)
+    wing = lambda t: F.min(F.when((F.col("type") == t) & F.col("delta").isNotNull(), F.struct(off.alias("off"), "strike", "iv")))
+    wings = known.groupBy(*key).agg(wing("put").alias("p"), wing("call").alias("c"))
+    skew = F.when((F.col("p.off") <= tolerance) & (F.col("c.off") <= tolerance), F.col("p.iv") - F.col("c.iv"))
+    return atm.join(wings.select(*key, skew.alias("skew_25d")), key)

@@ -120,8 +120,9 @@ def fit(docs: DataFrame, max_docs: int = 4000, max_grams: int = 500_000) -> Ppm:
     """Context trees from documents with text and lang.
 
     The fit reads at most about ``max_docs`` documents, chosen by a hash of their doc_id, and whole texts of those.
-    Their quadruples are summed in Spark; the distinct ones of a bounded sample reach the driver. Rows with a null text
-    or lang are not learned from.
+    Their quadruples are summed in Spark; the ``max_grams`` commonest (language, quadruple) pairs reach the driver, and rarer
+    ones are as if never seen. Both are bounds of the fit alone: every text is scored whole. Rows with a null text or lang
+    are not learned from.
     """
     sample = bounded_sample(docs.select("doc_id", "text", "lang").where("text is not null and lang is not null"), "doc_id", max_docs)
 

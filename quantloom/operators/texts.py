@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -107,24 +108,54 @@ def values_match(a: Column, b: Column, tolerance: float = 0.005) -> Column:
 
 
 def clusters(items: DataFrame, days: int = 3, least: float = 0.5) -> DataFrame:
-    """Greedy clusters of titles by symbol and month, in order of time: Jaccard of tokens with the growing cluster, few days apart.
+    """Greedy clusters of titles by symbol, in order of time: Jaccard of tokens with the growing cluster, few days apart.
 
-    The pass depends on order, so it runs on one (symbol, month) at a time.
+    Equal titles of a symbol and day are one row of the pass and share its cluster. No cluster spans a gap of more than
+    ``days``, so the pass, which depends on order, takes one gapless stretch of a symbol at a time, as a sorted stream
+    that holds only the clusters still open. Items without a word or a date stand alone.
     """
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        own, out = [], []
-        for r in rows.sort_values(["date", "item_id"]).itertuples():
-            words = set(r.title.lower().split())
-            for k, c in enumerate(own):
-                if (r.date - c[1]).days <= days and words and len(words & c[0]) / len(words | c[0]) >= least:
-                    c[0] |= words
-                    c[1] = r.date
-                    out.append((r.item_id, c[2]))
-                    break
-            else:
-                own.append([words, r.date, r.item_id])
-                out.append((r.item_id, r.item_id))
-        return pd.DataFrame(out, columns=["item_id", "cluster"])
-
-    return items.withColumn("month", F.trunc("date", "month")).groupBy("symbol", "month").applyInPandas(run, "item_id long, cluster long")
+    told = F.col("date").isNotNull() & F.coalesce(F.col("title").rlike(r"(?U)\S"), F.lit(False))
+    alone = items.where(~told).select("item_id", F.col("item_id").alias("cluster"))
+    own = items.where(told).select("item_id", "symbol", F.col("date").cast("date").alias("date"), "title")
+    titles = own.groupBy("symbol", "date", "title").agg(F.min("item_id").alias("first"))
+    w = Window.partitionBy("symbol").orderBy("date")  # a row a day
+    dates = titles.select("symbol", "date").distinct().withColumn("gap", (F.date_diff("date", F.lag("date").over(w)) > days).cast("int"))
+    runs = dates.select(F.col("symbol").alias("s"), F.col("date").alias("d"), F.coalesce(F.sum("gap").over(w), F.lit(0)).alias("run"))
+    rows = titles.join(runs, F.col("symbol").eqNullSafe(F.col("s")) & (F.col("date") == F.col("d"))).drop("s", "d")
+
+    def run(batches):
+        now, open_, holders = None, {}, {}  # by age: [words, last date, first item]; by word: ages of the clusters with it
+        for rows in batches:
+            out = []
+            for r in rows.itertuples():
+                at = (None if pd.isna(r.symbol) else r.symbol, r.run)
+                if now is None or now[0] != at:
+                    open_, holders, born = {}, {}, 0
+                elif now[1] != r.date:
+                    open_ = {k: c for k, c in open_.items() if (r.date - c[1]).days <= days}
+                    holders = {}
+                    for k, c in open_.items():
+                        for word in c[0]:
+                            holders.setdefault(word, set()).add(k)
+                now = (at, r.date)
+                words = set(r.title.lower().split())
+                # a cluster that is near has ``least`` of the words, so one at least of all but so many
+                rare = sorted(words, key=lambda x: len(holders.get(x, ())))[: len(words) - max(1, math.ceil(least * len(words) - 1e-9)) + 1]
+                for k in sorted(set().union(*(holders.get(x, ()) for x in rare))):
+                    c = open_[k]
+                    if words and len(words & c[0]) / len(words | c[0]) >= least:
+                        break
+                else:
+                    k, c = born, [set(), r.date, r.first]
+                    open_[k], born = c, born + 1
+                for word in words - c[0]:
+                    holders.setdefault(word, set()).add(k)
+                c[0] |= words
+                c[1] = r.date
+                out.append((r.symbol, r.date, r.title, c[2]))
+            yield pd.DataFrame(out, columns=["s", "d", "t", "cluster"])
+
+    order = ["symbol", "run", "date", "first"]
+    found = rows.select(*order, "title").repartition("symbol", "run").sortWithinPartitions(*order, "title").mapInPandas(run, "s string, d date, t string, cluster long")
+    same = F.col("symbol").eqNullSafe(F.col("s")) & (F.col("date") == F.col("d")) & (F.col("title") == F.col("t"))
+    return own.join(found, same).select("item_id", "cluster").unionByName(alone)

@@ -1,7 +1,11 @@
 """Queries and operators that do the whole job: no rows, days or groups are left out."""
 
+import datetime as dt
+import random
+
 import pytest
 
+from quantloom.operators import texts as T
 from quantloom.queries import catalog
 from tests import test_queries
 
@@ -13,3 +17,31 @@ def test_every_order_is_a_claim(spark, duck, sf_dir, name):
     orders, priced = duck.execute("SELECT count(*), count(*) FILTER (o_orderkey % 7 <> 0 AND o_orderpriority <> '5-LOW') FROM orders").fetchone()
     assert sum(r.n for r in QUERIES[name](spark, sf_dir).collect()) == (orders if name == "claims_verified_all" else priced)
     test_queries.test_matches_sql(spark, duck, sf_dir, name)
+
+
+def greedy(rows, days=3, least=0.5):
+    """The clusters by one plain pass over the distinct (symbol, date, title)."""
+    first, by, out = {}, {}, {}
+    for i, s, d, t in rows:
+        first[s, d, t] = min(first.get((s, d, t), i), i)
+    for (s, d, t), i in sorted(first.items(), key=lambda x: (x[0][1], x[1])):
+        words = set(t.lower().split())
+        for c in by.setdefault(s, []):
+            if (d - c[1]).days <= days and len(words & c[0]) / len(words | c[0]) >= least:
+                c[0] |= words
+                c[1] = d
+                break
+        else:
+            by[s].append(c := [words, d, i])
+        out[s, d, t] = c[2]
+    return {i: out[s, d, t] for i, s, d, t in rows}
+
+
+def test_clusters_cross_the_end_of_a_month(spark):
+    schema = "item_id long, symbol string, date date, title string"
+    rows = [(1, "a", dt.date(2024, 1, 31), "fed raises rates"), (2, "a", dt.date(2024, 2, 1), "fed raises rates"), (3, "a", dt.date(2024, 2, 5), "fed raises rates")]
+    got = {r.item_id: r.cluster for r in T.clusters(spark.createDataFrame([*rows, (4, "a", dt.date(2024, 2, 5), " "), (5, "a", None, "fed"), (6, "a", dt.date(2024, 2, 5), None)], schema)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6}
+    r = random.Random(2)
+    some = [(i, r.choice("ab"), dt.date(2024, 1, 1) + dt.timedelta(days=r.choice([*range(50), *range(55, 80)])), " ".join(r.choice("uvwxyz") + r.choice("12") for _ in range(r.randint(1, 6)))) for i in range(900)]
+    assert {r.item_id: r.cluster for r in T.clusters(spark.createDataFrame(some, schema)).collect()} == greedy(some)

@@ -177,9 +177,10 @@ class Hmm:
                 break
             last = like
             w = g.sum(axis=0)
-            self.start, self.move = g[0], xi / xi.sum(axis=1, keepdims=True)
-            self.mean = g.T @ x / w[:, None]
-            for j in range(self.k):
+            left = xi.sum(axis=1, keepdims=True)
+            self.start, self.move = g[0], np.where(left > 0, xi / np.maximum(left, 1e-300), 1 / self.k)
+            for j in np.flatnonzero(w > 1e-12):  # a state that no row is in keeps its place
+                self.mean[j] = g[:, j] @ x / w[j]
                 d = x - self.mean[j]
                 self.cov[j] = (g[:, j, None] * d).T @ d / w[j] + self.floor * np.eye(x.shape[1])
         return self.path[-1]
@@ -234,14 +235,15 @@ def regimes(bars: DataFrame, rows: int = 2707) -> DataFrame:
             return pd.DataFrame({c: pd.Series(dtype=t) for c, t in {"symbol": "object", "date": "object", "state": "object", "filtered": "object", "p": "float64"}.items()})
         z = np.c_[r[ok], np.log(v[ok] + 1e-12)]
         z = (z - z.mean(axis=0)) / np.maximum(z.std(axis=0), 1e-12)
-        m = Hmm(rounds=25, starts=2).fit(z)
+        m = Hmm(rounds=200, starts=4).fit(z)
         order = np.argsort(m.mean[:, 0])
         name = np.empty(3, object)
         name[order] = ["bear", "neutral", "bull"]
         a, g, _, _ = m._passes(z)
         return pd.DataFrame({"symbol": x["symbol"].iloc[0], "date": x["date"][ok], "state": name[g.argmax(axis=1)], "filtered": name[a.argmax(axis=1)], "p": g.max(axis=1)})
 
-    return bars.select("symbol", "date", "close").groupBy("symbol").applyInPandas(run, "symbol string, date date, state string, filtered string, p double")
+    parts = int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, so that small tables' symbols stay spread
+    return bars.select("symbol", "date", "close").repartition(parts, "symbol").groupBy("symbol").applyInPandas(run, "symbol string, date date, state string, filtered string, p double")
 
 
 def mixture_quantile(p: float, parts: list[tuple[float, float, float]]) -> float:
@@ -293,27 +295,57 @@ def scenarios(bars: DataFrame, horizons: tuple[int, ...] = (21, 63, 126, 252)) -
     return x.mapInPandas(run, "symbol string, h int, mean double, p_bear double, p_neutral double, p_bull double, bear double, neutral double, bull double")
 
 
-def walk_forward(panel: DataFrame, features: tuple[str, ...] = ("mom", "reversal", "vol"), horizon: int = 1, embargo: int = 1, least: int = 200) -> DataFrame:
-    """Out-of-sample predictions: for each test year a ridge on the months whose labels settled before it, with an embargo.
+def walk_forward(panel: DataFrame, features: tuple[str, ...] = ("mom", "reversal", "vol"), horizon: int = 1, embargo: int = 1, least: int = 200, months: int = 36, names: int = 8, grid: tuple[float, ...] = (1.0, 3.0, 10.0, 30.0, 100.0)) -> DataFrame:
+    """Out-of-sample predictions: for each test year a standardised ridge on the months whose labels settled before it, with an embargo.
 
-    Sums of products by month are enough for the fit, so each year's model comes from at most a few hundred monthly rows.
+    A year is fitted from ``least`` rows and ``months`` months on, with the penalty of the least squared error when its
+    years are left out in turn; months of fewer than ``names`` symbols get no prediction. Sums of products by month are
+    enough for all of that, so each year's model comes from at most a few hundred monthly rows.
     """
     i = F.year("month") * 12 + F.month("month") - 1
-    names = ["one", *features]
-    rows = panel.select("symbol", "month", i.alias("i"), "target", F.lit(1.0).alias("one"), *features)
-    pairs_ = [(a, b) for k, a in enumerate(names) for b in names[k:]]
-    stats = rows.groupBy("i").agg(F.count("*").alias("n"), *(F.sum(F.col(a) * F.col(b)).alias(f"{a}__{b}") for a, b in pairs_), *(F.sum(F.col(a) * F.col("target")).alias(f"{a}__y") for a in names)).toPandas().sort_values("i")
+    cols = ["one", *features, "target"]
+    rows = panel.select("symbol", "month", i.alias("i"), "target", F.lit(1.0).alias("one"), *features).dropna(subset=["target", *features])
+    pairs_ = [(a, b) for a in range(len(cols)) for b in range(a, len(cols))]
+    stats = rows.groupBy("i").agg(F.count("*").alias("n"), *(F.sum(F.col(cols[a]) * F.col(cols[b])).alias(f"p{a}_{b}") for a, b in pairs_)).toPandas().sort_values("i")
+    at = stats["i"].to_numpy(dtype=int)
+    sums = np.zeros((len(at), len(cols), len(cols)))
+    for a, b in pairs_:
+        sums[:, a, b] = sums[:, b, a] = stats[f"p{a}_{b}"].to_numpy(dtype=float)
+
+    def fit(m: np.ndarray, lam: float) -> np.ndarray:
+        """Coefficients, the constant first, from the summed products of rows."""
+        n, mean, y = m[0, 0], m[0, 1:-1] / m[0, 0], m[0, -1] / m[0, 0]
+        cov = m[1:-1, 1:-1] - n * np.outer(mean, mean)
+        sd = np.sqrt(np.maximum(np.diag(cov) / n, 0))
+        sd = np.where(sd > 1e-12, sd, 1.0)
+        b = np.linalg.solve(cov / np.outer(sd, sd) + lam * np.eye(len(sd)), (m[1:-1, -1] - n * mean * y) / sd) / sd
+        return np.r_[y - mean @ b, b]
+
+    def penalty(parts: list[np.ndarray]) -> float:
+        """The penalty with the least squared error when each year is left out in turn; the middle one if none can be."""
+        total = sum(parts)
+        held = [p for p in parts if total[0, 0] - p[0, 0] >= max(len(features) + 2, 20)] if len(parts) > 1 else []
+        if not held:
+            return grid[len(grid) // 2]
+
+        def error(lam: float) -> float:
+            ends = [(np.r_[fit(total - p, lam), -1.0], p) for p in held]  # the squared error is a form in (b, -1)
+            return float(sum(b @ p @ b for b, p in ends))
+
+        return min(grid, key=error)
+
     models = []
-    for year in sorted({int(x) // 12 for x in stats["i"]}):
-        own = stats[stats["i"] + horizon <= year * 12 - embargo]
-        if own["n"].sum() < least:
+    for year in sorted({int(x) // 12 for x in at}):
+        own = at + horizon <= at[at // 12 == year].min() - embargo
+        if stats["n"].to_numpy()[own].sum() < least or own.sum() < months:
             continue
-        a = np.array([[own[f"{x}__{y}" if (x, y) in pairs_ else f"{y}__{x}"].sum() for y in names] for x in names])
-        models.append((year, *np.linalg.solve(a + np.diag([0.0] + [10.0 * a[k, k] / max(a[0, 0], 1) for k in range(1, len(names))]), [own[f"{x}__y"].sum() for x in names]).tolist()))
-    schema = "year int, " + ", ".join(f"b{k} double" for k in range(len(names)))
+        lam = penalty([sums[own & (at // 12 == y)].sum(axis=0) for y in np.unique(at[own] // 12)])
+        models.append((year, *fit(sums[own].sum(axis=0), lam).tolist()))
+    schema = "year int, " + ", ".join(f"b{k} double" for k in range(len(features) + 1))
     betas = F.broadcast(panel.sparkSession.createDataFrame(models, schema))  # a row a year
-    guess = sum((F.col(f"b{k}") * F.col(n) for k, n in enumerate(names)), F.lit(0.0))
-    return rows.withColumn("year", F.year("month")).join(betas, "year").select("symbol", "month", "target", guess.alias("prediction"))
+    full = F.broadcast(panel.sparkSession.createDataFrame([(int(x),) for x in at[stats["n"].to_numpy() >= names]], "i int"))  # a row a month
+    guess = sum((F.col(f"b{k}") * F.col(n) for k, n in enumerate(cols[:-1])), F.lit(0.0))
+    return rows.join(full, "i", "left_semi").withColumn("year", F.year("month")).join(betas, "year").select("symbol", "month", "target", guess.alias("prediction"))
 
 
 def bootstrap_ci(values: np.ndarray, block: int = 6, draws: int = 1000, seed: int = 7) -> tuple[float, float]:

@@ -3,10 +3,14 @@
 import datetime as dt
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 
+from quantloom.operators import models as M
 from quantloom.operators import texts as T
 from quantloom.queries import catalog
+from quantloom.sources.tables import bars_smooth
 from tests import test_queries
 
 QUERIES = catalog().queries
@@ -45,3 +49,50 @@ def test_clusters_cross_the_end_of_a_month(spark):
     r = random.Random(2)
     some = [(i, r.choice("ab"), dt.date(2024, 1, 1) + dt.timedelta(days=r.choice([*range(50), *range(55, 80)])), " ".join(r.choice("uvwxyz") + r.choice("12") for _ in range(r.randint(1, 6)))) for i in range(900)]
     assert {r.item_id: r.cluster for r in T.clusters(spark.createDataFrame(some, schema)).collect()} == greedy(some)
+
+
+def test_regimes_are_fitted_to_the_end(spark, sf_dir):
+    """On this symbol 25 rounds from 2 starts end at a lower likelihood, with other labels."""
+    bars = bars_smooth(spark, sf_dir).where("symbol = 'Brand#14'")
+    x = bars.select("date", "close").toPandas().sort_values("date")
+    r, v = x["close"].pct_change(), (x["close"] / x["close"].rolling(10).mean() - 1).pow(2).rolling(10).mean()
+    ok = (r.notna() & v.notna()).to_numpy()
+    z = np.c_[r[ok], np.log(v[ok] + 1e-12)]
+    z = (z - z.mean(axis=0)) / z.std(axis=0)
+    labels = {}
+    for rounds, starts in ((25, 2), (200, 4)):
+        m = M.Hmm(rounds=rounds, starts=starts).fit(z)
+        name = dict(zip(np.argsort(m.mean[:, 0]), ["bear", "neutral", "bull"]))
+        labels[rounds] = [name[k] for k in m.smoothed(z).argmax(axis=1)]
+    got = [r.state for r in sorted(M.regimes(bars).collect(), key=lambda r: r.date)]
+    assert got == labels[200] != labels[25]
+
+
+def ridge(x, y, lam):
+    sd = x.std(axis=0)
+    xs = (x - x.mean(axis=0)) / sd
+    b = np.linalg.solve(xs.T @ xs + lam * np.eye(x.shape[1]), xs.T @ (y - y.mean())) / sd
+    return lambda z: y.mean() + (z - x.mean(axis=0)) @ b
+
+
+def test_walk_forward_chooses_each_years_penalty(spark):
+    rng, features, grid = np.random.default_rng(4), ["mom", "reversal", "vol"], (1.0, 3.0, 10.0, 30.0, 100.0)
+    months = pd.period_range("2015-03", "2021-08", freq="M").to_timestamp()
+    rows = pd.DataFrame([(f"s{k}", m.date(), *rng.normal(size=3) * (1, 0.1, 5)) for j, m in enumerate(months) for k in range(7 if j == 60 else 12)], columns=["symbol", "month", *features])
+    year = rows["month"].map(lambda d: d.year).to_numpy()
+    i = rows["month"].map(lambda d: d.year * 12 + d.month - 1).to_numpy()
+    rows["target"] = 0.3 * rows["mom"] * np.where(year % 2, 1, -0.5) + 0.05 * rows["vol"] + rng.normal(size=len(rows))
+    x, y = rows[features].to_numpy(), rows["target"].to_numpy()
+    want, chosen = {}, set()
+    for test in np.unique(year):
+        own = i + 1 <= i[year == test].min() - 1
+        if own.sum() < 200 or len(np.unique(i[own])) < 36:
+            continue
+        error = lambda lam: sum(((y[own & (year == k)] - ridge(x[own & (year != k)], y[own & (year != k)], lam)(x[own & (year == k)])) ** 2).sum() for k in np.unique(year[own]))  # noqa: B023, E731
+        lam = min(grid, key=error)
+        chosen.add(lam)
+        guess = ridge(x[own], y[own], lam)(x)
+        want |= {(rows["symbol"][j], rows["month"][j]): guess[j] for j in np.flatnonzero(year == test) if (i == i[j]).sum() >= 8}
+    got = {(r.symbol, r.month): r.prediction for r in M.walk_forward(spark.createDataFrame(rows, "symbol string, month date, mom double, reversal double, vol double, target double")).collect()}
+    assert chosen - {10.0} and min(d.year for _, d in got) == 2019 and (2020, 3) not in {(d.year, d.month) for _, d in got}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)

@@ -108,10 +108,10 @@ def stage(quarters: DataFrame) -> DataFrame:
     return last.select("symbol", "yoy", "acceleration", F.expr(rule).alias("stage"))
 
 
-def curve_shape(yields: DataFrame) -> DataFrame:
-    """Slopes of a yield curve and their label, by date."""
+def curve_shape(yields: DataFrame, by: tuple[str, ...] = ("date",)) -> DataFrame:
+    """Slopes of a yield curve and their label, by date (and symbol, where there are several curves)."""
     at = lambda k: F.max(F.when(F.col("tenor") == k, F.col("value")))
-    g = yields.groupBy("date").agg((at(10) - at(2)).alias("s2s10"), (at(20) - at(5)).alias("s5s20"))
+    g = yields.groupBy(*by).agg((at(10) - at(2)).alias("s2s10"), (at(20) - at(5)).alias("s5s20"))
     return g.withColumn("shape", F.expr("CASE WHEN s2s10 IS NULL THEN NULL WHEN s2s10 < -0.05 THEN 'inverted' WHEN s2s10 < 0.25 THEN 'flat' WHEN s2s10 < 1.5 THEN 'normal' ELSE 'steep' END"))
 
 

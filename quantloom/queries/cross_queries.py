@@ -73,6 +73,7 @@ def register(c: Catalog) -> None:
     cols = ", ".join(f"max(close) FILTER (symbol = '{s}') AS c{i}" for i, s in enumerate(three))
     smooth("align_outer", lambda b: X.aligned(b, three).toDF("date", "c0", "c1", "c2"), "date ~c0 ~c1 ~c2", f"SELECT date, {cols} FROM bars WHERE symbol IN ('Brand#11', 'Brand#12', 'Brand#13') GROUP BY date")
     smooth("common_window", lambda b: X.common_window(b.where("symbol < 'Brand#14'"), 60), "symbol date ~close", "SELECT symbol, date, close FROM bars WHERE symbol < 'Brand#14' AND date IN (SELECT date FROM bars WHERE symbol < 'Brand#14' GROUP BY date HAVING count(DISTINCT symbol) = (SELECT count(DISTINCT symbol) FROM bars WHERE symbol < 'Brand#14') ORDER BY date DESC LIMIT 60)")
+    smooth("common_window_all", lambda b: X.common_window(b, 60), "symbol date ~close", "SELECT symbol, date, close FROM bars WHERE date IN (SELECT date FROM bars GROUP BY date HAVING count(DISTINCT symbol) = (SELECT count(DISTINCT symbol) FROM bars) ORDER BY date DESC LIMIT 60)")  # the one above is of five symbols
     smooth("macro_change_asof", X.changes_as_of, "symbol k:int ~now ~diff ~pct", """SELECT a.symbol, k, now, now - b.close AS diff, now / b.close - 1 AS pct FROM (SELECT symbol, k, now, CAST(date - to_months(CAST(k AS INTEGER)) AS DATE) AS at FROM (SELECT symbol, max(date) AS date, max_by(close, date) AS now FROM bars GROUP BY symbol), unnest([1, 3, 12]) AS t(k)) a
         ASOF LEFT JOIN bars b ON a.symbol = b.symbol AND a.at >= b.date""")
 

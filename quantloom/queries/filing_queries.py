@@ -70,6 +70,8 @@ def register(c: Catalog) -> None:
         SELECT symbol, period_end, CASE WHEN count(revenue) {four} = 4 THEN close / sum(revenue) {four} * 1e9 END AS ps FROM (SELECT q.*, close FROM quarters q ASOF LEFT JOIN (SELECT date, close FROM bars WHERE symbol = 'Brand#11') b ON q.filing_date >= b.date))""")
     ten = lambda s, d: tables.quarters(s, d).select(F.col("period_end").alias("date"), F.explode(F.array(*map(F.lit, (2, 5, 10, 20)))).alias("tenor"), F.col("revenue"), F.col("symbol")).where("symbol = 'BUILDING'").selectExpr("date", "tenor", "round(tenor * (revenue % 100 - 30) / 400, 6) AS value")
     c.add("curve_shape", lambda s, d: Q.curve_shape(ten(s, d)), "date ~s2s10 ~s5s20 shape", QUARTERS, "SELECT *, CASE WHEN s2s10 IS NULL THEN NULL WHEN s2s10 < -0.05 THEN 'inverted' WHEN s2s10 < 0.25 THEN 'flat' WHEN s2s10 < 1.5 THEN 'normal' ELSE 'steep' END AS shape FROM (SELECT period_end AS date, round(10 * (revenue % 100 - 30) / 400, 6) - round(2 * (revenue % 100 - 30) / 400, 6) AS s2s10, round(20 * (revenue % 100 - 30) / 400, 6) - round(5 * (revenue % 100 - 30) / 400, 6) AS s5s20 FROM quarters WHERE symbol = 'BUILDING')")
+    tens = lambda s, d: tables.quarters(s, d).select(F.col("period_end").alias("date"), F.explode(F.array(*map(F.lit, (2, 5, 10, 20)))).alias("tenor"), F.col("revenue"), F.col("symbol")).selectExpr("symbol", "date", "tenor", "round(tenor * (revenue % 100 - 30) / 400, 6) AS value")
+    c.add("curve_shape_all", lambda s, d: Q.curve_shape(tens(s, d), ("symbol", "date")), "symbol date ~s2s10 ~s5s20 shape", QUARTERS, "SELECT *, CASE WHEN s2s10 IS NULL THEN NULL WHEN s2s10 < -0.05 THEN 'inverted' WHEN s2s10 < 0.25 THEN 'flat' WHEN s2s10 < 1.5 THEN 'normal' ELSE 'steep' END AS shape FROM (SELECT symbol, period_end AS date, round(10 * (revenue % 100 - 30) / 400, 6) - round(2 * (revenue % 100 - 30) / 400, 6) AS s2s10, round(20 * (revenue % 100 - 30) / 400, 6) - round(5 * (revenue % 100 - 30) / 400, 6) AS s5s20 FROM quarters)")
 
     docs = lambda s, d: tables.table(s, d, "documents")
     c.add("doc_tokens_topk", lambda s, d: T.top_tokens(docs(s, d)), "token n:long", "", f"SELECT token, count(*) AS n FROM (SELECT unnest({TOKENS.format(x='text')}) AS token FROM documents) GROUP BY token ORDER BY n DESC, token LIMIT 20")

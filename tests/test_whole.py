@@ -96,3 +96,16 @@ def test_walk_forward_chooses_each_years_penalty(spark):
     got = {(r.symbol, r.month): r.prediction for r in M.walk_forward(spark.createDataFrame(rows, "symbol string, month date, mom double, reversal double, vol double, target double")).collect()}
     assert chosen - {10.0} and min(d.year for _, d in got) == 2019 and (2020, 3) not in {(d.year, d.month) for _, d in got}
     assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+@pytest.mark.parametrize("name,symbols", [("common_window_all", 25), ("curve_shape_all", 5)])
+def test_every_symbol_is_there(spark, name, symbols):
+    """At the smallest size no date is common to all symbols."""
+    import duckdb
+
+    folder, c = "/root/testdata/sf0.1", duckdb.connect()
+    for table in ("lineitem", "part", "orders", "customer"):
+        c.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+    rows = QUERIES[name](spark, folder).collect()
+    assert len({r.symbol for r in rows}) == symbols
+    test_queries.test_matches_sql(spark, c, folder, name)

@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from quantloom.llm.common import map_texts
 
-#: The fewest characters of a candidate, and how far beside it words are read.
-LEAST, BESIDE = 12, 40
+#: The fewest characters of a word and of an assigned value that are candidates, and how far beside them words are read.
+LEAST, LEAST_ASSIGNED, BESIDE = 12, 4, 40
 _DIGIT = re.compile(r"\d")
 _ASSIGNED = re.compile(r"(?:password|passwd|pwd|secret|token|api[_-]?key|credential)s?[\"']?\s{0,2}[:=]\s{0,2}[\"']?([^\s\"',;]+)", re.I)
 _BLOCK = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----")
@@ -54,14 +54,13 @@ def _class(c: str) -> int:
 
 @lru_cache(maxsize=4096)
 def _own_features(value: str) -> tuple[float, ...]:
-    head = value[:400]  # of a key block; the length is the whole value's
-    n = len(head)
-    classes = [_class(c) for c in head]
-    counts = Counter(head)
+    n = len(value)
+    classes = [_class(c) for c in value]
+    counts = Counter(value)
     return (
         math.log2(len(value) + 1), sum(a != b for a, b in zip(classes, classes[1:])) / max(1, n - 1), len(counts) / n,
-        -sum(v / n * math.log2(v / n) for v in counts.values()), sum(len(m) for m in _PARTS.findall(head)) / n,
-        classes.count(2) / n, classes.count(1) / n, float(all(c in string.hexdigits for c in head)),
+        -sum(v / n * math.log2(v / n) for v in counts.values()), sum(len(m) for m in _PARTS.findall(value)) / n,
+        classes.count(2) / n, classes.count(1) / n, float(all(c in string.hexdigits for c in value)),
         float(bool(_PREFIX.match(value))), float(bool(_UUID.match(value))),
     )
 
@@ -97,7 +96,7 @@ def spans(text: str) -> list[tuple[int, int, str]]:
                 end -= 1
             cut = text.rfind("=", start, end - 1) if kind == "word" else -1
             start = cut + 1 if cut >= 0 and end - cut > LEAST else start
-        if start >= done and end - start >= LEAST:
+        if start >= done and end - start >= (LEAST_ASSIGNED if kind == "assigned" else LEAST):
             out.append((start, end, kind))
             done = end
     return out
@@ -132,11 +131,18 @@ def labelled_findings(n: int = 6000, seed: int = 7) -> list[tuple[str, str, str,
     sign = lambda: r.choice(["=", " = ", ": ", '="', ' = "', '": "'])
     path = lambda: r.choice(["src3", "app/main.py", "src11", "web", "config/prod.yml", "notes", "", "deploy.sh", "src0"])
     fake = lambda: r.choice(["tests/test_login.py", "docs/example.md", "fixtures/a.json", "package.lock"])
+    plain = ["none", "null", "true", "false", "required", "string", "optional", "changeme", "hidden", "password", "unknown", "default", *DICTIONARY]
+    leet = str.maketrans("aeios", "4310$")
+    short = lambda: r.choice([
+        lambda: word().capitalize() + word().translate(leet) + r.choice("!&#%?*") + some(string.digits, r.randint(1, 3)), lambda: word() + word() + some(string.digits, r.randint(1, 3)) + r.choice("!&#%?*"),
+        lambda: r.choice(DICTIONARY) + some(string.digits, r.randint(0, 3)) + r.choice("!&#%?*"), lambda: some(mixed, r.randint(6, 11)), lambda: some(mixed + "!&#%?*", r.randint(6, 11)),
+    ])()
     secret = [
         lambda: ("AKIA" + some(upper, 16), prose()), lambda: (r.choice(["ghp_", "gho_"]) + some(mixed, 36), prose()), lambda: ("sk-" + some(mixed, r.randint(24, 48)), prose()),
         lambda: ("xoxb-" + some(string.digits, 11) + "-" + some(mixed, 24), prose()), lambda: ("eyJ" + some(mixed, 20) + ".eyJ" + some(mixed, 40) + "." + some(mixed, 30), prose()),
         lambda: (some(hexes, r.choice([18, 20, 24, 32, 40, 64])), prose() + name() + sign()), lambda: (some(mixed, r.randint(14, 44)), prose() + name() + sign()),
         lambda: (some(mixed + "+/", 40), prose() + name() + sign()), lambda: ("-----BEGIN PRIVATE KEY-----\n" + some(mixed, 400) + "\n-----END PRIVATE KEY-----", "\n"), lambda: ("AIza" + some(mixed, 35), prose()),
+        lambda: (short(), prose() + name() + sign()), lambda: (short(), prose() + name() + sign()),
     ]
     harmless = [
         lambda: (some(hexes, r.choice([32, 40, 64])), prose() + r.choice(["sha256", "md5 ", "commit ", "checksum: ", "digest=", "etag "])),
@@ -147,6 +153,7 @@ def labelled_findings(n: int = 6000, seed: int = 7) -> list[tuple[str, str, str,
         lambda: (r.choice(["changeme", "your-password-here", "example-token-", "placeholder", "xxxxxxxx", "test-secret-"]) + some(string.digits, r.randint(3, 5)), prose() + name() + sign()),
         lambda: (some(string.digits, r.randint(12, 18)), prose() + r.choice(["", "order ", "serial ", "isbn ", "ref "])), lambda: (word() + "-" + word() + "-" + some(string.digits, 2) + "-" + word(), prose()),
         lambda: (r.choice(DICTIONARY) + "_" + r.choice(DICTIONARY) + "_" + r.choice(DICTIONARY) + some(string.digits, 1), prose()), lambda: ("v" + ".".join(some(string.digits, 2) for _ in range(4)) + "-" + word(), prose() + "version "),
+        lambda: (r.choice(plain), prose() + name() + sign()), lambda: (word() + word(), prose() + name() + sign()),
     ]
     out = []
     for i in range(n):

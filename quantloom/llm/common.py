@@ -57,17 +57,33 @@ def join_heavy(left: DataFrame, right: DataFrame, keys: list[str], count: str, m
 
     ``right`` has one row per key and the number of left rows in ``count``. A key that holds more than 1/most_heavy
     of all rows is heavy; there are fewer than ``most_heavy`` of those whatever the data, so only they are broadcast.
-    The others meet in a shuffled join. Keys must not be null.
+    The others always meet in a shuffled join, however small the tables. Keys must not be null.
     """
     total = right.agg(F.sum(count)).first()[0] or 0
     least = max(1, total // most_heavy)
     heavy = right.where(F.col(count) > least)
     flagged = left.join(F.broadcast(heavy.select(*keys, F.lit(True).alias("__heavy"))), keys, "left")
     a = flagged.where("__heavy").drop("__heavy").join(F.broadcast(heavy), keys)
-    b = flagged.where("__heavy is null").drop("__heavy").join(right.where(F.col(count) <= least), keys)
+    b = flagged.where("__heavy is null").drop("__heavy").join(right.where(F.col(count) <= least).hint("merge"), keys)
     return a.unionByName(b)
 
 
+def may_hold(rows: DataFrame, key: str, keys: DataFrame, log2_maps: int = 12) -> DataFrame:
+    """The ``rows`` whose ``key`` (a hash, long) may be among ``keys``, and few others.
+
+    The keys are folded into 2 ** log2_maps bit maps of 4 KB, which are broadcast: 16 MB at most, whatever the tables. The
+    more keys there are, the more rows pass in vain; none that belongs is ever left out.
+    """
+    part = lambda c: F.pmod(c, F.lit(1 << log2_maps))
+    bit = lambda c: F.shiftrightunsigned(c, 20).bitwiseAND(F.lit(32767))
+    maps = keys.groupBy(part(F.col(key)).alias("__part")).agg(F.bitmap_construct_agg(bit(F.col(key))).alias("__map"))
+    out = rows.withColumn("__part", part(F.col(key))).join(F.broadcast(maps), "__part")
+    at = bit(F.col(key))
+    byte = F.conv(F.hex(F.substring("__map", F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.expr("shiftright(__byte, __bit) & 1").cast("boolean")
+    return out.withColumn("__byte", byte).withColumn("__bit", at.bitwiseAND(F.lit(7)).cast("int")).where(held).drop("__part", "__map", "__byte", "__bit")
+
+
 def text_slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """Row slices of a batch with about SLICE_BYTES of text each (at least one row)."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
@@ -117,5 +133,5 @@ def bounded_sample(df: DataFrame, key: str, bound: int) -> DataFrame:
     n = df.count()
     if n <= bound:
         return df
-    cut = int(bound / n * 1_000_000) + 1
-    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1_000_000)) < cut)
+    turn = F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit("sample")), 1)  # 63 bits: fine enough for any number of rows
+    return df.where(turn < F.lit(int((1 << 63) * (bound / n))))

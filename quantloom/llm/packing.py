@@ -10,9 +10,10 @@ a hot source nor a very long document gathers rows in one task.
 from __future__ import annotations
 
 import base64
+import json
+import re
 from array import array
 from collections.abc import Iterator
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -33,24 +34,37 @@ class Encoder:
 
     No pre-token of the vocabulary's pattern spans a place between a character that isn't white space and white space
     after it, so a text may be cut there and its pieces encoded on their own. Where white space follows white space
-    the text is encoded in one go.
+    the text is encoded in one go. The spellings of ``specials`` in a text are those ids; what stands between is encoded apart.
     """
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, specials: dict[str, int]):
+        import regex
         import tiktoken
 
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        if max(ranks.values()) >= 1 << 16:
+        if max((*ranks.values(), *specials.values())) >= 1 << 16:
             raise ValueError("ids are kept in 16 bits; the vocabulary has more")
         self._encode = tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self._cache: dict[str, bytes] = {}
+        self._counts: dict[str, int] = {}
+        self._pattern = regex.compile(pattern)
+        self._specials = specials
+        self._special = re.compile("(" + "|".join(map(re.escape, sorted(specials, key=len, reverse=True))) + ")") if specials else None
+        #: A pre-token can depend on so many characters after its end.
+        self.context = 2 + max(map(len, specials), default=0)
 
     def _ids(self, piece: str) -> bytes:
         return array("H", self._encode(piece)).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids of ``text`` as little-endian unsigned 16-bit numbers."""
+        if self._special is None or not self._special.search(text):
+            return self._plain(text)
+        parts = self._special.split(text)
+        return b"".join([array("H", [self._specials[x]]).tobytes() if k % 2 else self._plain(x) for k, x in enumerate(parts)])
+
+    def _plain(self, text: str) -> bytes:
         if _UNSAFE.search(text):
             return self._ids(text)
         first, *rest = text.replace("\n", " \n").split(" ")
@@ -64,18 +78,57 @@ class Encoder:
                 cache[x] = self._ids(x if x.startswith("\n") else " " + x)
             return self._ids(first) + b"".join([cache[x] for x in rest])
 
+    def pretokens(self, text: str) -> list[str]:
+        """The text cut into pre-tokens (the unit that BPE merges within) and specials."""
+        if self._special is None or not self._special.search(text):
+            return self._pattern.findall(text)
+        return [y for k, x in enumerate(self._special.split(text)) for y in ([x] if k % 2 else self._pattern.findall(x))]
+
+    def pretokens_from(self, text: str, at: int) -> Iterator[str]:
+        """The same from a pre-token's beginning on, one by one."""
+        while at < len(text):
+            special = self._special.search(text, at) if self._special else None
+            end = special.start() if special else len(text)
+            for m in self._pattern.finditer(text, at, end):
+                yield m[0]
+            if special:
+                yield special[0]
+            at = special.end() if special else end
+
+    def counts(self, pretokens: list[str]) -> list[int]:
+        """How many ids each pre-token has."""
+        known = self._counts
+        try:
+            return [known[x] for x in pretokens]
+        except KeyError:
+            if len(known) > CACHE_PIECES:
+                known.clear()
+            for x in set(pretokens).difference(known):
+                known[x] = 1 if x in self._specials else len(self._encode(x))
+            return [known[x] for x in pretokens]
+
 
 def encoder(tokenizer: str) -> Encoder:
-    """The worker's encoder for a vocabulary file of the public tokenizers (``name.json`` and ``name.tiktoken`` are one)."""
+    """The worker's encoder for a vocabulary file of the public tokenizers.
+
+    ``name.json`` and ``name.tiktoken`` are one vocabulary; only the first names special tokens, which are found in texts.
+    """
     if tokenizer not in _encoders:
         import public_tokenizers as P
 
-        _encoders[tokenizer] = Encoder(P.path(tokenizer.removesuffix(".json") + ".tiktoken"), P.PATTERN)
+        specials = {}
+        if tokenizer.endswith(".json"):
+            with open(P.path(tokenizer), encoding="utf-8") as file:
+                specials = {x["content"]: x["id"] for x in json.load(file)["added_tokens"]}
+        _encoders[tokenizer] = Encoder(P.path(tokenizer.removesuffix(".json") + ".tiktoken"), P.PATTERN, specials)
     return _encoders[tokenizer]
 
 
 def encoded(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0) -> DataFrame:
-    """First pass: part, before (ids ahead within the part), doc_id, n, ids (16-bit little-endian, with the end id)."""
+    """First pass: part, before (ids ahead within the part), doc_id, n, ids (16-bit little-endian, with the end id).
+
+    Null and empty texts have the end id alone; repeated rows, and rows with a null doc_id, are encoded each by itself.
+    """
     bounded_batches(docs.sparkSession)
     end = int(end_id).to_bytes(2, "little")
 
@@ -128,5 +181,5 @@ def pack(docs: DataFrame, window: int = 1024, tokenizer: str = "byte_bpe_50k.jso
 
 
 def digest(pieces: DataFrame) -> DataFrame:
-    """The contract's columns of packed pieces."""
+    """The contract's columns of packed pieces: ids as their checksum. One row per row of ``pieces``, nulls in doc_id kept."""
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

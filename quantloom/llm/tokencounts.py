@@ -1,128 +1,206 @@
 """Token counts that follow edits.
 
-A text is cut into leaves of some hundred characters at places that no pre-token spans (before white space that follows
-another character). A segment tree keeps the leaves' token counts and their sums. An edit re-encodes only the leaves it
-touches, with the leaf of the character before and of the character after it as context, and updates the sums above them.
+A document's pre-tokens (the units that BPE merges within) are the leaves of a segment tree, whose nodes hold the sums of
+characters and of tokens below them. :func:`trees` adds a document's leaves to its row, so they can be stored and edited
+later without encoding the text again. :func:`apply_edits` finds the leaves that an edit touches by the sums of
+characters, cuts and encodes again from the last leaf that the edit can't reach up to the first old border behind it where
+cutting falls into step again, and updates the sums above. What lies outside is not read.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
-from itertools import accumulate
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import bounded_batches
-from quantloom.llm.packing import encoder
-
-#: The least number of characters of a leaf but the last.
-LEAF = 256
-_LEAF = re.compile(rf"[\s\S]{{{LEAF},}}?(?<=\S)(?=\s)")
-
-
-def leaves(text: str) -> list[str]:
-    """The text in leaves; their tokens are the text's tokens."""
-    ends = [0, *(m.end() for m in _LEAF.finditer(text))]
-    if ends[-1] < len(text):
-        ends.append(len(text))
-    return [text[a:b] for a, b in zip(ends, ends[1:])]
+from quantloom.llm.common import map_texts
+from quantloom.llm.packing import Encoder, encoder
 
 
 class CountTree:
-    """Segment tree over the token counts of one text's leaves."""
-
-    def __init__(self, text: str, count):
-        self._count = count
-        self.leaves = leaves(text) or [""]
-        self.size = 1 << (len(self.leaves) - 1).bit_length()
-        self.sums = [0] * self.size + [count(x) for x in self.leaves] + [0] * (self.size - len(self.leaves))
-        for i in range(self.size - 1, 0, -1):
-            self.sums[i] = self.sums[2 * i] + self.sums[2 * i + 1]
+    """Segment tree over one text's leaves: characters and tokens. An edit may leave several pre-tokens in one leaf."""
+
+    def __init__(self, text: str, lengths: np.ndarray, tokens: np.ndarray, enc: Encoder):
+        self.text, self._enc, self.leaves = text, enc, len(lengths)
+        self.size = size = 1 << max(0, len(lengths) - 1).bit_length()
+        self.sums = np.zeros((2, 2 * size), np.int64)
+        self.sums[0, size : size + len(lengths)], self.sums[1, size : size + len(lengths)] = lengths, tokens
+        while size > 1:
+            half = size // 2
+            self.sums[:, half:size] = self.sums[:, size : 2 * size : 2] + self.sums[:, size + 1 : 2 * size : 2]
+            size = half
         self.reencoded = 0
 
+    @classmethod
+    def of(cls, text: str, enc: Encoder) -> CountTree:
+        own = enc.pretokens(text)
+        return cls(text, np.array([len(x) for x in own], np.int64), np.array(enc.counts(own), np.int64), enc)
+
     @property
     def total(self) -> int:
-        return self.sums[1]
-
-    def _set(self, leaf: int, text: str) -> None:
-        self.leaves[leaf] = text
+        return int(self.sums[1, 1])
+
+    def stored(self) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths and tokens of the leaves that hold text."""
+        own = self.sums[:, self.size : self.size + self.leaves]
+        return tuple(own[:, own[0] > 0])
+
+    def _leaf(self, at: int) -> tuple[int, int]:
+        """The leaf that holds character ``at``, and where it begins; beyond the end, the number of leaves."""
+        if at >= self.sums[0, 1]:
+            return self.leaves, int(self.sums[0, 1])
+        i, before = 1, 0
+        while i < self.size:
+            i *= 2
+            if at - before >= self.sums[0, i]:
+                before += int(self.sums[0, i])
+                i += 1
+        return i - self.size, before
+
+    def _set(self, leaf: int, chars: int, tokens: int) -> None:
         i = self.size + leaf
-        change = (self._count(text) if text else 0) - self.sums[i]
-        self.reencoded += bool(text)
+        change = np.array([chars, tokens]) - self.sums[:, i]
         while i:
-            self.sums[i] += change
+            self.sums[:, i] += change
             i //= 2
 
     def edit(self, edits: list[tuple[int, int, str]]) -> None:
-        """Apply edits (start, end, replacement), which don't overlap, at positions of the text as it is now."""
-        ends = list(accumulate(map(len, self.leaves)))
-        total = ends[-1]
-        touched: list[list] = []  # first and last leaf, and the edits inside; edits whose leaves meet are one region
+        """Apply edits (start, end, replacement) at positions of the text as it is now.
+
+        Positions beyond the text are moved to its ends. Of edits that overlap, the later start loses what is gone.
+        """
+        todo, done, parts = [], 0, []
         for a, b, new in sorted(edits, key=lambda e: e[:2]):
-            a, b = min(max(a, 0), total), min(max(b, a, 0), total)
-            first = min(bisect_right(ends, max(a - 1, 0)), len(ends) - 1)
-            last = min(bisect_right(ends, b), len(ends) - 1)
-            if touched and first <= touched[-1][1]:
-                touched[-1][1] = max(last, touched[-1][1])
-                touched[-1][2].append((a, b, new))
-            else:
-                touched.append([first, last, [(a, b, new)]])
-        for first, last, own in touched:
-            at = ends[first] - len(self.leaves[first])
-            old, out, done = "".join(self.leaves[first : last + 1]), [], 0
-            for a, b, new in own:
-                out += [old[done : max(a - at, done)], new]
-                done = max(done, b - at)
-            self._set(first, "".join(out) + old[done:])
-            for k in range(first + 1, last + 1):
-                self._set(k, "")
-
-
-#: Personal data that the edits of :func:`with_masks` replace.
-MASKS = ((re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+"), "<email>"), (re.compile(r"\+?\(?\d(?:[ ()-]{0,2}\d){8,}"), "<number>"))
+            a, b = (max(min(max(x, 0), len(self.text)), done) for x in (a, max(a, b)))
+            parts += [self.text[done:a], new]
+            todo.append((a, b, len(new)))
+            done = b
+        text = "".join(parts) + self.text[done:]
+        shift, k, changes = 0, 0, []  # characters that earlier regions have added; the changes are of the old leaves
+        while k < len(todo):
+            first, at = self._leaf(max(todo[k][0] - self._enc.context, 0))
+            first = min(first, max(self.leaves - 1, 0))
+            if first < self.leaves and at == self.sums[0, 1] and at:
+                at -= int(self.sums[0, self.size + first])
+            own, here, last = [], at + shift, self.leaves
+            moved, b = shift + todo[k][2] - (todo[k][1] - todo[k][0]), todo[k][1]
+            k += 1
+            for x in self._enc.pretokens_from(text, here):
+                own.append(x)
+                here += len(x)
+                while k < len(todo) and here - moved + self._enc.context > todo[k][0]:  # the next edit is of this region
+                    moved, b = moved + todo[k][2] - (todo[k][1] - todo[k][0]), todo[k][1]
+                    k += 1
+                if here - moved >= b:
+                    leaf, begin = self._leaf(here - moved)
+                    if begin == here - moved and leaf > first:
+                        last = leaf
+                        break
+            else:  # the text's end: edits behind it have nothing left to cut
+                moved += sum(n - (b - a) for a, b, n in todo[k:])
+                k = len(todo)
+            changes.append((first, last, sum(map(len, own)), sum(self._enc.counts(own))))
+            self.reencoded += len(own)
+            shift = moved
+        if not self.leaves:
+            self.leaves = 1
+        for first, last, chars, tokens in changes:
+            self._set(first, chars, tokens)
+            for leaf in range(first + 1, last):
+                if self.sums[0, self.size + leaf]:
+                    self._set(leaf, 0, 0)
+        self.text = text
+
+
+def trees(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
+    """The rows of ``docs`` (any columns, with text) and lengths, tokens (of its pre-tokens, in order) and n_tokens.
+
+    Null and empty texts have no leaves and no tokens. Repeated rows get theirs each. Columns of these names are replaced.
+    """
+    docs = docs.drop("lengths", "tokens", "n_tokens")
+
+    def run(rows: pa.RecordBatch) -> pa.RecordBatch:
+        enc = encoder(tokenizer)
+        own = [enc.pretokens(x or "") for x in rows.column("text").to_pylist()]
+        tokens = [enc.counts(x) for x in own]
+        lists = [pa.array([[len(y) for y in x] for x in own], pa.list_(pa.int32())), pa.array(tokens, pa.list_(pa.int32())), pa.array([sum(x) for x in tokens], pa.int64())]
+        return pa.RecordBatch.from_arrays([*rows.columns, *lists], [*rows.schema.names, "lengths", "tokens", "n_tokens"])
+
+    return map_texts(docs, run, _ddl(docs) + "lengths array<int>, tokens array<int>, n_tokens long")
+
+
+def apply_edits(trees_: DataFrame, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
+    """The rows of :func:`trees` after their ``edits``: text, lengths, tokens and n_tokens follow, edits are null.
+
+    ``edits`` is an array of (start, end, replacement) in code points of the text; null edits are none, a null text is empty,
+    a null replacement too. n_tokens_before is the count before them and n_reencoded how many pre-tokens were cut
+    and encoded for them: nothing else of the text is encoded. Columns of these two names are replaced.
+    """
+    trees_ = trees_.drop("n_tokens_before", "n_reencoded")
+    names = trees_.columns
+
+    def run(rows: pa.RecordBatch) -> pa.RecordBatch:
+        enc = encoder(tokenizer)
+        cols = {x: rows.column(x).to_pylist() for x in ("text", "lengths", "tokens", "n_tokens", "edits")}
+        before, again = list(cols["n_tokens"]), [0] * rows.num_rows
+        for i, own in enumerate(cols["edits"]):
+            if own:
+                tree = CountTree(cols["text"][i] or "", np.array(cols["lengths"][i], np.int64), np.array(cols["tokens"][i], np.int64), enc)
+                tree.edit([(e["start"], e["end"], e["replacement"] or "") for e in own])
+                cols["text"][i], cols["n_tokens"][i], again[i] = tree.text, tree.total, tree.reencoded
+                cols["lengths"][i], cols["tokens"][i] = tree.stored()
+        cols["edits"] = [None] * rows.num_rows
+        out = [pa.array(cols[x], rows.schema.field(x).type) if x in cols else rows.column(x) for x in names]
+        return pa.RecordBatch.from_arrays([*out, pa.array(before, pa.int64()), pa.array(again, pa.int64())], [*names, "n_tokens_before", "n_reencoded"])
+
+    return map_texts(trees_, run, _ddl(trees_) + "n_tokens_before long, n_reencoded long")
+
+
+def _ddl(df: DataFrame) -> str:
+    return "".join(f"`{x.name}` {x.dataType.simpleString()}, " for x in df.schema)
+
+
+#: Personal data that the edits of :func:`with_masks` replace: what follows the at sign, and numbers of nine digits or more.
+_MAIL, _LOCAL = re.compile(r"@[\w-]+(?:\.[\w-]+)+"), re.compile(r"[\w.+-]")
+_NUMBER = re.compile(r"\+?\(?\d(?:[ ()-]{0,2}\d){8,}")
 _EDITS = "array<struct<start:int,end:int,replacement:string>>"
 
 
-def _masks(text: pd.Series) -> pd.Series:
-    out = []
-    for x in text:
-        found, end = [], 0
-        for a, b, new in sorted((*m.span(), new) for mask, new in MASKS for m in mask.finditer(x or "")):
-            if a >= end:
-                found.append({"start": a, "end": b, "replacement": new})
-                end = b
-        out.append(found)
-    return pd.Series(out)
+def masks(text: str) -> list[dict]:
+    """Edits that mask e-mail addresses and long numbers, in order, without overlaps; linear in the text."""
+    found, at = [], text.find("@")
+    while at >= 0:
+        start, done = at, found[-1][1] if found else 0
+        while start > done and _LOCAL.match(text[start - 1]):
+            start -= 1
+        m = _MAIL.match(text, at) if start < at else None
+        if m:
+            found.append((start, m.end(), "<email>"))
+        at = text.find("@", m.end() if m else at + 1)
+    found += [(*m.span(), "<number>") for m in _NUMBER.finditer(text)]
+    out, end = [], 0
+    for a, b, new in sorted(found):
+        if a >= end:
+            out.append({"start": a, "end": b, "replacement": new})
+            end = b
+    return out
 
 
 def with_masks(docs: DataFrame) -> DataFrame:
-    """doc_id, text and edits that mask e-mail addresses and long numbers."""
-    return docs.select("doc_id", "text", F.pandas_udf(_masks, _EDITS)("text").alias("edits"))
+    """doc_id, text and edits that mask e-mail addresses and long numbers; null and empty texts have no edits."""
+    edits = F.pandas_udf(lambda text: pd.Series([masks(x or "") for x in text]), _EDITS)
+    return docs.select("doc_id", "text", edits("text").alias("edits"))
 
 
 def counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
     """doc_id, n_tokens, n_tokens_edited, n_leaves and n_reencoded of every row of doc_id, text and edits.
 
-    ``edits`` is an array of (start, end, replacement) in code points of the text. Null texts count as empty, null edits as
-    none; positions beyond the text are moved to its end, and of edits that overlap the later start loses what is
-    gone. Repeated rows are counted each by itself. An empty text has no tokens and one empty leaf.
+    A row's tree is built once and its edits are applied to it, as :func:`apply_edits` says. n_leaves is that of the tree
+    before them. Repeated rows are counted each by itself. An empty text has no tokens and no leaves.
     """
-
-    @F.pandas_udf("n_tokens long, n_tokens_edited long, n_leaves long, n_reencoded long")
-    def count(text: pd.Series, edits: pd.Series) -> pd.DataFrame:
-        encode = encoder(tokenizer).encode
-        out = []
-        for x, own in zip(text, edits):
-            tree = CountTree(x or "", lambda t: len(encode(t)) // 2)
-            before = tree.total
-            if own is not None and len(own):
-                tree.edit([(e["start"], e["end"], e["replacement"] or "") for e in own])
-            out.append((before, tree.total, len(tree.leaves), tree.reencoded))
-        return pd.DataFrame(np.array(out, np.int64).reshape(-1, 4), columns=["n_tokens", "n_tokens_edited", "n_leaves", "n_reencoded"])
-
-    bounded_batches(docs.sparkSession)
-    return docs.select("doc_id", count("text", "edits").alias("c")).select("doc_id", "c.*")
+    own = trees(docs.select("doc_id", "text", "edits"), tokenizer).withColumn("n_leaves", F.size("lengths").cast("long"))
+    return apply_edits(own, tokenizer).select("doc_id", F.col("n_tokens_before").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_edited"), "n_leaves", "n_reencoded")

@@ -14,7 +14,6 @@ def tokenizer():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
@@ -56,7 +55,7 @@ def test_packing_awkward_rows(spark):
 
 def test_encoder_equals_the_tokenizer():
     enc, ids_of = packing.encoder("byte_bpe_50k.json"), tokenizer()
-    texts = ["", " ", "  a", "a  b", "a \n b", "a\n\nb", "it's 12,000.5%", "日本 🙂 é", "a b   c", "x\r\ny", "<|endoftext|> a", *(r[1][:400] for r in cases.rows() if r[1])]
+    texts = ["", " ", "  a", "a  b", "a \n b", "a\n\nb", "it's 12,000.5%", "日本 🙂 é", "a b   c", "x\r\ny", "<|endoftext|> a", "a  <|endoftext|><|endoftext|>  b", "<|endoftext|", "x<|endoftext|>", *(r[1][:400] for r in cases.rows() if r[1])]
     for text in texts:
         assert np.frombuffer(enc.encode(text), "<u2").tolist() == ids_of(text), text
 
@@ -133,51 +132,91 @@ def test_op7_counts_follow_edits(spark, sf_dir):
         for e in reversed(edits[r.doc_id]):
             text = text[: e["start"]] + e["replacement"] + text[e["end"] :]
         assert r.n_tokens_edited == len(ids_of(text))
-        assert (r.n_reencoded > 0) == bool(edits[r.doc_id]) and r.n_reencoded <= len(edits[r.doc_id])
+        assert (r.n_reencoded > 0) == bool(edits[r.doc_id]) and r.n_reencoded <= 60 * len(edits[r.doc_id])
 
 
 def test_random_edits_of_a_tree():
-    enc = packing.encoder("byte_bpe_50k.json").encode
-    count = lambda t: len(enc(t)) // 2
+    enc = packing.encoder("byte_bpe_50k.json")
+    count = lambda t: len(enc.encode(t)) // 2
     r = random.Random(4)
-    for text in [x[1] for x in cases.rows() if x[1] is not None]:
-        tree = tokencounts.CountTree(text, count)
+    texts = [x[1] for x in cases.rows() if x[1] is not None] + ["a  <|endoftext|> it's   we'll", "<|endoftext|>" * 3, "  \n x'reve 12 3"]
+    for text in [*texts, *(t[:40] for t in texts for _ in range(12))]:
+        tree = tokencounts.CountTree.of(text, enc)
         for _ in range(4):
-            now = "".join(tree.leaves)
+            now = tree.text
             cuts = sorted(r.randrange(len(now) + 1) for _ in range(4))
-            own = [(cuts[0], cuts[1], r.choice(["", " ", "\n", "zz", " a b "])), (cuts[2], cuts[3], r.choice(["x", ""]))]
+            own = [(cuts[0], cuts[1], r.choice(["", " ", "\n", "zz", " a b ", "'", "<|endoftext|>", "  "])), (cuts[2], cuts[3], r.choice(["x", "", "re", ">", " "]))]
             tree.edit(own)
             want = now[: cuts[0]] + own[0][2] + now[cuts[1] : cuts[2]] + own[1][2] + now[cuts[3] :]
-            assert "".join(tree.leaves) == want and tree.total == count(want)
+            assert tree.text == want and tree.total == count(want), (now, own)
+            assert tree.sums[0, 1] == len(want) and [len(x) for x in tree.stored()][0] == len(tree.stored()[1])
+
+
+def test_an_edit_encodes_its_surroundings_only(spark):
+    """Trees are stored and edited later; the encoder sees a handful of pre-tokens of 200,000."""
+    enc = packing.encoder("byte_bpe_50k.json")
+    text = "some words, 12 of them, and more\n" * 20_000
+    tree, seen = tokencounts.CountTree.of(text, enc), []
+    plain = type(enc).counts
+    try:
+        type(enc).counts = lambda self, x: (seen.extend(x), plain(self, x))[1]
+        tree.edit([(300_000, 300_004, "other "), (5, 5, "!")])
+    finally:
+        type(enc).counts = plain
+    assert len(seen) == tree.reencoded < 40 and tree.total == len(enc.encode(tree.text)) // 2
+    docs = spark.createDataFrame([(1, "it is here", "a"), (2, None, "b")], "doc_id long, text string, tokens string")
+    first = tokencounts.trees(docs).withColumn("edits", tokencounts.F.expr("array(named_struct('start', 3, 'end', 5, 'replacement', 'was'))"))
+    second = tokencounts.apply_edits(first).withColumn("edits", tokencounts.F.expr("array(named_struct('start', 0, 'end', 2, 'replacement', 'He'))"))
+    got = {r.doc_id: r for r in tokencounts.apply_edits(second).collect()}
+    assert got[1].text == "He was here" and got[1].n_tokens == len(enc.encode("He was here")) // 2 == sum(got[1].tokens) and got[2].text == "Hes"
+
+
+def test_long_texts_without_space_take_linear_time():
+    import time
+
+    enc = packing.encoder("byte_bpe_50k.json")
+    began = time.perf_counter()
+    for text in ("x" * 300_000, "x@" * 150_000, "(1" * 150_000, "a.b-" * 75_000, "1" * 300_000):
+        tree = tokencounts.CountTree.of(text, enc)
+        tree.edit([(e["start"], e["end"], e["replacement"]) for e in tokencounts.masks(text)])
+    assert tokencounts.masks("to x.y@a.b.c, not @a.b") == [{"start": 3, "end": 12, "replacement": "<email>"}]
+    assert time.perf_counter() - began < 60
 
 
 def test_counts_awkward_rows(spark):
     docs = cases.docs(spark).selectExpr("*", "if(doc_id % 2 = 0, array(named_struct('start', 2, 'end', 99999999, 'replacement', 'zz')), null) AS edits")
     got = {r.doc_id: r for r in tokencounts.counts(docs).collect()}
-    assert got[0].n_tokens == got[1].n_tokens == 0 and got[10].n_leaves > 100 and got[10].n_tokens_edited < 5
+    assert got[1].n_tokens == 0 == got[1].n_leaves and got[0].n_tokens == 0 and got[0].n_tokens_edited == 1
+    assert got[10].n_leaves > 100 and got[10].n_tokens_edited < 5
     assert tokencounts.counts(docs.limit(0)).count() == 0
 
 
-def best_score(model, scores, text):
-    """Brute force: the largest sum of scores over all segmentations."""
-    best = {0: 0.0}
-    for e in range(1, len(text) + 1):
-        best[e] = max((best[s] + (scores[text[s:e]] if text[s:e] in scores else model._cost if e == s + 1 else -np.inf)) for s in range(max(0, e - model._longest), e))
-    return best[len(text)]
-
-
-def test_viterbi_finds_the_best_segmentation():
+def test_ids_are_the_models():
     import public_tokenizers
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
-    model = pieces.model()
-    scores = {sp.id_to_piece(i): sp.get_score(i) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
-    for word in ["theaeath", "hestha", "Kraftfahrzeug", "naïve", "a", "xyzzyqq", "日本語", "12345.67"]:
-        ids = np.frombuffer(model.encode([word])[0], "<u2").tolist()
-        got = sum(sp.get_score(i) for i in ids if not sp.is_byte(i)) + model._cost * sum(c not in scores for c in word)
-        assert got == pytest.approx(best_score(model, scores, "▁" + word)), word
-        assert model.decode(np.array(ids)) == word
+    r = random.Random(2)
+    texts = ["theaeath", "the theatre", "Kraftfahrzeug", "naïve", "xyzzyqq", "日本語 日  日", "12345.67", "", " ", "  lead", "a  b", " " * 33 + "y", " " * 40, "▁a", "a\n\n  b", "=" * 50]
+    texts += ["".join(r.choice("abcdetnhéß日▁ \n0-") for _ in range(r.randrange(40))) for _ in range(800)]
+    texts += [x[1] for x in cases.rows() if x[1]] + ["".join(r.choice("abcdetnh") for _ in range(5000))]
+    got = [np.frombuffer(x, "<u2").tolist() for x in pieces.model().encode(texts)]
+    assert got == sp.encode(texts)
+
+
+def test_viterbi_of_a_model_of_scores():
+    """Without merges, the largest sum of scores over all segmentations; checked by trying them all."""
+    r = random.Random(3)
+    scores = {x: -r.random() * 5 for x in ("▁", "a", "b", "c", "ab", "bc", "abc", "▁a", "▁ab", "ca", "bca")}
+    model = pieces.Pieces([("", 0.0), *scores.items()], {i: 0 for i in range(256)})
+    sums = [0.0, *scores.values()]
+    for _ in range(60):
+        text = "▁" + "".join(r.choice("abc") for _ in range(r.randrange(1, 9)))
+        best = {0: 0.0}
+        for e in range(1, len(text) + 1):
+            best[e] = max(best[s] + scores[text[s:e]] for s in range(e) if text[s:e] in scores)
+        ids = np.frombuffer(model.encode([text[1:]])[0], "<u2").tolist()
+        assert sum(sums[i] for i in ids) == pytest.approx(best[len(text)])
 
 
 def test_op8_round_trip(spark, sf_dir):

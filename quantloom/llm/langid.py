@@ -21,10 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import bounded_sample, map_texts
+from quantloom.llm.common import map_texts
 
-#: Byte pairs with a place in the table of quadruples: PAIRS ** 2 rows of one float a language.
-PAIRS = 1000
+#: Byte pairs with a place in the table of quadruples (PAIRS ** 2 rows of one float a language), and the most bytes of the
+#: table, which goes to every task: with many languages fewer pairs have a place. The tree answers for the rest.
+PAIRS, TABLE_BYTES = 1000, 64_000_000
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -45,15 +46,16 @@ def _bytes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 class Ppm:
     """Frozen byte statistics of several languages."""
 
-    def __init__(self, grams: dict[str, list[tuple[int, int]]], pairs: int = PAIRS):
+    def __init__(self, grams: dict[str, list[tuple[int, int]] | np.ndarray], pairs: int = PAIRS):
         """grams: by language, (quadruple of bytes, count) pairs."""
         self.langs = sorted(grams)
-        self._trees = [self._tree(np.array(grams[x], np.int64).reshape(-1, 2)) for x in self.langs]
-        total: dict[int, int] = {}
-        for rows in grams.values():
-            for code, n in rows:
-                total[code & 0xFFFF] = total.get(code & 0xFFFF, 0) + n
-        common = sorted(total, key=lambda x: (-total[x], x))[:pairs]
+        rows = {x: np.asarray(grams[x], np.int64).reshape(-1, 2) for x in self.langs}
+        self._trees = [self._tree(rows[x]) for x in self.langs]
+        total = np.zeros(1 << 16, np.int64)
+        for own in rows.values():
+            np.add.at(total, own[:, 0] & 0xFFFF, own[:, 1])
+        most = min(pairs, int((TABLE_BYTES / 4 / max(1, len(self.langs))) ** 0.5))
+        common = [x for x in np.argsort(-total, kind="stable")[:most].tolist() if total[x]]
         self._pair = np.full(1 << 16, -1, np.int32)
         self._pair[common] = np.arange(len(common))
         self._n = len(common)
@@ -116,15 +118,18 @@ class Ppm:
         return out
 
 
-def fit(docs: DataFrame, max_docs: int = 4000, max_grams: int = 500_000) -> Ppm:
+def fit(docs: DataFrame, max_docs: int = 1000) -> Ppm:
     """Context trees from documents with text and lang.
 
-    The fit reads at most about ``max_docs`` documents, chosen by a hash of their doc_id, and whole texts of those.
-    Their quadruples are summed in Spark; the ``max_grams`` commonest (language, quadruple) pairs reach the driver, and rarer
-    ones are as if never seen. Both are bounds of the fit alone: every text is scored whole. Rows with a null text or lang
-    are not learned from.
+    The fit reads at most about ``max_docs`` documents of each language, chosen by a hash of doc_id and text, and whole texts
+    of those. That is a bound of the fit alone: every text is scored whole. Their quadruples are summed in Spark, and
+    all of them make the trees; no more of them than the sample has bytes can reach the driver. A row that repeats
+    is drawn with its copies or not at all. Rows with a null text or lang are not learned from.
     """
-    sample = bounded_sample(docs.select("doc_id", "text", "lang").where("text is not null and lang is not null"), "doc_id", max_docs)
+    known = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null")
+    sizes = known.groupBy("lang").agg(F.count("*").alias("__n"))  # one row a language
+    turn = F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit("sample")), 11) / F.lit(float(1 << 53))
+    sample = known.join(F.broadcast(sizes), "lang").where(turn < F.lit(max_docs) / F.col("__n")).drop("__n")
 
     def count(rows: pa.RecordBatch) -> pa.RecordBatch:
         by: dict[str, list[str]] = {}
@@ -144,11 +149,10 @@ def fit(docs: DataFrame, max_docs: int = 4000, max_grams: int = 500_000) -> Ppm:
             counts.append(n)
         return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate(codes or [[]]).astype(np.int64)), pa.array(np.concatenate(counts or [[]]).astype(np.int64))], ["lang", "code", "n"])
 
-    grams = map_texts(sample, count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    out: dict[str, list[tuple[int, int]]] = {}
-    for lang, code, n in grams.orderBy(F.desc("n"), "lang", "code").limit(max_grams).collect():
-        out.setdefault(lang, []).append((code, n))
-    return Ppm(out)
+    grams = map_texts(sample, count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
+    lang = grams.column("lang").to_pandas().astype("category")
+    rows = np.c_[grams.column("code").to_numpy(), grams.column("n").to_numpy()]
+    return Ppm({x: rows[(lang == x).to_numpy()] for x in lang.cat.categories})
 
 
 def _answers(ppm: Ppm, texts: list[str | None], sharpness: float) -> tuple[list[str], list[float]]:

@@ -1,8 +1,9 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-Candidates are words with a digit, values assigned to a telling name, and private key blocks. Each is described by its
-length, the transitions between its characters, how much of it dictionary words cover, its path (the document's
-source) and the words beside it. A random forest trained from labelled findings decides.
+Candidates are private key blocks, values assigned to a telling name, words with a digit, and words without one that are
+long or begin as known tokens do. Each is described by its length, the transitions between its characters, how much of
+it dictionary words cover, its path (the document's source) and the words beside it. A random forest trained from labelled
+findings decides. Every search is a single scan: the work is linear in the text.
 """
 
 from __future__ import annotations
@@ -11,9 +12,11 @@ import math
 import random
 import re
 import string
+from bisect import bisect_right
 from collections import Counter
 from functools import lru_cache
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -22,11 +25,15 @@ from pyspark.sql import functions as F
 
 from quantloom.llm.common import map_texts
 
-#: The fewest characters of a word and of an assigned value that are candidates, and how far beside them words are read.
-LEAST, LEAST_ASSIGNED, BESIDE = 12, 4, 40
+#: The fewest characters of a word, of a word without a digit, and of an assigned value that are candidates.
+LEAST, LEAST_PLAIN, LEAST_ASSIGNED = 12, 20, 4
+#: The neighbourhood that is described: so many characters on either side, and so many words of those before.
+BESIDE, WORDS_BESIDE = 40, 3
 _DIGIT = re.compile(r"\d")
 _ASSIGNED = re.compile(r"(?:password|passwd|pwd|secret|token|api[_-]?key|credential)s?[\"']?\s{0,2}[:=]\s{0,2}[\"']?([^\s\"',;]+)", re.I)
-_BLOCK = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----")
+_BEGIN = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
+_END = re.compile(r"-----END [A-Z ]*PRIVATE KEY-----")
+_PLAIN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}|(?:AKIA|ASIA|gh[pousr]_|github_pat_|xox[abprs]-|sk[-_]|AIza|glpat-|npm_)[A-Za-z0-9_-]+" % LEAST_PLAIN)
 _VALUE = re.compile(r"[A-Za-z0-9+/_=.~@:-]+")
 _TELLING = re.compile(r"pass(?:word|wd)?|pwd|secret|token|key|auth|credential|bearer", re.I)
 _HARMLESS = re.compile(r"sha\d*|md5|digest|checksum|commit|uuid|guid|hash|version|revision|etag|phone|call|order|serial|isbn|build|ref", re.I)
@@ -67,57 +74,83 @@ def _own_features(value: str) -> tuple[float, ...]:
 
 def features(value: str, before: str, after: str, path: str) -> list[float]:
     """The numbers of NAMES for a candidate."""
-    near = before[-24:]
+    near = " ".join(before.split()[-WORDS_BESIDE:])
     return [
         *_own_features(value), float(bool(_TEST_PATH.search(path))), float(bool(_TELLING.search(near))), float(bool(re.search(r"[:=]\s*[\"']?$", before))),
         float(bool(_HARMLESS.search(near) or _HARMLESS.match(after.strip()[:10]))), float("@" in value or "://" in value), value.count(".") / len(value),
     ]
 
 
-def spans(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of the candidates of a text, in order, without overlaps."""
-    found = [(*m.span(), "block") for m in _BLOCK.finditer(text)] if "-----BEGIN" in text else []
-    if "=" in text or ":" in text:
-        found += [(*m.span(1), "assigned") for m in _ASSIGNED.finditer(text)]
-    at = 0
+def _blocks(text: str) -> list[tuple[int, int]]:
+    """Private key blocks, from a beginning to the next end; a beginning without an end ends the search."""
+    out, begin = [], _BEGIN.search(text)
+    while begin:
+        end = _END.search(text, begin.end())
+        if not end:
+            break
+        out.append((begin.start(), end.end()))
+        begin = _BEGIN.search(text, end.end())
+    return out
+
+
+def _words(text: str) -> list[tuple[int, int]]:
+    """Words that may be secrets on their own: with a digit, or long, or with the beginning of a known token."""
+    out, at = [], 0
     while m := _DIGIT.search(text, at):
-        start = m.start()
-        while start and not text[start - 1].isspace():
+        start, end = m.start(), m.end()
+        while start > at and not text[start - 1].isspace():
             start -= 1
-        end = m.end()
         while end < len(text) and not text[end].isspace():
             end += 1
         at = end
-        found += [(start + v.start(), start + v.end(), "word") for v in _VALUE.finditer(text[start:end]) if _DIGIT.search(v[0])]
-    out, done = [], 0
-    for start, end, kind in sorted(found, key=lambda x: (x[0], -x[1], x[2])):
-        if kind != "block":
-            while end > start and text[end - 1] in ".,:;=-":
-                end -= 1
-            cut = text.rfind("=", start, end - 1) if kind == "word" else -1
-            start = cut + 1 if cut >= 0 and end - cut > LEAST else start
-        if start >= done and end - start >= (LEAST_ASSIGNED if kind == "assigned" else LEAST):
-            out.append((start, end, kind))
-            done = end
+        for v in _VALUE.finditer(text, start, end):
+            if _DIGIT.search(v[0]):
+                cut = v[0].rfind("=", 0, -1) + 1
+                out.append((v.start() + (cut if len(v[0]) - cut >= LEAST else 0), v.end()))
+    return out + [m.span() for m in _PLAIN.finditer(text) if not _DIGIT.search(m[0])]
+
+
+def spans(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of the candidates of a text, in order, without overlaps.
+
+    A block comes before an assigned value, that before a word, and of two words the one that begins first.
+    """
+    out: list[tuple[int, int, str]] = []
+    for kind, found in (("block", _blocks(text)), ("assigned", [m.span(1) for m in _ASSIGNED.finditer(text)]), ("word", _words(text))):
+        taken, own, done = [x[:2] for x in out], [], 0
+        for start, end in sorted(found, key=lambda x: (x[0], -x[1])):
+            if kind != "block":
+                while end > start and text[end - 1] in ".,:;=-":
+                    end -= 1
+            k = bisect_right(taken, (start, len(text) + 1))
+            free = start >= done and not (k and taken[k - 1][1] > start) and not (k < len(taken) and taken[k][0] < end)
+            if free and end - start >= (LEAST if kind == "word" else LEAST_ASSIGNED):
+                own.append((start, end, kind))
+                done = end
+        out = sorted(out + own)
     return out
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, start, end (code points), kind, value and features of every candidate of whole texts."""
+    """doc_id, start, end (code points), kind, value and features of every candidate of whole texts, and text_hash.
+
+    Null and empty texts have none; a null source is an empty path. Repeated rows give theirs each. text_hash (xxhash64 of
+    the text) tells rows apart that share a doc_id or have none.
+    """
 
     def run(rows: pa.RecordBatch) -> pa.RecordBatch:
-        out: dict[str, list] = {k: [] for k in ("doc_id", "start", "end", "kind", "value", "features")}
-        for doc, text, path in zip(*(rows.column(k).to_pylist() for k in ("doc_id", "text", "source"))):
+        out: dict[str, list] = {k: [] for k in ("doc_id", "text_hash", "start", "end", "kind", "value", "features")}
+        for doc, own, text, path in zip(*(rows.column(k).to_pylist() for k in ("doc_id", "text_hash", "text", "source"))):
             for start, end, kind in spans(text or ""):
                 value = text[start:end]
-                row = (doc, start, end, kind, value, features(value, text[max(0, start - BESIDE) : start], text[end : end + BESIDE], path or ""))
+                row = (doc, own, start, end, kind, value, features(value, text[max(0, start - BESIDE) : start], text[end : end + BESIDE], path or ""))
                 for k, v in zip(out, row):
                     out[k].append(v)
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.float64()))
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.float64()))
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], list(out))
 
-    schema = "doc_id long, start int, end int, kind string, value string, features array<double>"
-    return map_texts(docs.select("doc_id", "text", "source"), run, schema)
+    schema = "doc_id long, text_hash long, start int, end int, kind string, value string, features array<double>"
+    return map_texts(docs.select("doc_id", "text", "source", F.xxhash64("text").alias("text_hash")), run, schema)
 
 
 def labelled_findings(n: int = 6000, seed: int = 7) -> list[tuple[str, str, str, str, int]]:
@@ -143,6 +176,7 @@ def labelled_findings(n: int = 6000, seed: int = 7) -> list[tuple[str, str, str,
         lambda: (some(hexes, r.choice([18, 20, 24, 32, 40, 64])), prose() + name() + sign()), lambda: (some(mixed, r.randint(14, 44)), prose() + name() + sign()),
         lambda: (some(mixed + "+/", 40), prose() + name() + sign()), lambda: ("-----BEGIN PRIVATE KEY-----\n" + some(mixed, 400) + "\n-----END PRIVATE KEY-----", "\n"), lambda: ("AIza" + some(mixed, 35), prose()),
         lambda: (short(), prose() + name() + sign()), lambda: (short(), prose() + name() + sign()),
+        lambda: (r.choice(["ghp_", "glpat-", "npm_", "sk-"]) + some(string.ascii_letters, r.randint(24, 36)), prose()),
     ]
     harmless = [
         lambda: (some(hexes, r.choice([32, 40, 64])), prose() + r.choice(["sha256", "md5 ", "commit ", "checksum: ", "digest=", "etag "])),
@@ -154,6 +188,8 @@ def labelled_findings(n: int = 6000, seed: int = 7) -> list[tuple[str, str, str,
         lambda: (some(string.digits, r.randint(12, 18)), prose() + r.choice(["", "order ", "serial ", "isbn ", "ref "])), lambda: (word() + "-" + word() + "-" + some(string.digits, 2) + "-" + word(), prose()),
         lambda: (r.choice(DICTIONARY) + "_" + r.choice(DICTIONARY) + "_" + r.choice(DICTIONARY) + some(string.digits, 1), prose()), lambda: ("v" + ".".join(some(string.digits, 2) for _ in range(4)) + "-" + word(), prose() + "version "),
         lambda: (r.choice(plain), prose() + name() + sign()), lambda: (word() + word(), prose() + name() + sign()),
+        lambda: ("".join(word() for _ in range(5))[:30] + "en" * 6, prose()), lambda: (r.choice("-=_") * r.randint(20, 60), prose()),
+        lambda: (r.choice("-_/").join(r.choice([word(), r.choice(DICTIONARY)]) for _ in range(6)), prose()),
     ]
     out = []
     for i in range(n):
@@ -175,32 +211,41 @@ def fit(spark: SparkSession, findings: list[tuple[str, str, str, str, int]] | No
 
 
 def scan(docs: DataFrame, model: RandomForestClassificationModel) -> DataFrame:
-    """doc_id, start, end, kind, value, score (0 to 1) and is_secret of every candidate of every row.
+    """doc_id, start, end, kind, value, score (0 to 1), is_secret and text_hash of every candidate of every row.
 
     ``docs`` has doc_id, text and source (the path). Null and empty texts have no candidates and a null source is an
     empty path; long texts are read whole. Repeated rows give their findings each. Other columns are not read.
     """
     found = candidates(docs).withColumn("features", array_to_vector("features"))
     scored = model.transform(found).withColumn("score", vector_to_array("probability")[1])
-    return scored.select("doc_id", "start", "end", "kind", "value", "score", (F.col("score") >= 0.5).alias("is_secret"))
+    return scored.select("doc_id", "start", "end", "kind", "value", "score", (F.col("score") >= 0.5).alias("is_secret"), "text_hash")
 
 
 def redact(docs: DataFrame, model: RandomForestClassificationModel, mark: str = "<secret>") -> DataFrame:
     """The rows of ``docs`` with each secret of their text replaced by ``mark``; n_chars, where there is one, follows.
 
-    All rows stay, those with a null doc_id untouched. Findings are joined by doc_id and replaced only where the value
-    stands at its place, so rows that share a doc_id are each cut by their own.
+    All rows stay. A row is known by its doc_id (which may be null) and the hash of its text, so rows that share a
+    doc_id are each cut by their own findings, which replace only the value that they found at its place.
     """
-    secret = scan(docs.where("doc_id is not null"), model).where("is_secret")
-    spans_ = F.array_sort(F.collect_set(F.struct("start", "end", "value"))).alias("__spans")
-    marks = secret.groupBy(F.col("doc_id").alias("__doc")).agg(spans_)
-    both = docs.join(marks, docs["doc_id"] == marks["__doc"], "left")
-    step = lambda s, x: F.when(
-        (x["start"] >= s["at"]) & (F.substring(F.col("text"), x["start"] + 1, x["end"] - x["start"]) == x["value"]),
-        F.struct(F.concat(s["done"], F.substring(F.col("text"), s["at"] + 1, x["start"] - s["at"]), F.lit(mark)).alias("done"), x["end"].alias("at")),
-    ).otherwise(s)
-    first = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
-    whole = F.aggregate("__spans", first, step, lambda s: F.concat(s["done"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
-    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(whole)
-    out = both.select(*[text.alias(c) if c == "text" else docs[c] for c in docs.columns])
+    secret = scan(docs, model).where("is_secret").select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__of"), "start", "end", "value")
+    marks = secret.groupBy("__doc", "__of").agg(F.array_sort(F.collect_set(F.struct("start", "end", "value"))).alias("__spans"))
+    own = docs.withColumn("__own", F.xxhash64("text"))
+    both = own.join(marks.hint("merge"), own["doc_id"].eqNullSafe(marks["__doc"]) & (own["__own"] == marks["__of"]), "left")
+
+    @F.pandas_udf("string")
+    def replaced(text: pd.Series, found: pd.Series) -> pd.Series:
+        out = []
+        for x, spans_ in zip(text, found):
+            parts, done = [], 0
+            for s in () if x is None else spans_:
+                if s["start"] >= done and x[s["start"] : s["end"]] == s["value"]:
+                    parts += [x[done : s["start"]], mark]
+                    done = s["end"]
+            out.append(x if x is None else "".join(parts) + x[done:])
+        return pd.Series(out, dtype=object)
+
+    hit = F.col("__spans").isNotNull()
+    cut = replaced(F.when(hit, F.col("text")), F.col("__spans"))  # other texts don't go to Python
+    text = F.when(hit, cut).otherwise(F.col("text"))
+    out = both.select(*[text.alias(c) if c == "text" else own[c] for c in docs.columns])
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

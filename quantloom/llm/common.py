@@ -20,24 +20,21 @@ SLICE_BYTES = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a local one only where it is unset."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``).
+
+    Only on a local master, whose tasks are in the driver's own machine, may it be unset; then one is made.
+    """
     sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    path = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if path is None:
-        path = getattr(sc, "_quantloom_dir", None) or tempfile.mkdtemp(prefix="quantloom-")
-        sc._quantloom_dir = path
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = tempfile.mkdtemp(prefix="quantloom-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
     return path
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Hand texts to Python in batches of 2,000 rows, unless the session says otherwise: both sides hold a batch or two."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key, None) is None:
-        spark.conf.set(key, "2000")
-
-
 def checkpoint(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: cuts the lineage and survives the loss of any executor."""
     shared_dir(df.sparkSession)
@@ -100,8 +97,6 @@ def text_slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
 def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, column: str = "text") -> DataFrame:
     """``mapInArrow`` over bounded slices of a table with a text column."""
 
-    bounded_batches(df.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, column):

@@ -39,13 +39,16 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row."""
+    """doc_id, text_hash (xxhash64 of the text) and fp (the fingerprint as a signed long) of every row.
+
+    Null, empty and wordless texts have fingerprint zero. Repeated rows, and rows with a null doc_id, get theirs each.
+    """
 
     def run(rows: pa.RecordBatch) -> pa.RecordBatch:
         fp = np.array([fingerprint(x, words) for x in rows.column("text").to_pylist()], np.uint64)
-        return pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text_hash"), pa.array(fp.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
-    return map_texts(docs.select("doc_id", "text"), run, "doc_id long, fp long")
+    return map_texts(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), run, "doc_id long, text_hash long, fp long")
 
 
 def _keys(nodes: DataFrame, segments: int) -> DataFrame:
@@ -164,7 +167,7 @@ def _across_blocks(large: DataFrame, segments: int, most: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, most: int = 3) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id linked, itself included) of every row.
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id linked, itself included) and text_hash of every row.
 
     Null, empty and wordless texts have fingerprint zero and are linked like any other; texts of fewer words than a
     shingle have the whole sequence as their one shingle. Rows that share a doc_id may have several fingerprints, each
@@ -173,14 +176,19 @@ def near_duplicates(docs: DataFrame, words: int = 3, most: int = 3) -> DataFrame
     fps = stored(fingerprints(docs, words), "simhash")
     nodes = stored(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-nodes")
     roots = components(links(nodes.select(F.col("fp").alias("node"), "fp"), most)).withColumnRenamed("node", "fp")
-    rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    of = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "n", "component_id")
-    out = join_heavy(fps.where("doc_id is not null"), of, ["fp"], "n").select("doc_id", "fp", "component_id")
-    rest = fps.where("doc_id is null").select("doc_id", "fp", F.lit(None).cast("long").alias("component_id"))
-    return out.unionByName(rest).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rooted = nodes.join(roots.hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    of = rooted.join(least.hint("merge"), "root").select("fp", "n", "component_id")
+    out = join_heavy(fps.where("doc_id is not null"), of, ["fp"], "n").select("doc_id", "fp", "component_id", "text_hash")
+    rest = fps.where("doc_id is null").select("doc_id", "fp", F.lit(None).cast("long").alias("component_id"), "text_hash")
+    return out.unionByName(rest).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash")
 
 
 def keep_one(docs: DataFrame, words: int = 3, most: int = 3) -> DataFrame:
-    """The rows of ``docs`` but those with a smaller doc_id in their component. Rows with a null doc_id stay."""
-    gone = near_duplicates(docs, words, most).where("component_id != doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """The rows of ``docs`` but those with a smaller doc_id in their component. Rows with a null doc_id stay.
+
+    A row is known by its doc_id and the hash of its text: of rows that share a doc_id each is judged by its own text.
+    """
+    gone = near_duplicates(docs, words, most).where("component_id != doc_id").select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__of")).distinct()
+    own = docs.withColumn("__own", F.xxhash64("text"))
+    return own.join(gone.hint("merge"), (own["doc_id"] == gone["__gone"]) & (own["__own"] == gone["__of"]), "left_anti").drop("__own")

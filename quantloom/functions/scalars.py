@@ -34,9 +34,11 @@ def compact(x: Column) -> Column:
 
 
 def from_epoch(x: Column) -> Column:
-    """A time from seconds, milli-, micro- or nanoseconds, told apart by magnitude."""
+    """A time from seconds, milli-, micro- or nanoseconds, told apart by magnitude; times before 1970 are negative."""
     x = x.cast("long")
-    return F.when(x >= 10**16, F.timestamp_micros((x / 1000).cast("long"))).when(x >= 10**13, F.timestamp_micros(x)).when(x >= 10**11, F.timestamp_millis(x)).otherwise(F.timestamp_seconds(x))
+    size = F.abs(x.cast("decimal(20,0)"))
+    micros = F.floor(x.cast("decimal(20,0)") / 1000).cast("long")  # decimals: a double can't hold nanoseconds of today
+    return F.when(size >= 10**16, F.timestamp_micros(micros)).when(size >= 10**13, F.timestamp_micros(x)).when(size >= 10**11, F.timestamp_millis(x)).otherwise(F.timestamp_seconds(x))
 
 
 def session_bucket(ts: Column, interval: str = "15m") -> Column:

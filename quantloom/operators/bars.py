@@ -161,8 +161,9 @@ def rolling_sigma(bars: DataFrame, n: int = 20) -> DataFrame:
 
 
 def vwma(bars: DataFrame, n: int = 20) -> DataFrame:
+    """Volume-weighted mean of closes over up to ``n`` rows; null where there was no volume."""
     pv, v = F.sum(F.col("close") * F.col("volume")).over(last(n)), F.sum("volume").over(last(n))
-    return bars.select("symbol", "date", full(pv / F.nullif(v, F.lit(0.0)), n).alias("vwma"))
+    return bars.select("symbol", "date", (pv / F.nullif(v, F.lit(0.0))).alias("vwma"))
 
 
 def normalized_score(bars: DataFrame, n: int = 100) -> DataFrame:
@@ -219,10 +220,8 @@ def cells(bars: DataFrame) -> DataFrame:
 
 def return_bounds(bars: DataFrame, horizons: tuple[int, ...] = (21, 42, 63, 126, 252)) -> DataFrame:
     """5th and 95th percentile of rolling returns by horizon, with twenty windows at least."""
-    each = None
-    for h in horizons:
-        one = bars.select("symbol", F.lit(h).alias("h"), (F.lead("close", h).over(by()) / F.col("close") - 1).alias("r")).where("r is not null")
-        each = one if each is None else each.unionByName(one)
+    ahead = F.array(*(F.struct(F.lit(h).alias("h"), (F.lead("close", h).over(by()) / F.col("close") - 1).alias("r")) for h in horizons))
+    each = bars.select("symbol", ahead.alias("ahead")).select("symbol", F.inline("ahead")).where("r is not null")  # one window for all
     return each.groupBy("symbol", "h").agg(F.percentile("r", 0.05).alias("p05"), F.percentile("r", 0.95).alias("p95"), F.count("*").alias("n")).where("n >= 20")
 
 

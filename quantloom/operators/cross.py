@@ -1,10 +1,12 @@
 """Relations between symbols: betas, correlations, factors, ranks, and the joins they stand on.
 
-Tables stay long, (symbol, date, value); pairs meet by an equi-join on the date.
+Tables stay long, (symbol, date, value). A table of all pairs comes from sums over blocks of dates.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,11 +17,41 @@ def returns(bars: DataFrame) -> DataFrame:
     return B.with_returns(bars).where("ret is not null").select("symbol", "date", "ret")
 
 
-def pairs(r: DataFrame) -> DataFrame:
-    """a, b, date, x, y for every ordered pair of symbols (a < b) that share a date."""
-    left = r.select(F.col("symbol").alias("a"), "date", F.col("ret").alias("x"))
-    right = r.select(F.col("symbol").alias("b"), "date", F.col("ret").alias("y"))
-    return left.join(right, "date").where("a < b")
+#: The sums over shared dates from which a pair's moments follow.
+_SUMS = ("n", "x", "y", "xx", "yy", "xy")
+
+
+def gram(r: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """a, b (a < b), the columns ``by``, and n, x, y, xx, yy, xy: the pair's sums over the dates that both have.
+
+    Each quarter's returns are one matrix of dates by symbols, whose products with its transpose are the sums of all
+    pairs; quarters are added up by pair. Rows grow with pairs and quarters, not with pairs and dates.
+    """
+    keys = ", ".join(f"`{k}` {r.schema[k].dataType.simpleString()}" for k in by)
+    schema = "a string, b string, " + (keys + ", " if by else "") + ", ".join(f"{c} double" for c in _SUMS)
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        wide = rows.pivot_table(index="date", columns="symbol", values="ret", aggfunc="last")
+        have = wide.notna().to_numpy().astype(float)
+        x = wide.fillna(0.0).to_numpy()
+        n, sx, sxx, sxy = have.T @ have, x.T @ have, (x * x).T @ have, x.T @ x
+        i, j = np.nonzero(np.triu(n, 1))
+        names = wide.columns.to_numpy()
+        out = {"a": names[i], "b": names[j]} | {k: v for k, v in zip(by, key[1:])}
+        return pd.DataFrame(out | {"n": n[i, j], "x": sx[i, j], "y": sx[j, i], "xx": sxx[i, j], "yy": sxx[j, i], "xy": sxy[i, j]})
+
+    blocks = r.where("ret is not null").groupBy(F.trunc("date", "quarter").alias("block"), *by)
+    return blocks.applyInPandas(run, schema).groupBy("a", "b", *by).agg(*(F.sum(c).alias(c) for c in _SUMS))
+
+
+def covariance(sample: bool = True) -> Column:
+    """Of the sums of :func:`gram`."""
+    return F.expr("(xy - x * y / n)") / (F.nullif(F.col("n") - 1, F.lit(0.0)) if sample else F.col("n"))
+
+
+def correlation() -> Column:
+    """Of the sums of :func:`gram`; null where a side is constant."""
+    return F.expr("(xy - x * y / n) / nullif(sqrt(greatest(xx - x * x / n, 0.0D) * greatest(yy - y * y / n, 0.0D)), 0.0D)")
 
 
 def against(r: DataFrame, reference: str) -> DataFrame:
@@ -51,10 +83,8 @@ def gauge_fixed(bars: DataFrame, reference: str) -> DataFrame:
 
 def correlations(r: DataFrame) -> DataFrame:
     """Correlation, annual covariance and cosine of every pair of return series on shared dates."""
-    p = pairs(r)
-    return p.groupBy("a", "b").agg(
-        F.corr("x", "y").alias("corr"), (F.covar_samp("x", "y") * 252).alias("cov"), (F.sum(F.col("x") * F.col("y")) / F.sqrt(F.sum(F.col("x") * F.col("x")) * F.sum(F.col("y") * F.col("y")))).alias("cosine"), F.count("*").alias("n")
-    )
+    cosine = F.expr("xy / nullif(sqrt(xx * yy), 0.0D)")
+    return gram(r).select("a", "b", correlation().alias("corr"), (covariance() * 252).alias("cov"), cosine.alias("cosine"), F.col("n").cast("long").alias("n"))
 
 
 def impact_weights(bars: DataFrame, target: str, top: int = 8) -> DataFrame:
@@ -76,12 +106,21 @@ def average_rank(value: Column, by: list[str]) -> Column:
     return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2
 
 
-def momentum_terciles(bars: DataFrame) -> DataFrame:
-    """By date: mean return of the top third by momentum (as it was the day before) less that of the bottom third."""
-    m = momentum(bars).withColumn("signal", F.lag("momentum").over(B.by())).where("signal is not null").select("symbol", "date", "signal")
-    x = m.join(returns(bars), ["symbol", "date"]).withColumn("pct", average_rank(F.col("signal"), ["date"]) / F.count("*").over(Window.partitionBy("date")))
-    g = x.groupBy("date").agg(F.avg(F.when(F.col("pct") > 2 / 3, F.col("ret"))).alias("top"), F.avg(F.when(F.col("pct") <= 1 / 3, F.col("ret"))).alias("bottom"), F.count("*").alias("n"))
-    return g.select("date", (F.col("top") - F.col("bottom")).alias("spread"), "n")
+def momentum_terciles(bars: DataFrame, lookback: int = 252, skip: int = 21, names: int = 6, dates: int = 60) -> DataFrame:
+    """By date: mean return of the top third by momentum (12-1) less that of the bottom third, the momentum factor.
+
+    Lags are of a symbol's own rows. Symbols with fewer than lookback + skip + 40 rows take no part. There is no factor, and
+    no row, with fewer than ``names`` symbols or with ``dates`` dates or fewer. Its window has no partition: a row a date.
+    """
+    long = bars.groupBy("symbol").agg(F.count("*").alias("rows")).where(F.col("rows") >= lookback + skip + 40).select("symbol")
+    enough = long.agg(F.count("*").alias("names"))  # one row
+    own = bars.join(long, "symbol", "left_semi")
+    x = momentum(own, lookback, skip).join(returns(own), ["symbol", "date"])
+    x = x.withColumn("pct", average_rank(F.col("momentum"), ["date"]) / F.count("*").over(Window.partitionBy("date")))
+    g = x.groupBy("date").agg(F.avg(F.when(F.col("pct") >= 2 / 3, F.col("ret"))).alias("top"), F.avg(F.when(F.col("pct") <= 1 / 3, F.col("ret"))).alias("bottom"), F.count("*").alias("n"))
+    factor = g.select("date", (F.col("top") - F.col("bottom")).alias("spread"), "n").where("spread is not null")
+    all_ = factor.withColumn("dates", F.count("*").over(Window.partitionBy())).where(F.col("dates") > dates)
+    return all_.join(F.broadcast(enough.where(F.col("names") >= names))).select("date", "spread", "n")
 
 
 def monthly_panel(bars: DataFrame, horizon: int = 1) -> DataFrame:
@@ -134,23 +173,22 @@ def base_rates(bars: DataFrame, horizons: tuple[int, ...] = (1, 3, 6, 12), k: fl
     w = Window.partitionBy("symbol").orderBy("month")
     m = B.cells(bars).groupBy("symbol", F.trunc("date", "month").alias("month")).agg(F.max_by("close", "date").alias("close"), F.max_by("cell", "date").alias("cell"))
     m = m.withColumn("now", F.last("cell").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    each = None
-    for h in horizons:
-        one = m.select("symbol", F.lit(h).alias("h"), (F.lead("close", h).over(w) / F.col("close") - 1).alias("r"), (F.col("cell") == F.col("now")).alias("own")).where("r is not null")
-        each = one if each is None else each.unionByName(one)
+    ahead = F.array(*(F.struct(F.lit(h).alias("h"), (F.lead("close", h).over(w) / F.col("close") - 1).alias("r")) for h in horizons))
+    each = m.select("symbol", (F.col("cell") == F.col("now")).alias("own"), ahead.alias("ahead")).select("symbol", "own", F.inline("ahead")).where("r is not null")
     own = F.when(F.col("own"), F.col("r"))
     g = each.groupBy("symbol", "h").agg(
         F.percentile("r", 0.25).alias("q25"), F.percentile("r", 0.5).alias("q50"), F.percentile("r", 0.75).alias("q75"), F.avg((F.col("r") > 0).cast("double")).alias("hit"), F.count("r").alias("n"),
-        F.percentile(own, 0.5).alias("own_q50"), F.count(own).alias("own_n"),
+        F.percentile(own, 0.5).alias("own_q50"), F.count(own).alias("own_n"), F.percentile("r", 0.05).alias("q05"), F.percentile("r", 0.95).alias("q95"),
     )
     weight = (F.col("own_n") / F.col("h")) / (F.col("own_n") / F.col("h") + k)
-    return g.withColumn("shrunk", F.when(F.col("own_n") > 0, weight * F.col("own_q50") + (1 - weight) * F.col("q50")).otherwise(F.col("q50")))
+    return g.withColumn("shrink_w", weight).withColumn("shrunk", F.when(F.col("own_n") > 0, weight * F.col("own_q50") + (1 - weight) * F.col("q50")).otherwise(F.col("q50")))
 
 
-def vol_managed(bars: DataFrame, target: float = 0.15) -> DataFrame:
-    """Base-rate quantiles scaled by target over newest volatility."""
-    v = B.volatility_percentile(bars).select("symbol", "vol")
-    return base_rates(bars).join(v, "symbol").select("symbol", "h", *((F.col(q) * target / F.col("vol")).alias(q) for q in ("q25", "q50", "q75")))
+def vol_managed(bars: DataFrame, target: float | None = None) -> DataFrame:
+    """Base-rate quantiles scaled by a target over the newest volatility; by default, the median of the symbol's own history."""
+    v = B.log_volatility(bars).where("vol is not null").groupBy("symbol").agg(F.max_by("vol", "date").alias("vol"), F.percentile("vol", 0.5).alias("median"))
+    scale = (F.col("median") if target is None else F.lit(target)) / F.nullif(F.col("vol"), F.lit(0.0))
+    return base_rates(bars).join(v, "symbol").select("symbol", "h", *((F.col(q) * scale).alias(q) for q in ("q25", "q50", "q75")))
 
 
 def entropy_rolling(bars: DataFrame, n: int = 63, bins: int = 10) -> DataFrame:

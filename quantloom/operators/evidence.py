@@ -46,8 +46,7 @@ def verified_share(checked: DataFrame) -> DataFrame:
 def regime_flips(bars: DataFrame, labels: DataFrame, least_rows: int = 20, least_corr: float = 0.2, most_spread: float = 0.25) -> DataFrame:
     """Pairs whose correlation changes sign between regimes (broken) or hardly moves (invariant)."""
     r = X.returns(bars).join(labels, "date")
-    p = r.select(F.col("symbol").alias("a"), "date", "label", F.col("ret").alias("x")).join(r.select(F.col("symbol").alias("b"), "date", F.col("ret").alias("y")), "date").where("a < b")
-    c = p.groupBy("a", "b", "label").agg(F.corr("x", "y").alias("c"), F.count("*").alias("n")).where(F.col("n") >= least_rows)
+    c = X.gram(r, ("label",)).select("a", "b", "label", X.correlation().alias("c"), "n").where(F.col("n") >= least_rows)
     g = c.groupBy("a", "b").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.abs("c")).alias("weakest"), F.count("*").alias("regimes"))
     state = F.when((F.col("lo") < 0) & (F.col("hi") > 0) & (F.col("weakest") >= least_corr), "broken").when((F.col("lo") * F.col("hi") > 0) & (F.col("hi") - F.col("lo") <= most_spread), "invariant").otherwise("mixed")
     return g.where("regimes > 1").select("a", "b", "lo", "hi", state.alias("state"))

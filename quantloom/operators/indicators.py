@@ -87,7 +87,7 @@ def _flow(x: pd.DataFrame, cfg: FlowConfig) -> pd.DataFrame:
     mean30 = close.rolling(30).mean()
     trend_part = centred(((ema(close, 13) - mean30) / mean30).fillna(0.0))
     typical = (x["high"] + x["low"] + close) / 3
-    middle = (typical * volume).rolling(cfg.norm).sum() / volume.rolling(cfg.norm).sum().replace(0, np.nan)
+    middle = (typical * volume).rolling(cfg.norm, min_periods=1).sum() / volume.rolling(cfg.norm, min_periods=1).sum().replace(0, np.nan)
     spread = typical.rolling(cfg.norm, min_periods=1).std(ddof=0)
     value_part = ((close - middle) / (2 * spread.replace(0, np.nan)) * 100).fillna(0.0).clip(-100, 100)
     sigma = close.rolling(10, min_periods=1).std(ddof=0)

@@ -93,6 +93,8 @@ def exposure(bars: DataFrame, factors: list[str], half_life: float = 252.0) -> D
 
 def pca(bars: DataFrame, symbols: list[str], components: int = 3) -> DataFrame:
     """Variance shares and loadings of standardised returns, from their correlation matrix (summed in Spark, solved on the driver: its size is the number of symbols asked for)."""
+    if len(symbols) > 2000:
+        raise ValueError("the driver solves the matrix of at most 2,000 symbols")
     r = X.returns(bars.where(F.col("symbol").isin(symbols)))
     c = np.eye(len(symbols))
     at = {s: i for i, s in enumerate(symbols)}
@@ -108,19 +110,24 @@ def pca(bars: DataFrame, symbols: list[str], components: int = 3) -> DataFrame:
     return bars.sparkSession.createDataFrame(rows, "component int, share double, symbol string, loading double")
 
 
-def spectral_modes(bars: DataFrame, top: int = 5, least: float = 10.0, most: float = 400.0) -> DataFrame:
-    """Strongest cycles of the detrended log price of each symbol: period, amplitude, phase and share of power."""
+def spectral_modes(bars: DataFrame, top: int = 5, least: float = 10.0, most: float | None = None) -> DataFrame:
+    """Strongest cycles of the detrended log price of each symbol: period, amplitude, phase and share of all power but the mean's.
+
+    Periods below ``least`` rows or above ``most`` (by default half the history) are left out; a history of fewer than twice
+    ``least`` rows has none.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         y = np.log(rows.sort_values("date")["close"].to_numpy())
         i = np.arange(len(y))
-        if len(y) < 64:
+        if len(y) < 2 * max(least, 2):
             return pd.DataFrame({c: pd.Series(dtype=t) for c, t in {"symbol": "object", "rank": "int32", "period": "float64", "amplitude": "float64", "phase": "float64", "share": "float64"}.items()})
         f = np.fft.rfft(y - np.polyval(np.polyfit(i, y, 1), i))
         period = np.r_[np.inf, len(y) / np.arange(1, len(f))]
-        power = np.where((period >= least) & (period <= most), np.abs(f) ** 2, 0.0)
-        best = np.argsort(-power, kind="stable")[:top]
-        return pd.DataFrame({"symbol": rows["symbol"].iloc[0], "rank": np.arange(1, len(best) + 1, dtype="int32"), "period": period[best], "amplitude": 2 * np.abs(f[best]) / len(y), "phase": np.angle(f[best]), "share": power[best] / max(power.sum(), 1e-300)})
+        power = np.abs(f) ** 2
+        inside = (period >= least) & (period <= (len(y) / 2 if most is None else most))
+        best = np.argsort(-np.where(inside, power, -1.0), kind="stable")[: min(top, int(inside.sum()))]
+        return pd.DataFrame({"symbol": rows["symbol"].iloc[0], "rank": np.arange(1, len(best) + 1, dtype="int32"), "period": period[best], "amplitude": 2 * np.abs(f[best]) / len(y), "phase": np.angle(f[best]), "share": power[best] / max(power[1:].sum(), 1e-300)})
 
     return bars.select("symbol", "date", "close").groupBy("symbol").applyInPandas(run, "symbol string, rank int, period double, amplitude double, phase double, share double")
 

@@ -46,9 +46,10 @@ def third_friday(month):
 
 
 def price(spot: float, strike: float, t: float, r: float, sigma: float, call: bool, q: float = 0.0) -> float:
-    """Black-Scholes value with a dividend yield; intrinsic where degenerate."""
+    """Black-Scholes value with a dividend yield; where degenerate, the discounted forward's intrinsic value."""
     if t <= 0 or sigma <= 0 or spot <= 0 or strike <= 0:
-        return max(0.0, spot - strike if call else strike - spot)
+        forward = spot * math.exp(-q * t) - strike * math.exp(-r * t)
+        return max(0.0, forward if call else -forward)
     d = (math.log(spot / strike) + (r - q + sigma * sigma / 2) * t) / (sigma * math.sqrt(t))
     e = d - sigma * math.sqrt(t)
     sign = 1 if call else -1
@@ -110,7 +111,8 @@ def implied_density(contracts: DataFrame, spot: float, as_of: str, r: float = 0.
     """Implied quantiles of each (underlying, expiry) with enough strikes, from out-of-the-money marks."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        t = (rows["expiry"].iloc[0] - pd.Timestamp(as_of).date()).days / 365
+        days = (rows["expiry"].iloc[0] - pd.Timestamp(as_of).date()).days
+        t = max(days, 1) / 365.25 if days >= 0 else 0.0
         marks = {}
         for x in rows.sort_values(["strike", "type"]).itertuples():
             call = x.type == "call"

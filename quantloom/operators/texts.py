@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import math
+import re
+from collections import Counter
+from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,22 +19,51 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9%]+"), F.lit(0))
 
 
+_TOKEN = re.compile("[a-z0-9%]+")
+
+
+@lru_cache(maxsize=1 << 18)
+def _bucket(token: str, dim: int) -> int:
+    """The first eight bytes of the token's MD5 decide."""
+    return int.from_bytes(hashlib.md5(token.encode()).digest()[:8], "big") % dim
+
+
+def _vector(text: str | None, dim: int) -> Counter:
+    return Counter(_bucket(t, dim) for t in _TOKEN.findall((text or "").lower()))
+
+
 def hashing_vector(docs: DataFrame, dim: int = 256) -> DataFrame:
-    """doc_id, bucket, n: token counts by hash bucket (the first eight bytes of the token's MD5)."""
-    t = docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
-    bucket = F.conv(F.substring(F.md5(F.col("token").cast("binary")), 1, 16), 16, 10).cast("decimal(20,0)") % dim
-    return t.groupBy("doc_id", bucket.cast("int").alias("bucket")).agg(F.sum("n").alias("n"))
+    """doc_id, bucket, n: token counts of each row by hash bucket. Nothing crosses rows, so nothing is shuffled."""
+
+    def run(batches):
+        for rows in batches:
+            out = [(i, b, n) for i, text in zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist()) for b, n in sorted(_vector(text, dim).items())]
+            ids, buckets, counts = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(buckets, pa.int32()), pa.array(counts, pa.int64())], ["doc_id", "bucket", "n"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, bucket int, n long")
 
 
 def change_score(pairs: DataFrame, dim: int = 256) -> DataFrame:
-    """1 - cosine of two texts' hashing vectors (columns doc_id, before, after); 0 where both have no token, 1 where one has none."""
-    a = hashing_vector(pairs.select("doc_id", F.col("before").alias("text")), dim).withColumnRenamed("n", "x")
-    b = hashing_vector(pairs.select("doc_id", F.col("after").alias("text")), dim).withColumnRenamed("n", "y")
-    v = a.join(b, ["doc_id", "bucket"], "full").groupBy("doc_id").agg(
-        F.sum(F.coalesce("x", F.lit(0)) * F.coalesce("y", F.lit(0))).alias("xy"), F.coalesce(F.sum(F.col("x") * F.col("x")), F.lit(0)).alias("xx"), F.coalesce(F.sum(F.col("y") * F.col("y")), F.lit(0)).alias("yy")
-    )
-    score = F.when(F.col("xx").isNull(), 0.0).when((F.col("xx") == 0) | (F.col("yy") == 0), 1.0).otherwise(1 - F.col("xy") / F.sqrt(F.col("xx").cast("double") * F.col("yy")))
-    return pairs.select("doc_id").join(v, "doc_id", "left").select("doc_id", score.alias("score"))
+    """1 - cosine of two texts' hashing vectors (columns doc_id, before, after), row by row.
+
+    Two blank texts score 0, one blank text 1; a text that isn't blank but has no token has no direction, and scores 1.
+    """
+
+    def score(before: str | None, after: str | None) -> float:
+        blank = [not (x or "").strip() for x in (before, after)]
+        if any(blank):
+            return 0.0 if all(blank) else 1.0
+        a, b = _vector(before, dim), _vector(after, dim)
+        norm = math.sqrt(sum(n * n for n in a.values()) * sum(n * n for n in b.values()))
+        return min(1.0, max(0.0, 1.0 - (sum(n * b[k] for k, n in a.items()) / norm if norm else 0.0)))
+
+    def run(batches):
+        for rows in batches:
+            values = [score(x, y) for x, y in zip(rows.column("before").to_pylist(), rows.column("after").to_pylist())]
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(values, pa.float64())], ["doc_id", "score"])
+
+    return pairs.select(F.col("doc_id").cast("long").alias("doc_id"), "before", "after").mapInArrow(run, "doc_id long, score double")
 
 
 def top_tokens(docs: DataFrame, k: int = 20) -> DataFrame:
@@ -90,7 +124,7 @@ def clean_html(pages: DataFrame) -> DataFrame:
 
 def citations(docs: DataFrame) -> DataFrame:
     """Chunks in round brackets that hold a figure or a key: value, with a kind."""
-    c = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"\(([^()]{2,80})\)"), F.lit(1))).alias("pos", "raw"))
+    c = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"\(([^()]{2,})\)"), F.lit(1))).alias("pos", "raw"))
     kind = F.when(F.col("raw").rlike(r"^\d{4}-\d{2}-\d{2}$"), "date").when(F.col("raw").rlike(r"^\+?[\d ()-]{7,}$"), "number").when(F.col("raw").rlike(r"\d%"), "percent").when(F.col("raw").rlike(r"\w+\s*[:=]\s*\S"), "key").when(F.col("raw").rlike(r"\d"), "figure")
     return c.withColumn("kind", kind).where("kind is not null")
 

@@ -59,7 +59,7 @@ def register(c: Catalog) -> None:
     sma = ", ".join(f"CASE WHEN count(close) {frame(n)} >= {n} THEN avg(close) {frame(n)} END AS sma_{n}" for n in (20, 50, 200))
     smooth("sma_stack", B.sma_stack, "symbol date ~~sma_20 ~~sma_50 ~~sma_200", f"SELECT symbol, date, {sma} FROM bars")
     c.add("rolling_sigma", lambda s, d: B.rolling_sigma(tables.bars_smooth(s, d)).selectExpr("symbol", "date", "round(sigma, 4) AS sigma"), "symbol date ~sigma", SMOOTH, f"SELECT symbol, date, round(stddev_pop(close) {frame(20)}, 4) AS sigma FROM bars")
-    smooth("vwma", B.vwma, "symbol date ~vwma", f"SELECT symbol, date, CASE WHEN count(*) {frame(20)} >= 20 THEN sum(close * volume) {frame(20)} / nullif(sum(volume) {frame(20)}, 0) END AS vwma FROM bars")
+    smooth("vwma", B.vwma, "symbol date ~vwma", f"SELECT symbol, date, sum(close * volume) {frame(20)} / nullif(sum(volume) {frame(20)}, 0) AS vwma FROM bars")
     smooth("normalized_score", B.normalized_score, "symbol date ~score", f"SELECT symbol, date, coalesce((close - lo) / nullif(hi - lo, 0) * 100, 50) AS score FROM (SELECT *, min(close) {frame(100)} AS lo, max(close) {frame(100)} AS hi FROM bars)")
     smooth("bars_since_trend_off", lambda b: B.bars_since_off(b, 1, 3), "symbol date trend_on since_off:long", f"""SELECT symbol, date, trend_on, rn - last_value(CASE WHEN NOT trend_on THEN rn END IGNORE NULLS) {W} ROWS UNBOUNDED PRECEDING) AS since_off
         FROM (SELECT *, close > avg(close) {frame(3)} AS trend_on, row_number() {W}) AS rn FROM bars)""")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from quantloom.operators import bars as B
 from quantloom.operators import cross as X
 from quantloom.operators import indicators as I
+from quantloom.operators import scoring as S
 from quantloom.queries import Catalog
 from quantloom.queries.bar_queries import AGE, W, frame
 from quantloom.queries.sql import QUARTERS, RETURNS, SMOOTH
@@ -32,8 +35,9 @@ def register(c: Catalog) -> None:
     mom = rets + f", mom AS (SELECT * FROM (SELECT symbol, date, lag(close, 21) {W}) / lag(close, 252) {W}) - 1 AS momentum FROM bars) WHERE momentum IS NOT NULL)"
     smooth("momentum_12_1", X.momentum, "symbol date ~momentum", "SELECT * FROM mom", mom)
     rank = "rank() OVER (PARTITION BY {by} ORDER BY {x}) + (count(*) OVER (PARTITION BY {by}, {x}) - 1) / 2.0"
-    smooth("momentum_terciles", X.momentum_terciles, "date ~spread n:long", f"""SELECT date, avg(ret) FILTER (pct > 2.0 / 3) - avg(ret) FILTER (pct <= 1.0 / 3) AS spread, count(*) AS n FROM (
-        SELECT date, ret, ({rank.format(by='date', x='signal')}) / count(*) OVER (PARTITION BY date) AS pct FROM (SELECT * FROM (SELECT symbol, date, lag(momentum) {W}) AS signal FROM mom) WHERE signal IS NOT NULL) JOIN rets USING (symbol, date)) GROUP BY date""", mom)
+    smooth("momentum_terciles", X.momentum_terciles, "date ~spread n:long", f"""SELECT date, spread, n FROM (SELECT *, count(*) OVER () AS dates FROM (SELECT date, avg(ret) FILTER (pct >= 2.0 / 3) - avg(ret) FILTER (pct <= 1.0 / 3) AS spread, count(*) AS n FROM (
+        SELECT date, ret, ({rank.format(by='date', x='momentum')}) / count(*) OVER (PARTITION BY date) AS pct FROM mom JOIN rets USING (symbol, date) WHERE symbol IN (SELECT symbol FROM bars GROUP BY symbol HAVING count(*) >= 313))
+        GROUP BY date) WHERE spread IS NOT NULL) WHERE dates > 60 AND (SELECT count(*) FROM (SELECT symbol FROM bars GROUP BY symbol HAVING count(*) >= 313)) >= 6""", mom)
     wm = "OVER (PARTITION BY symbol ORDER BY month"
     panel = SMOOTH + f""", m0 AS (SELECT symbol, CAST(date_trunc('month', date) AS DATE) AS month, max_by(close, date) AS close FROM bars GROUP BY ALL),
         m1 AS (SELECT symbol, month, close, close / lag(close) {wm}) - 1 AS ret FROM (SELECT *, max(month) OVER (PARTITION BY symbol) AS newest FROM m0) WHERE month < newest),
@@ -55,11 +59,26 @@ def register(c: Catalog) -> None:
         cm AS (SELECT *, last_value(cell) OVER (PARTITION BY symbol ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS now FROM (SELECT symbol, CAST(date_trunc('month', date) AS DATE) AS month, max_by(close, date) AS close, arg_max_null(cell, date) AS cell FROM cells GROUP BY ALL)),
         fw AS ({" UNION ALL ".join(f"SELECT symbol, {h} AS h, lead(close, {h}) {wm}) / close - 1 AS r, cell = now AS own FROM cm" for h in (1, 3, 6, 12))}),
         rates AS (SELECT *, CASE WHEN own_n > 0 THEN w * own_q50 + (1 - w) * q50 ELSE q50 END AS shrunk FROM (SELECT *, (own_n / h) / (own_n / h + 24) AS w FROM (
-            SELECT symbol, h, quantile_cont(r, 0.25) AS q25, quantile_cont(r, 0.5) AS q50, quantile_cont(r, 0.75) AS q75, avg(CAST(r > 0 AS INTEGER)) AS hit, count(r) AS n, quantile_cont(r, 0.5) FILTER (own) AS own_q50, count(r) FILTER (own) AS own_n FROM fw WHERE r IS NOT NULL GROUP BY ALL)))"""
+            SELECT symbol, h, quantile_cont(r, 0.25) AS q25, quantile_cont(r, 0.5) AS q50, quantile_cont(r, 0.75) AS q75, avg(CAST(r > 0 AS INTEGER)) AS hit, count(r) AS n, quantile_cont(r, 0.5) FILTER (own) AS own_q50, count(r) FILTER (own) AS own_n, quantile_cont(r, 0.05) AS q05, quantile_cont(r, 0.95) AS q95 FROM fw WHERE r IS NOT NULL GROUP BY ALL)))"""
     smooth("base_rates", X.base_rates, "symbol h:int ~q25 ~q50 ~q75 ~hit n:long", "SELECT * FROM rates", cell)
     smooth("base_rates_by_cell", X.base_rates, "symbol h:int ~own_q50 own_n:long", "SELECT * FROM rates", cell)
     smooth("shrunk_base_rates", X.base_rates, "symbol h:int ~shrunk", "SELECT * FROM rates", cell)
-    smooth("vol_managed", X.vol_managed, "symbol h:int ~q25 ~q50 ~q75", "SELECT symbol, h, q25 * 0.15 / vol AS q25, q50 * 0.15 / vol AS q50, q75 * 0.15 / vol AS q75 FROM rates JOIN (SELECT symbol, max_by(vol, date) AS vol FROM vols WHERE vol IS NOT NULL GROUP BY symbol) USING (symbol)", cell)
+    smooth("vol_managed", X.vol_managed, "symbol h:int ~q25 ~q50 ~q75", "SELECT symbol, h, q25 * med / vol AS q25, q50 * med / vol AS q50, q75 * med / vol AS q75 FROM rates JOIN (SELECT symbol, max_by(vol, date) AS vol, quantile_cont(vol, 0.5) AS med FROM vols WHERE vol IS NOT NULL GROUP BY symbol) USING (symbol)", cell)
+    five = ("q05", "q25", "q50", "q75", "q95")
+    cut = lambda b: X.base_rates(b).select("symbol", "h", *five, "shrink_w")
+    knots = " ".join(f"WHEN {a} <= 0 AND {b} >= 0 THEN round(1 - ({p} + {round(q - p, 2)} * coalesce(-{a} / nullif({b} - {a}, 0), 0)), 4)" for (a, p), (b, q) in zip(zip(five, (0.05, 0.25, 0.5, 0.75)), zip(five[1:], (0.25, 0.5, 0.75, 0.95))))
+    lean = """SELECT *, round(least(1, coalesce(abs(p_up - 0.5) * 2, 0) * (0.4 + 0.6 * coalesce(shrink_w, 0))), 3) AS conviction,
+        CASE WHEN p_up >= 0.58 AND q50 > 0 THEN 'odds_favorable' WHEN p_up <= 0.42 AND q50 < 0 THEN 'odds_unfavorable' ELSE 'balanced' END AS posture FROM (SELECT *, CASE WHEN q05 > 0 THEN 1.0 WHEN q95 < 0 THEN 0.0 {knots} END AS p_up FROM {of})"""
+    weighed = "(SELECT *, w AS shrink_w FROM rates)"
+    smooth("odds", lambda b: S.odds(cut(b)), "symbol h:int ~p_up posture ~conviction", lean.format(knots=knots, of=weighed), cell)
+    smooth("odds_posture", lambda b: S.posture(S.odds(cut(b))), "symbol h:int posture ~conviction ~p_up ~q50", f"SELECT * FROM ({lean.format(knots=knots, of=weighed)}) WHERE q50 IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY list_position([6, 3, 12, 1], h)) = 1", cell)
+    # implied quantiles: half the base rates', from three months on; a stack: a fifth of them at six months, past its gates where the median rises
+    implied = lambda b: cut(b).where("h >= 3").select("symbol", "h", *((F.col(q) * 0.5).alias(q) for q in five))
+    stacked = lambda b: cut(b).where("h = 6").select("symbol", "h", (F.col("q50") > 0).alias("passed"), *((F.col(q) * 0.2).alias(q) for q in five))
+    mixed = "SELECT symbol, h, CASE WHEN h = 6 AND q50 > 0 THEN 'stack' WHEN h >= 3 THEN 'base_rates+implied' ELSE 'base_rates' END AS source, " + ", ".join(f"CASE WHEN h = 6 AND q50 > 0 THEN round({q} / 5, 6) WHEN h >= 3 THEN round({q} * 0.75, 6) ELSE {q} END AS {q}" for q in five) + " FROM rates"
+    smooth("odds_sources", lambda b: S.blend_sources(cut(b), implied(b), stacked(b)), "symbol h:int source " + " ".join("~" + q for q in five), mixed, cell)
+    smooth("scenario_paths", lambda b: S.scenario_paths(S.blend_sources(cut(b), implied(b), stacked(b))), "symbol h:int source scenario ~value", f"SELECT symbol, h, source, scenario, value FROM (SELECT symbol, h, source, q75 AS bull, q50 AS neutral, q25 AS bear FROM ({mixed})) UNPIVOT INCLUDE NULLS (value FOR scenario IN (bull, neutral, bear)) WHERE h IN (3, 6, 12)", cell)
+    smooth("top_drivers", lambda b: S.top_drivers(X.correlations(X.returns(b)).selectExpr("a AS symbol", "b AS factor", "cov AS beta")), "symbol rank:int factor ~beta direction", f"SELECT a AS symbol, row_number() OVER (PARTITION BY a ORDER BY abs(cov) DESC, b) AS rank, b AS factor, round(cov, 4) AS beta, CASE WHEN cov >= 0 THEN 'positive' ELSE 'negative' END AS direction FROM ({pair.format(t='rets')}) QUALIFY rank <= 2", rets)
     ent = " + ".join(f"CASE WHEN b{i} > 0 THEN -b{i} / 63 * log2(b{i} / 63) ELSE 0 END" for i in range(10))
     bins = ", ".join(f"sum(CAST(bin = {i} AS INTEGER)) {frame(63)} AS b{i}" for i in range(10))
     entropy = rets + f""", eb AS (SELECT symbol, date, ret, least(greatest(floor((ret + 3 * s) / (6 * s) * 10), 0), 9) AS bin FROM (SELECT *, stddev_samp(ret) OVER (PARTITION BY symbol) AS s FROM rets)),
@@ -72,8 +91,8 @@ def register(c: Catalog) -> None:
     three = ["Brand#11", "Brand#12", "Brand#13"]
     cols = ", ".join(f"max(close) FILTER (symbol = '{s}') AS c{i}" for i, s in enumerate(three))
     smooth("align_outer", lambda b: X.aligned(b, three).toDF("date", "c0", "c1", "c2"), "date ~c0 ~c1 ~c2", f"SELECT date, {cols} FROM bars WHERE symbol IN ('Brand#11', 'Brand#12', 'Brand#13') GROUP BY date")
-    smooth("common_window", lambda b: X.common_window(b.where("symbol < 'Brand#14'"), 60), "symbol date ~close", "SELECT symbol, date, close FROM bars WHERE symbol < 'Brand#14' AND date IN (SELECT date FROM bars WHERE symbol < 'Brand#14' GROUP BY date HAVING count(DISTINCT symbol) = (SELECT count(DISTINCT symbol) FROM bars WHERE symbol < 'Brand#14') ORDER BY date DESC LIMIT 60)")
-    smooth("common_window_all", lambda b: X.common_window(b, 60), "symbol date ~close", "SELECT symbol, date, close FROM bars WHERE date IN (SELECT date FROM bars GROUP BY date HAVING count(DISTINCT symbol) = (SELECT count(DISTINCT symbol) FROM bars) ORDER BY date DESC LIMIT 60)")  # the one above is of five symbols
+    for name in ("common_window", "common_window_all"):  # one query under the two names it has had
+        smooth(name, lambda b: X.common_window(b, 60), "symbol date ~close", "SELECT symbol, date, close FROM bars WHERE date IN (SELECT date FROM bars GROUP BY date HAVING count(DISTINCT symbol) = (SELECT count(DISTINCT symbol) FROM bars) ORDER BY date DESC LIMIT 60)")
     smooth("macro_change_asof", X.changes_as_of, "symbol k:int ~now ~diff ~pct", """SELECT a.symbol, k, now, now - b.close AS diff, now / b.close - 1 AS pct FROM (SELECT symbol, k, now, CAST(date - to_months(CAST(k AS INTEGER)) AS DATE) AS at FROM (SELECT symbol, max(date) AS date, max_by(close, date) AS now FROM bars GROUP BY symbol), unnest([1, 3, 12]) AS t(k)) a
         ASOF LEFT JOIN bars b ON a.symbol = b.symbol AND a.at >= b.date""")
 

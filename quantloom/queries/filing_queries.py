@@ -68,16 +68,16 @@ def register(c: Catalog) -> None:
 
     c.add("value_z", priced, "symbol period_end ~ps ~z", SMOOTH + ", " + QUARTERS, f"""SELECT symbol, period_end, ps, CASE WHEN count(ps) {WQ} ROWS UNBOUNDED PRECEDING) >= 8 THEN (ps - avg(ps) {WQ} ROWS UNBOUNDED PRECEDING)) / nullif(stddev_samp(ps) {WQ} ROWS UNBOUNDED PRECEDING), 0) END AS z FROM (
         SELECT symbol, period_end, CASE WHEN count(revenue) {four} = 4 THEN close / sum(revenue) {four} * 1e9 END AS ps FROM (SELECT q.*, close FROM quarters q ASOF LEFT JOIN (SELECT date, close FROM bars WHERE symbol = 'Brand#11') b ON q.filing_date >= b.date))""")
-    ten = lambda s, d: tables.quarters(s, d).select(F.col("period_end").alias("date"), F.explode(F.array(*map(F.lit, (2, 5, 10, 20)))).alias("tenor"), F.col("revenue"), F.col("symbol")).where("symbol = 'BUILDING'").selectExpr("date", "tenor", "round(tenor * (revenue % 100 - 30) / 400, 6) AS value")
-    c.add("curve_shape", lambda s, d: Q.curve_shape(ten(s, d)), "date ~s2s10 ~s5s20 shape", QUARTERS, "SELECT *, CASE WHEN s2s10 IS NULL THEN NULL WHEN s2s10 < -0.05 THEN 'inverted' WHEN s2s10 < 0.25 THEN 'flat' WHEN s2s10 < 1.5 THEN 'normal' ELSE 'steep' END AS shape FROM (SELECT period_end AS date, round(10 * (revenue % 100 - 30) / 400, 6) - round(2 * (revenue % 100 - 30) / 400, 6) AS s2s10, round(20 * (revenue % 100 - 30) / 400, 6) - round(5 * (revenue % 100 - 30) / 400, 6) AS s5s20 FROM quarters WHERE symbol = 'BUILDING')")
     tens = lambda s, d: tables.quarters(s, d).select(F.col("period_end").alias("date"), F.explode(F.array(*map(F.lit, (2, 5, 10, 20)))).alias("tenor"), F.col("revenue"), F.col("symbol")).selectExpr("symbol", "date", "tenor", "round(tenor * (revenue % 100 - 30) / 400, 6) AS value")
-    c.add("curve_shape_all", lambda s, d: Q.curve_shape(tens(s, d), ("symbol", "date")), "symbol date ~s2s10 ~s5s20 shape", QUARTERS, "SELECT *, CASE WHEN s2s10 IS NULL THEN NULL WHEN s2s10 < -0.05 THEN 'inverted' WHEN s2s10 < 0.25 THEN 'flat' WHEN s2s10 < 1.5 THEN 'normal' ELSE 'steep' END AS shape FROM (SELECT symbol, period_end AS date, round(10 * (revenue % 100 - 30) / 400, 6) - round(2 * (revenue % 100 - 30) / 400, 6) AS s2s10, round(20 * (revenue % 100 - 30) / 400, 6) - round(5 * (revenue % 100 - 30) / 400, 6) AS s5s20 FROM quarters)")
+    # one query under the two names it has had
+    for name in ("curve_shape", "curve_shape_all"):
+        c.add(name, lambda s, d: Q.curve_shape(tens(s, d), ("symbol", "date")), "symbol date ~s2s10 ~s5s20 shape", QUARTERS, "SELECT *, CASE WHEN s2s10 IS NULL THEN NULL WHEN s2s10 < -0.05 THEN 'inverted' WHEN s2s10 < 0.25 THEN 'flat' WHEN s2s10 < 1.5 THEN 'normal' ELSE 'steep' END AS shape FROM (SELECT symbol, period_end AS date, round(10 * (revenue % 100 - 30) / 400, 6) - round(2 * (revenue % 100 - 30) / 400, 6) AS s2s10, round(20 * (revenue % 100 - 30) / 400, 6) - round(5 * (revenue % 100 - 30) / 400, 6) AS s5s20 FROM quarters)")
 
     docs = lambda s, d: tables.table(s, d, "documents")
     c.add("doc_tokens_topk", lambda s, d: T.top_tokens(docs(s, d)), "token n:long", "", f"SELECT token, count(*) AS n FROM (SELECT unnest({TOKENS.format(x='text')}) AS token FROM documents) GROUP BY token ORDER BY n DESC, token LIMIT 20")
     vector = "v AS (SELECT doc_id, side, CAST(('0x' || substr(md5(token), 1, 16))::UBIGINT % 256 AS INTEGER) AS bucket, count(*) AS n FROM (SELECT doc_id, 'x' AS side, unnest({a}) AS token FROM pairs UNION ALL SELECT doc_id, 'y', unnest({b}) FROM pairs) GROUP BY ALL)".format(a=TOKENS.format(x="before"), b=TOKENS.format(x="after"))
     c.add("hashing_vector", lambda s, d: T.hashing_vector(docs(s, d)), "doc_id bucket n:long", "", f"SELECT doc_id, CAST(('0x' || substr(md5(token), 1, 16))::UBIGINT % 256 AS INTEGER) AS bucket, count(*) AS n FROM (SELECT doc_id, unnest({TOKENS.format(x='text')}) AS token FROM documents) GROUP BY ALL")
-    c.add("change_score", lambda s, d: T.change_score(pairs(s, d)), "doc_id ~score", PAIRS + ", " + vector, """SELECT p.doc_id, CASE WHEN xx IS NULL THEN 0 WHEN xx = 0 OR yy = 0 THEN 1 ELSE 1 - xy / sqrt(CAST(xx AS DOUBLE) * yy) END AS score FROM pairs p LEFT JOIN (
+    c.add("change_score", lambda s, d: T.change_score(pairs(s, d)), "doc_id ~score", PAIRS + ", " + vector, """SELECT p.doc_id, CASE WHEN trim(coalesce(before, ''), E' \\t\\n\\r') = '' AND trim(coalesce(after, ''), E' \\t\\n\\r') = '' THEN 0 WHEN xx IS NULL OR xx = 0 OR yy = 0 THEN 1 ELSE 1 - xy / sqrt(CAST(xx AS DOUBLE) * yy) END AS score FROM pairs p LEFT JOIN (
         SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, sum(coalesce(a.n, 0) * coalesce(b.n, 0)) AS xy, coalesce(sum(a.n * a.n), 0) AS xx, coalesce(sum(b.n * b.n), 0) AS yy
         FROM (SELECT * FROM v WHERE side = 'x') a FULL JOIN (SELECT * FROM v WHERE side = 'y') b ON a.doc_id = b.doc_id AND a.bucket = b.bucket GROUP BY 1) s ON p.doc_id = s.doc_id""")
     sent = "list_filter(list_transform(string_split_regex(regexp_replace({x}, '([.!?])\\s+', '\\1\x01', 'g'), '\x01'), lambda s: trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))), lambda s: len(s) >= 20)"
@@ -88,7 +88,7 @@ def register(c: Catalog) -> None:
     pages = lambda s, d: tables.table(s, d, "pages")
     c.add("url_dedupe", lambda s, d: T.first_by_url(pages(s, d)), "key page_id n:long", "", "SELECT regexp_replace(regexp_replace(lower(url), '[?#].*$', ''), '/+$', '') AS key, min(page_id) AS page_id, count(*) AS n FROM pages GROUP BY 1")
     c.add("html_clean", lambda s, d: T.clean_html(pages(s, d)), "page_id text")
-    c.add("citation_extract", lambda s, d: T.citations(docs(s, d)).groupBy("doc_id", "kind").agg(F.count("*").alias("n")), "doc_id kind n:long", "", r"SELECT doc_id, kind, count(*) AS n FROM (SELECT doc_id, CASE WHEN regexp_matches(raw, '^\d{4}-\d{2}-\d{2}$') THEN 'date' WHEN regexp_matches(raw, '^\+?[\d ()-]{7,}$') THEN 'number' WHEN regexp_matches(raw, '\d%') THEN 'percent' WHEN regexp_matches(raw, '\w+\s*[:=]\s*\S') THEN 'key' WHEN regexp_matches(raw, '\d') THEN 'figure' END AS kind FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\(([^()]{2,80})\)', 1)) AS raw FROM documents)) WHERE kind IS NOT NULL GROUP BY ALL")
+    c.add("citation_extract", lambda s, d: T.citations(docs(s, d)).groupBy("doc_id", "kind").agg(F.count("*").alias("n")), "doc_id kind n:long", "", r"SELECT doc_id, kind, count(*) AS n FROM (SELECT doc_id, CASE WHEN regexp_matches(raw, '^\d{4}-\d{2}-\d{2}$') THEN 'date' WHEN regexp_matches(raw, '^\+?[\d ()-]{7,}$') THEN 'number' WHEN regexp_matches(raw, '\d%') THEN 'percent' WHEN regexp_matches(raw, '\w+\s*[:=]\s*\S') THEN 'key' WHEN regexp_matches(raw, '\d') THEN 'figure' END AS kind FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\(([^()]{2,})\)', 1)) AS raw FROM documents)) WHERE kind IS NOT NULL GROUP BY ALL")
     shown = "CASE l_linenumber % 5 WHEN 0 THEN '$' || CAST(l_quantity AS INTEGER) || 'M' WHEN 1 THEN CAST(l_quantity AS INTEGER) || '%' WHEN 2 THEN '(' || CAST(l_quantity AS INTEGER) || 'B)' WHEN 3 THEN 'n/a' ELSE '$1,' || (100 + CAST(l_quantity AS INTEGER)) END"
     c.add("money_parse", lambda s, d: tables.table(s, d, "lineitem").selectExpr(f"{shown} AS raw").select("raw", T.money(F.col("raw")).alias("value")).groupBy("raw").agg(F.max("value").alias("value"), F.count("*").alias("n")), "raw ~value n:long", "", f"SELECT raw, max(CASE WHEN raw = 'n/a' THEN NULL ELSE CAST(regexp_extract(replace(raw, ',', ''), '\\d+') AS DOUBLE) * CASE WHEN raw LIKE '%M' THEN 1e6 WHEN raw LIKE '%B)' THEN -1e9 WHEN raw LIKE '%\\%' ESCAPE '\\' THEN 0.01 ELSE 1 END END) AS value, count(*) AS n FROM (SELECT {shown} AS raw FROM lineitem) GROUP BY raw")
 

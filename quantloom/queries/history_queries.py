@@ -94,8 +94,7 @@ def register(c: Catalog) -> None:
 
     def view(name: str, text: str):
         def of(df):
-            df.createOrReplaceTempView(f"{name}_now")
-            return df.sparkSession.sql(text.format(**{name: f"{name}_now"}))
+            return df.sparkSession.sql(text, **{name: df})
 
         return of
 

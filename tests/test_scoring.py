@@ -28,8 +28,18 @@ def test_setup_bands(spark):
 def test_odds(spark):
     rows = [("up", 0.01, 0.02, 0.03, 0.04, 0.05), ("mid", -0.2, -0.1, 0.0, 0.1, 0.2), ("down", -0.5, -0.4, -0.3, -0.2, -0.1)]
     got = {r.symbol: r for r in S.odds(spark.createDataFrame(rows, "symbol string, q05 double, q25 double, q50 double, q75 double, q95 double")).collect()}
-    assert (got["up"].p_up, got["up"].posture) == (0.95, "long") and (got["down"].p_up, got["down"].posture) == (0.05, "short")
-    assert got["mid"].p_up == pytest.approx(0.5) and got["mid"].posture == "neutral"
+    assert (got["up"].p_up, got["up"].posture) == (1.0, "odds_favorable") and (got["down"].p_up, got["down"].posture) == (0.0, "odds_unfavorable")
+    assert got["mid"].p_up == pytest.approx(0.5) and got["mid"].posture == "balanced"
+    assert got["up"].conviction == 0.4  # without a weight the tilt counts for four tenths
+
+
+def test_price_targets(spark):
+    """A quarter of 100 at 40 per cent and 30 of costs, 10 shares, growth of a half, a gap of a fifth."""
+    rows = [("a", 100.0, 0.4, 30.0, 10.0, 0.5, 0.2), ("thin", 100.0, 0.02, 1.0, 10.0, None, None), ("none", 100.0, 0.4, 30.0, 0.0, 0.5, 0.2)]
+    got = {r.symbol: r for r in S.price_targets(spark.createDataFrame(rows, "symbol string, revenue double, gross_margin double, opex double, shares double, yoy double, gap double")).collect()}
+    a = got["a"]
+    assert (a.bear, a.base, a.bull) == (round((400 * 0.37 - 120) / 10 * 12, 2), round((600 * 0.4 - 120) / 10 * 20, 2), round((400 * 1.65 * 0.42 - 120) / 10 * 28 * 1.1, 2))
+    assert got["thin"].bear is None and got["thin"].base == round((8 - 4) / 10 * 20, 2) and got["none"].bull is None
 
 
 def test_claims(spark):

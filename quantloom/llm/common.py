@@ -65,20 +65,25 @@ def join_heavy(left: DataFrame, right: DataFrame, keys: list[str], count: str, m
     return a.unionByName(b)
 
 
-def may_hold(rows: DataFrame, key: str, keys: DataFrame, log2_maps: int = 12) -> DataFrame:
-    """The ``rows`` whose ``key`` (a hash, long) may be among ``keys``, and few others.
+def marked(rows: DataFrame, key: str, keys: DataFrame, log2_maps: int = 12) -> DataFrame:
+    """``rows`` with a boolean, may: whether ``key`` (a hash, long) may be among ``keys``; it is false for most that aren't.
 
     The keys are folded into 2 ** log2_maps bit maps of 4 KB, which are broadcast: 16 MB at most, whatever the tables. The
-    more keys there are, the more rows pass in vain; none that belongs is ever left out.
+    more keys there are, the more rows are marked in vain; none that belongs is ever left out.
     """
     part = lambda c: F.pmod(c, F.lit(1 << log2_maps))
     bit = lambda c: F.shiftrightunsigned(c, 20).bitwiseAND(F.lit(32767))
     maps = keys.groupBy(part(F.col(key)).alias("__part")).agg(F.bitmap_construct_agg(bit(F.col(key))).alias("__map"))
-    out = rows.withColumn("__part", part(F.col(key))).join(F.broadcast(maps), "__part")
+    out = rows.withColumn("__part", part(F.col(key))).join(F.broadcast(maps), "__part", "left")
     at = bit(F.col(key))
     byte = F.conv(F.hex(F.substring("__map", F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    held = F.expr("shiftright(__byte, __bit) & 1").cast("boolean")
-    return out.withColumn("__byte", byte).withColumn("__bit", at.bitwiseAND(F.lit(7)).cast("int")).where(held).drop("__part", "__map", "__byte", "__bit")
+    held = F.expr("coalesce(cast(shiftright(__byte, __bit) & 1 as boolean), false)")
+    return out.withColumn("__byte", byte).withColumn("__bit", at.bitwiseAND(F.lit(7)).cast("int")).withColumn("may", held).drop("__part", "__map", "__byte", "__bit")
+
+
+def may_hold(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The ``rows`` that :func:`marked` marks."""
+    return marked(rows, key, keys).where("may").drop("may")
 
 
 def text_slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:

@@ -1,26 +1,33 @@
 """Substring dedup over a De Bruijn graph of words.
 
 A run of k words is an edge between the nodes of its first and last k - 1 words. An edge that starts in documents of
-different ids is repeated, and its words go from all but the document with the smallest id. Consecutive edges of a
-document that share their minimiser (the smallest hash of ``anchor`` consecutive words) are compacted to one stretch
-before anything is shuffled: one row holds the minimiser, the source coordinates (document, position) and a 48-bit hash of
-each edge. As the minimiser depends on an edge's own words only, equal edges always meet under it. There, equal
-stretches are settled whole against the smallest source, and only stretches that branch off are settled by the edge.
-The spans found are joined back to their documents by their coordinates.
+different ids is repeated, and its words go from all but the document with the smallest id. The graph is compacted in two
+steps, as is done for graphs too large to hold:
+
+1. Consecutive edges of a document that share their minimiser (the smallest hash of ``anchor`` consecutive words) are one
+   stretch before anything is shuffled: a row holds the minimiser, the source coordinates (document, text, position) and a
+   48-bit hash of each edge. As the minimiser depends on an edge's own words only, equal edges always meet under it. Equal
+   stretches are nonbranching there and are settled whole; where stretches branch off, they are settled by the edge.
+2. Repeated stretches that follow one another both in their document and in the document they repeat are one path, however
+   many minimisers it passes: they are put together by their coordinates.
+
+Each path is then verified: its source coordinates are joined to the source document, and a digest of the words that
+stand there to the document that repeats it, which compares it with its own words before it cuts. Hashes only find paths.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import map_texts, mix64, stored, text_slices
+from quantloom.llm.common import join_heavy, map_texts, marked, mix64, stored, text_slices
 
 #: Words of a minimiser.
 ANCHOR = 5
@@ -28,6 +35,9 @@ ANCHOR = 5
 HELD = 200_000
 _HASH = 6  # bytes of an edge's hash
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+#: A place is a text's tag (32 bits of its hash, for ids that have several texts) above a word's position.
+_TAG = "shiftleft(xxhash64(text), 32)"
+_AT = "bigint(4294967295)"
 
 
 def _rolling(h: np.ndarray, k: int) -> np.ndarray:
@@ -38,18 +48,19 @@ def _rolling(h: np.ndarray, k: int) -> np.ndarray:
     return mix64(out)
 
 
-def _stretches(texts: list[str | None], k: int) -> tuple[np.ndarray, ...]:
+def _stretches(texts: list[str | None], k: int, seed: int = 0, bits: int = 64) -> tuple[np.ndarray, ...]:
     """For compacted stretches: text number, first edge's position, minimiser, and the edges' hashes (flat) with ends."""
+    anchor = min(ANCHOR, k)
     words = [(x or "").encode("utf-8", "replace").split() for x in texts]
     n = np.array([len(x) for x in words], np.int64)
     total = int(n.sum())
     none = np.zeros(0, np.int64)
     if total < k:
         return none, none, none, np.zeros((0, _HASH), np.uint8), none
-    h = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(words)), np.uint64, total)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(words), repeat(seed)), np.uint64, total) >> np.uint64(64 - bits)
     text = np.repeat(np.arange(len(texts)), n)
-    anchors, edges = _rolling(h, ANCHOR), _rolling(h, k)
-    m, span = len(edges), k - ANCHOR + 1
+    anchors, edges = _rolling(h, anchor), _rolling(h, k)
+    m, span = len(edges), k - anchor + 1
     best, at = anchors[:m].copy(), np.zeros(m, np.int64)
     for j in range(1, span):
         less = anchors[j : j + m] < best
@@ -68,64 +79,69 @@ def _stretches(texts: list[str | None], k: int) -> tuple[np.ndarray, ...]:
 
 
 class Repeats:
-    """What a task has met more than once: keys of whole stretches with the smallest document so far, up to a bound.
+    """What a task has met more than once: keys of whole stretches with the first place of the smallest document so far.
 
     It plays the part of a map-side combine: a later document's copy of a known stretch is settled before the shuffle, so
     a line that many documents share sends a few rows a task, not one a document. What isn't known here is settled later.
     """
 
     def __init__(self, most: int = 200_000):
-        self.most, self.keys, self.least = most, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        none = np.zeros(0, np.int64)
+        self.most, self.keys, self.doc, self.place = most, np.zeros(0, np.uint64), none, none
 
-    def settled(self, key: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """Which stretches also start in a smaller document met by this task."""
-        order = np.lexsort((doc, key))
-        k, d = key[order], doc[order]
+    def settled(self, key: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which stretches also start in a smaller document met by this task; that document, and where."""
+        order = np.lexsort((place, doc, key))
+        k, d, p = key[order], doc[order], place[order]
         starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
         group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(k)]))
-        least = d[starts]
+        least, where = d[starts], p[starts]
         if len(self.keys):
             at = np.minimum(np.searchsorted(self.keys, k[starts]), len(self.keys) - 1)
-            least = np.where(self.keys[at] == k[starts], np.minimum(least, self.least[at]), least)
-        out = np.zeros(len(key), bool)
-        out[order] = d > least[group]
-        again = np.unique(group[out[order]])
+            sooner = (self.keys[at] == k[starts]) & (self.doc[at] < least)
+            least, where = np.where(sooner, self.doc[at], least), np.where(sooner, self.place[at], where)
+        gone, source, there = np.zeros(len(key), bool), np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+        gone[order], source[order], there[order] = d > least[group], least[group], where[group]
+        again = np.unique(group[gone[order]])
         if len(again):
-            keys, mins = np.r_[self.keys, k[starts][again]], np.r_[self.least, least[again]]
-            by = np.lexsort((mins, keys))
+            keys, docs, places = np.r_[self.keys, k[starts][again]], np.r_[self.doc, least[again]], np.r_[self.place, where[again]]
+            by = np.lexsort((places, docs, keys))
             first = np.r_[True, keys[by][1:] != keys[by][:-1]]
             if first.sum() <= self.most:
-                self.keys, self.least = keys[by][first], mins[by][first]
-        return out
+                self.keys, self.doc, self.place = keys[by][first], docs[by][first], places[by][first]
+        return gone, source, there
 
 
-def stretches(docs: DataFrame, k: int) -> DataFrame:
-    """anchor, doc_id, pos, n and edges of every compacted stretch.
+def stretches(docs: DataFrame, k: int, seed: int = 0, bits: int = 64) -> DataFrame:
+    """anchor, doc_id, place, n, src, src_place and edges of every compacted stretch.
 
     n is 0 and edges has the hashes (_HASH bytes each) where the stretch is still open; where its task has settled that it
-    goes, n is its number of edges, and the anchor is arbitrary so that such rows spread evenly.
+    goes, n is its number of edges, src and src_place say where it stands in a smaller document, and the anchor is arbitrary
+    so that such rows spread evenly. Rows with a null doc_id or text, and texts of fewer than k words, have no stretch.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Repeats()
         for batch in batches:
             for rows in text_slices(batch, "text"):
-                text, pos, anchor, hashes, ends = _stretches(rows.column("text").to_pylist(), k)
+                text, pos, anchor, hashes, ends = _stretches(rows.column("text").to_pylist(), k, seed, bits)
                 if not len(text):
                     continue
-                doc = rows.column("doc_id").to_numpy()[text]
+                doc, place = rows.column("doc_id").to_numpy()[text], rows.column("tag").to_numpy()[text] + pos
                 starts = np.r_[0, ends[:-1]]
                 size = ends - starts
-                place = (np.arange(len(hashes)) - np.repeat(starts, size)).astype(np.uint64)
-                key = np.add.reduceat(mix64(_wide(hashes) + place * _BASE), starts) ^ mix64(anchor.view(np.uint64))
-                gone = known.settled(key, doc)
-                anchor = np.where(gone, mix64(doc.view(np.uint64) * _BASE + pos.astype(np.uint64)).view(np.int64), anchor)
+                step = (np.arange(len(hashes)) - np.repeat(starts, size)).astype(np.uint64)
+                key = np.add.reduceat(mix64(_wide(hashes) + step * _BASE), starts) ^ mix64(anchor.view(np.uint64))
+                gone, source, there = known.settled(key, doc, place)
+                anchor = np.where(gone, mix64(doc.view(np.uint64) * _BASE + place.view(np.uint64)).view(np.int64), anchor)
                 offsets = np.r_[0, np.cumsum(np.where(gone, 0, size)) * _HASH].astype(np.int32)
                 left = np.ascontiguousarray(hashes[~np.repeat(gone, size)])
                 data = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(left.tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(doc), pa.array(pos.astype(np.int32)), pa.array(np.where(gone, size, 0).astype(np.int32)), data], ["anchor", "doc_id", "pos", "n", "edges"])
+                shown = [pa.array(x, pa.int64(), mask=~gone) for x in (source, there)]
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(doc), pa.array(place), pa.array(np.where(gone, size, 0).astype(np.int32)), *shown, data], ["anchor", "doc_id", "place", "n", "src", "src_place", "edges"])
 
-    return docs.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(run, "anchor long, doc_id long, pos int, n int, edges binary")
+    own = docs.where("doc_id is not null and text is not null").select("doc_id", "text", F.expr(_TAG).alias("tag"))
+    return own.mapInArrow(run, "anchor long, doc_id long, place long, n int, src long, src_place long, edges binary")
 
 
 def _wide(hashes: np.ndarray) -> np.ndarray:
@@ -142,65 +158,74 @@ def _edges_of(data: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return _wide(raw), np.diff(offsets) // _HASH
 
 
-def _settle(anchor: np.ndarray, doc: np.ndarray, pos: np.ndarray, edges: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, position) of edges that start in a document with a smaller id, among stretches with the same minimisers."""
+def _settle(anchor: np.ndarray, doc: np.ndarray, place: np.ndarray, edges: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Edges that start in a document with a smaller id, among stretches with the same minimisers: doc, place, and those there."""
     row = np.repeat(np.arange(len(n)), n)
-    at = pos[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    order = np.lexsort((doc[row], edges, anchor[row]))
-    a, e, d = anchor[row][order], edges[order], doc[row][order]
+    at = place[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    order = np.lexsort((at, doc[row], edges, anchor[row]))
+    a, e, d, p = anchor[row][order], edges[order], doc[row][order], at[order]
     new = np.r_[True, (a[1:] != a[:-1]) | (e[1:] != e[:-1])]
-    least = d[np.flatnonzero(new)][np.cumsum(new) - 1]
-    hit = d > least
-    return d[hit], at[order][hit]
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    hit = d > d[first]
+    return d[hit], p[hit], d[first][hit], p[first][hit]
+
+
+_SPAN = ("doc_id", "place", "n", "src", "src_place")
 
 
 def spans(found: DataFrame) -> DataFrame:
-    """doc_id, pos and n of runs of edges that also start in a document with a smaller id."""
+    """doc_id, place, n, src and src_place of runs of edges that also start in a document with a smaller id, src."""
+
+    def emit(doc, place, n, src, there) -> pa.RecordBatch:
+        cols = [pa.array(doc, pa.int64()), pa.array(place, pa.int64()), pa.array(np.asarray(n, np.int32)), pa.array(src, pa.int64()), pa.array(there, pa.int64())]
+        return pa.RecordBatch.from_arrays([*cols, pa.nulls(len(doc), pa.int64()), pa.nulls(len(doc), pa.binary())], [*_SPAN, "anchor", "edges"])
 
-    def emit(doc, pos, n, anchor=None, edges=None) -> pa.RecordBatch:
-        rest = [pa.nulls(len(doc), pa.int64()), pa.nulls(len(doc), pa.binary())] if anchor is None else [pa.array(anchor), edges]
-        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(np.asarray(pos, np.int32)), pa.array(np.asarray(n, np.int32)), *rest], ["doc_id", "pos", "n", "anchor", "edges"])
+    def leave(part: pa.RecordBatch) -> pa.RecordBatch:
+        """Stretches under a minimiser that a task can't hold, for the grouped join."""
+        none = pa.nulls(part.num_rows, pa.int64())
+        return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("place"), pa.array(np.zeros(part.num_rows, np.int32)), none, none, part.column("anchor"), part.column("edges")], [*_SPAN, "anchor", "edges"])
 
-    def settle(held: pa.Table | pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    def settle(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Branching: minimisers with several distinct stretches in several documents."""
-        anchor = held.column("anchor").to_numpy()
+        rows = pa.Table.from_batches(held).combine_chunks()
+        anchor = rows.column("anchor").to_numpy()
         if not len(anchor):
             return
-        doc, pos = held.column("doc_id").to_numpy(), held.column("pos").to_numpy()
+        doc, place = rows.column("doc_id").to_numpy(), rows.column("place").to_numpy()
         starts = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
         sizes = np.diff(np.r_[starts, len(anchor)])
-        many = np.maximum.reduceat(doc, starts) > np.minimum.reduceat(doc, starts)
-        rows = np.flatnonzero(np.repeat(many, sizes))
-        if len(rows):
-            edges, n = _edges_of(held.column("edges").take(pa.array(rows)))
-            d, p = _settle(anchor[rows], doc[rows], pos[rows], edges, n)
+        many = np.flatnonzero(np.repeat(np.maximum.reduceat(doc, starts) > np.minimum.reduceat(doc, starts), sizes))
+        if len(many):
+            edges, n = _edges_of(rows.column("edges").take(pa.array(many)).combine_chunks())
+            d, p, src, there = _settle(anchor[many], doc[many], place[many], edges, n)
             if len(d):
-                yield emit(d, p, np.ones(len(d)))
+                yield emit(d, p, np.ones(len(d)), src, there)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # first stretches under minimisers that are still open
-        last = None  # the last stretch read: anchor, edges and the smallest document with it
+        held: list[pa.RecordBatch] = []  # first stretches under the last minimiser, which is still open
+        last = None  # the last stretch read: anchor and edges, and the smallest document with it and its place
         over = None  # a minimiser with more stretches than a task holds
         for batch in batches:
-            size = batch.column("n").to_numpy()
-            if (done := size > 0).any():
+            done = batch.column("n").to_numpy() > 0
+            if done.any():
                 own = batch.filter(pa.array(done))
-                yield emit(own.column("doc_id"), own.column("pos").to_numpy(), own.column("n").to_numpy())
+                yield emit(*(own.column(c) for c in _SPAN))
                 batch = batch.filter(pa.array(~done))
             if not batch.num_rows:
                 continue
-            anchor, doc, edges = batch.column("anchor").to_numpy(), batch.column("doc_id").to_numpy(), batch.column("edges")
-            text = edges.to_pylist()
+            anchor, doc, place = (batch.column(c).to_numpy() for c in ("anchor", "doc_id", "place"))
+            text = batch.column("edges").to_pylist()
             new = np.r_[True, (anchor[1:] != anchor[:-1]) | np.fromiter((x != y for x, y in zip(text[1:], text)), bool, len(text) - 1)]
-            least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+            first = np.flatnonzero(new)[np.cumsum(new) - 1]
+            src, there = doc[first], place[first]
             if last is not None and last[:2] == (anchor[0], text[0]):
-                least[: np.flatnonzero(np.r_[new[1:], True])[0] + 1] = last[2]
-            last = (anchor[-1], text[-1], least[-1])
-            again = doc > least
+                goes_on = slice(0, np.flatnonzero(np.r_[new[1:], True])[0] + 1)
+                src[goes_on], there[goes_on] = last[2:]
+            last = (anchor[-1], text[-1], src[-1], there[-1])
+            again = doc > src
             if again.any():
                 rows = np.flatnonzero(again)
-                size = np.array([len(text[i]) // _HASH for i in rows])
-                yield emit(doc[rows], batch.column("pos").to_numpy()[rows], size)
+                yield emit(doc[rows], place[rows], [len(text[i]) // _HASH for i in rows], src[rows], there[rows])
             batch = batch.filter(pa.array(~again))
             if not batch.num_rows:
                 continue
@@ -208,29 +233,26 @@ def spans(found: DataFrame) -> DataFrame:
             if over is not None:
                 cut = int(np.searchsorted(anchor, over, side="right"))
                 if cut:
-                    part = batch.slice(0, cut)
-                    yield emit(part.column("doc_id"), part.column("pos").to_numpy(), np.zeros(cut), anchor[:cut], part.column("edges"))
+                    yield leave(batch.slice(0, cut))
                 batch, anchor = batch.slice(cut), anchor[cut:]
                 if not batch.num_rows:
                     continue
                 over = None
             cut = int(np.searchsorted(anchor, anchor[-1]))  # the last minimiser may go on in the next batch
-            same = held and held[-1].column("anchor")[-1].as_py() == anchor[-1]
-            if cut or (held and not same):
-                yield from settle(pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks().to_batches(max_chunksize=None)[0] if held or cut else batch.slice(0, 0))
+            if cut or (held and held[-1].column("anchor")[-1].as_py() != anchor[-1]):
+                yield from settle([*held, batch.slice(0, cut)])
                 held = []
             held.append(batch.slice(cut))
             if sum(x.num_rows for x in held) > HELD:
                 over = anchor[-1]
-                for part in held:
-                    yield emit(part.column("doc_id"), part.column("pos").to_numpy(), np.zeros(part.num_rows), part.column("anchor").to_numpy(), part.column("edges"))
+                yield from map(leave, held)
                 held = []
         if held:
-            yield from settle(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+            yield from settle(held)
 
-    dealt = found.repartition("anchor").sortWithinPartitions("anchor", "edges", "doc_id")
-    out = stored(dealt.mapInArrow(run, "doc_id long, pos int, n int, anchor long, edges binary"), "substring-spans")
-    return out.where("anchor is null").select("doc_id", "pos", "n").unionByName(_grouped(out.where("anchor is not null")))
+    dealt = found.repartition("anchor").sortWithinPartitions("anchor", "edges", "doc_id", "place")
+    out = stored(dealt.mapInArrow(run, "doc_id long, place long, n int, src long, src_place long, anchor long, edges binary"), "substring-spans")
+    return out.where("anchor is null").select(*_SPAN).unionByName(_grouped(out.where("anchor is not null")))
 
 
 def _grouped(open_: DataFrame) -> DataFrame:
@@ -239,43 +261,108 @@ def _grouped(open_: DataFrame) -> DataFrame:
     def run(rows: pa.RecordBatch) -> pa.RecordBatch:
         edges, n = _edges_of(rows.column("edges"))
         row = np.repeat(np.arange(len(n)), n)
-        at = rows.column("pos").to_numpy()[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        at = rows.column("place").to_numpy()[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         take = pa.array(row)
-        return pa.RecordBatch.from_arrays([rows.column("anchor").take(take), pa.array(edges.astype(np.int64)), rows.column("doc_id").take(take), pa.array(at.astype(np.int32))], ["anchor", "edge", "doc_id", "pos"])
+        return pa.RecordBatch.from_arrays([rows.column("anchor").take(take), pa.array(edges.astype(np.int64)), rows.column("doc_id").take(take), pa.array(at)], ["anchor", "edge", "doc_id", "place"])
+
+    each = map_texts(open_.select("anchor", "edges", "doc_id", "place"), run, "anchor long, edge long, doc_id long, place long", "edges")
+    first = F.min(F.struct("doc_id", "place"))
+    least = each.groupBy("anchor", "edge").agg(first.alias("first"), F.max("doc_id").alias("most"), F.count("*").alias("count")).where("first.doc_id < most")
+    least = least.select("anchor", "edge", "count", F.col("first.doc_id").alias("src"), F.col("first.place").alias("src_place"))
+    return join_heavy(each, least, ["anchor", "edge"], "count").where("doc_id > src").select("doc_id", "place", F.lit(1).alias("n"), "src", "src_place")
+
+
+def paths(found: DataFrame) -> DataFrame:
+    """Runs put together: those that follow one another in their document and in the one they repeat are one path.
+
+    One sort by document. Repeated rows give their runs twice, which count once.
+    """
+    w = Window.partitionBy("doc_id", F.shiftright("place", 32)).orderBy("place", "n", "src", "src_place")
+    before = lambda c: F.lag(c).over(w)
+    same = (before("src") == F.col("src")) & (F.col("place") - before("place") == F.col("src_place") - before("src_place"))
+    marked_ = found.select("*", F.coalesce(same & (F.col("place") == before("place") + before("n")), F.lit(False)).alias("on"), F.coalesce(same & (F.col("place") == before("place")) & (F.col("n") == before("n")), F.lit(False)).alias("twice"))
+    runs = marked_.where("not twice").withColumn("path", F.sum((~F.col("on")).cast("long")).over(w))
+    out = runs.groupBy("doc_id", F.shiftright("place", 32).alias("tag"), "path").agg(F.min("place").alias("place"), F.sum("n").cast("int").alias("n"), F.min("src").alias("src"), F.min("src_place").alias("src_place"))
+    return out.select(*_SPAN)
+
+
+def _own(docs: DataFrame) -> DataFrame:
+    """doc_id, text, the text's tag and a hash of both."""
+    return docs.select("doc_id", "text", F.expr(_TAG).alias("tag")).withColumn("row", F.xxhash64("doc_id", "tag"))
+
 
-    each = map_texts(open_.select("anchor", "edges", "doc_id", "pos"), run, "anchor long, edge long, doc_id long, pos int", "edges")
-    least = each.groupBy("anchor", "edge").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
-    return each.join(least, ["anchor", "edge"]).where("doc_id > least").select("doc_id", "pos", F.lit(1).alias("n"))
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "replace").split()
 
 
-def cut_repeats(docs: DataFrame, k: int = 13) -> DataFrame:
+def _digest(words: list[bytes], at: int, n: int, k: int) -> bytes:
+    """Of the words of n edges, which are joined by single spaces: no other words give the same bytes."""
+    return hashlib.blake2b(b" ".join(words[at : at + n + k - 1]), digest_size=16).digest()
+
+
+def digests(docs: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """The paths with the digest of the words at their source coordinates.
+
+    Only documents that are a source of a path are moved. A source that many documents repeat is asked once for each place.
+    """
+    asked = found.groupBy("src", "src_place", "n").agg(F.count("*").alias("count"))
+    by = asked.groupBy(F.col("src").alias("__src"), F.expr(f"src_place & ~{_AT}").alias("__tag")).agg(F.collect_list(F.struct(F.expr(f"int(src_place & {_AT})").alias("at"), "n")).alias("asked"))
+    by = stored(by.withColumn("row", F.xxhash64("__src", "__tag")), "substring-sources")
+    own = marked(_own(docs), "row", by).where("may").dropDuplicates(["doc_id", "tag"])
+    both = own.join(by.drop("row").hint("merge"), (own["doc_id"] == by["__src"]) & (own["tag"] == by["__tag"]))
+
+    def run(rows: pa.RecordBatch) -> pa.RecordBatch:
+        out: dict[str, list] = {c: [] for c in ("src", "src_place", "n", "digest")}
+        for doc, tag, text, asked in zip(*(rows.column(c).to_pylist() for c in ("doc_id", "tag", "text", "asked"))):
+            words = _words(text)
+            for x in asked:
+                for c, v in zip(out, (doc, tag + x["at"], x["n"], _digest(words, x["at"], x["n"], k))):
+                    out[c].append(v)
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], list(out))
+
+    said = map_texts(both.select("doc_id", "tag", "text", "asked"), run, "src long, src_place long, n int, digest binary")
+    said = stored(said.join(asked.hint("merge"), ["src", "src_place", "n"]), "substring-digests")
+    return join_heavy(found, said, ["src", "src_place", "n"], "count")
+
+
+def cut_repeats(docs: DataFrame, k: int = 13, seed: int = 0, bits: int = 64) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words that stay, joined by single spaces) of every row.
 
-    A word goes if a run of ``k`` words that covers it also starts in a document with a smaller doc_id; runs are judged on
-    the input. Words are unchanged; null, empty and wordless texts have none, and texts of fewer than k words lose none.
-    Rows with a null doc_id are kept whole and are no source. A repeated row (same doc_id and text) is cut like the
-    first; a document does not lose what repeats only within it. Other columns are not read.
+    A word goes if a run of ``k`` words (1 or more) that covers it also starts in a document with a smaller doc_id; runs are
+    judged on the input. Words are unchanged; null, empty and wordless texts have none, and texts of fewer than k words lose
+    none. Rows with a null doc_id are kept whole and are no source. A repeated row (same doc_id and text) is cut like the
+    first; of rows that share a doc_id with different texts each is cut by itself, and none for the sake of another. A
+    document does not lose what repeats only within it. Other columns are not read.
+
+    Should two different runs of words share their hashes, the words' comparison fails the query: ``seed`` gives other
+    hashes. ``bits`` of a word's hash are used (fewer are for tests).
     """
-    of = spans(stretches(docs, k)).groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list(F.struct("pos", "n")).alias("spans"))
-    rows = docs.select("doc_id", "text")
-    both = rows.join(of, rows["doc_id"] == of["__doc"], "left").select("doc_id", "text", F.col("spans.pos").alias("pos"), F.col("spans.n").alias("n"))
+    if k < 1:
+        raise ValueError("a run has one word or more")
+    found = stored(paths(spans(stretches(docs, k, seed, bits))), "substring-paths")
+    cuts = digests(docs, found, k).groupBy(F.col("doc_id").alias("__doc"), F.expr(f"place & ~{_AT}").alias("__tag"))
+    cuts = cuts.agg(F.collect_list(F.struct(F.expr(f"int(place & {_AT})").alias("at"), "n", "digest")).alias("cuts"))
+    own = marked(_own(docs), "row", found.select(F.xxhash64("doc_id", F.expr(f"place & ~{_AT}")).alias("row")))
+    hit = own.where("may")  # the others aren't moved
+    hit = hit.join(cuts.hint("merge"), (hit["doc_id"] == cuts["__doc"]) & (hit["tag"] == cuts["__tag"]), "left").select("doc_id", "text", "cuts")
+    rest = own.where("not may").select("doc_id", "text", F.lit(None).cast(cuts.schema["cuts"].dataType).alias("cuts"))
 
     def run(rows: pa.RecordBatch) -> pa.RecordBatch:
         words_n, removed_n, kept = [], [], []
-        for text, pos, n in zip(rows.column("text").to_pylist(), rows.column("pos"), rows.column("n")):
-            words = (text or "").encode("utf-8", "replace").split()
-            gone = 0
-            if pos.is_valid and words:
-                edge = np.zeros(len(words) + 1, np.int64)
-                at = pos.values.to_numpy().astype(np.int64)
-                np.add.at(edge, at, 1)
-                np.add.at(edge, np.minimum(at + n.values.to_numpy() + k - 1, len(words)), -1)
-                stay = np.cumsum(edge[:-1]) == 0
-                gone = len(words) - int(stay.sum())
-                words = [words[i] for i in np.flatnonzero(stay)]
-            words_n.append(len(words) + gone)
-            removed_n.append(gone)
+        for text, cuts in zip(rows.column("text").to_pylist(), rows.column("cuts").to_pylist()):
+            words = _words(text)
+            total = len(words)
+            if cuts:
+                edge = np.zeros(total + 1, np.int64)
+                for x in cuts:
+                    if _digest(words, x["at"], x["n"], k) != x["digest"]:
+                        raise ValueError("different words share their hashes; give another seed")
+                    edge[x["at"]] += 1
+                    edge[x["at"] + x["n"] + k - 1] -= 1
+                words = [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
+            words_n.append(total)
+            removed_n.append(total - len(words))
             kept.append(b" ".join(words).decode("utf-8", "replace"))
         return pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(words_n, pa.int64()), pa.array(removed_n, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    return map_texts(both, run, "doc_id long, n_words long, n_removed long, kept string")
+    return map_texts(hit.unionByName(rest), run, "doc_id long, n_words long, n_removed long, kept string")

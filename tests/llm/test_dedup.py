@@ -167,7 +167,7 @@ def test_directory_splits_overfull_buckets(spark):
 
 
 def brute_cut(rows, k=13):
-    first, words = {}, {}
+    first = {}
     for r in rows:
         if r[0] is not None:
             w = WORD.findall(r[1] or "")
@@ -199,3 +199,29 @@ def test_substrings_awkward_rows(spark):
     got = substrings.cut_repeats(cases.docs(spark)).collect()
     assert sorted(map(repr, (tuple(r) for r in got))) == sorted(map(repr, brute_cut(rows)))
     assert substrings.cut_repeats(cases.empty(spark)).count() == 0
+
+
+def test_ids_with_several_texts_and_other_lengths(spark):
+    base = " ".join(cases.PROSE)
+    rows = [(1, base), (2, "x y z " + base + " tail"), (2, base + " other words"), (2, "x y z " + base + " tail"), (3, "own text"), (None, base)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for k in (1, 3, 13):
+        assert sorted(map(repr, map(tuple, substrings.cut_repeats(docs, k).collect()))) == sorted(map(repr, brute_cut(rows, k)))
+    with pytest.raises(ValueError):
+        substrings.cut_repeats(docs, 0)
+
+
+def test_paths_are_whole(spark):
+    """A passage that passes many minimisers is one path, with the place where it stands in the smaller document."""
+    words = [f"w{i}" for i in range(400)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "a b " + " ".join(words[50:350]) + " c")], "doc_id long, text string")
+    got = substrings.paths(substrings.spans(substrings.stretches(docs, 13))).collect()
+    assert [(r.doc_id, r.place & 0xFFFFFFFF, r.n, r.src, r.src_place & 0xFFFFFFFF) for r in got] == [(2, 2, 288, 1, 50)]
+
+
+def test_words_are_compared(spark):
+    """With four bits of a word's hash, different runs meet, and the comparison of words tells."""
+    words = [f"w{i}" for i in range(300)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[::-1])), (3, " ".join(words[100:] + words[:100]))], "doc_id long, text string")
+    with pytest.raises(Exception, match="share their hashes"):
+        substrings.cut_repeats(docs, 2, bits=1).collect()

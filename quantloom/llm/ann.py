@@ -35,6 +35,12 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.select("vec_id", "embedding").where(good)
 
 
+def dimension(vectors: DataFrame) -> int:
+    """The commonest length of vectors, the longer of two; 0 if there is none. Vectors of another length take no part."""
+    found = vectors.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
+    return found.d if found else 0
+
+
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64) if len(column) else np.zeros((0, 1))
 
@@ -53,15 +59,15 @@ def _first_copies(x: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
     return keep[np.argsort(ids[keep], kind="stable")]
 
 
-def _search(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, pivots: np.ndarray, norm: float, k: int, config: PermutationConfig) -> pd.DataFrame:
-    """The k best of one shard for each query."""
+def _search(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, pivots: np.ndarray, norm: float, k: int, config: PermutationConfig, scale: float = 1.0) -> pd.DataFrame:
+    """The k best of one shard for each query. Pivots and norm are of vectors divided by ``scale``; scores are of the vectors."""
     keep = _first_copies(x, ids, k + 1)
     ids, x = ids[keep], x[keep]
     m = min(config.prefix, len(pivots))
-    near = np.argsort(-(_lifted(x, norm) @ pivots.T), axis=1, kind="stable")[:, :m]
+    near = np.argsort(-(_lifted(x / scale, norm) @ pivots.T), axis=1, kind="stable")[:, :m]
     by = np.argsort(near.ravel(), kind="stable")  # the inverted files: rows and ranks, by pivot
     row, rank, ends = by // m, by % m, np.searchsorted(near.ravel()[by], np.arange(len(pivots) + 1))
-    asked = np.argsort(-(np.c_[q, np.zeros(len(q))] @ pivots.T), axis=1, kind="stable")[:, :m]
+    asked = np.argsort(-(np.c_[q / scale, np.zeros(len(q))] @ pivots.T), axis=1, kind="stable")[:, :m]
     most = max(config.least_candidates, int(len(ids) * config.candidates), 2 * k)
     out = []
     for i in range(len(q)):
@@ -71,8 +77,9 @@ def _search(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, piv
             agreed[row[at]] += m - np.maximum(rank[at], r)
         best = np.lexsort((np.arange(len(ids)), -agreed))[:most] if len(ids) > most else np.arange(len(ids))
         best = best[ids[best] != qids[i]]
-        score = (x[best] * q[i]).sum(axis=1)
-        top = np.lexsort((ids[best], -score))[:k]
+        with np.errstate(over="ignore", invalid="ignore"):
+            score = (x[best] * q[i]).sum(axis=1)
+        top = np.lexsort((ids[best], -np.where(np.isnan(score), -np.inf, score)))[:k]
         out.append(pd.DataFrame({"query_id": qids[i], "vec_id": ids[best][top], "score": score[top]}))
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
@@ -80,19 +87,23 @@ def _search(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, piv
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, config: PermutationConfig = PermutationConfig()) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of each query's ``k`` nearest by inner product, in double precision.
 
-    Both tables have vec_id and embedding (of one dimension). A query's own id is no candidate. Ties go to the smaller
-    vec_id. Vectors that are null, zero, or hold a null or a component that isn't finite take no part, as queries
-    either. An empty table gives no rows. Queries meet every shard of the vectors in blocks.
+    Both tables have vec_id and embedding. A query's own id is no candidate. Ties go to the smaller vec_id. Vectors that are
+    null, zero, hold a null or a component that isn't finite, or whose length isn't the commonest take no part, as queries
+    either. A product too large for a double is infinite, and one of opposite infinities ranks last. Repeated rows are
+    candidates each. An empty table gives no rows. Queries meet every shard of the vectors in blocks.
     """
     spark = vectors.sparkSession
-    data, asked = usable(vectors), usable(queries)
-    squared = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    data = usable(vectors)
+    size = dimension(data)
+    data, asked = (x.where(F.size("embedding") == size) for x in (data, usable(queries)))
+    scale = data.agg(F.max(F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double")))))).first()[0] or 1.0
+    squared = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + F.pow(x.cast("double") / scale, F.lit(2)))
     n, norm = data.agg(F.count("*"), F.sqrt(F.max(squared))).first()
     sample = data.select("embedding").distinct().orderBy(F.xxhash64("embedding")).limit(config.pivots).collect()  # bounded
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     shards, blocks = max(1, -(-n // config.shard_rows)), max(1, -(-asked.count() // config.query_rows))
-    pivots = spark.sparkContext.broadcast(_lifted(np.array([x[0] for x in sample], np.float64), norm))
+    pivots = spark.sparkContext.broadcast(_lifted(np.array([x[0] for x in sample], np.float64) / scale, norm))
     shard = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
     block = F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(blocks)).cast("int")
     left = data.select(shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vec_id", "embedding")
@@ -101,7 +112,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, config: Permuta
     def search(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(q):
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        return _search(x["vec_id"].to_numpy(), _matrix(x["embedding"]), q["vec_id"].to_numpy(), _matrix(q["embedding"]), pivots.value, norm, k, config)
+        return _search(x["vec_id"].to_numpy(), _matrix(x["embedding"]), q["vec_id"].to_numpy(), _matrix(q["embedding"]), pivots.value, norm, k, config, scale)
 
     found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -52,3 +52,25 @@ def test_awkward_vectors(spark):
     got = ann.nearest(v, v.where("vec_id % 20 = 0"), 3).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in got] == [(0, 1, 7, 3.0), (0, 2, 7, 3.0), (0, 3, 1, 1.0), (20, 1, 7, 3.5), (20, 2, 7, 3.5), (20, 3, 0, 0.5)]
     assert ann.nearest(v.limit(0), v.limit(0)).count() == 0
+
+
+def test_vectors_of_other_lengths_and_huge_ones(spark):
+    rows = [(0, [1e200, 0.0]), (1, [1e200, 1.0]), (2, [1.0, 2.0]), (3, [-1e200, 0.0]), (4, [1.0, 2.0, 3.0]), (20, [1.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(v, v.where("vec_id % 20 = 0"), 5).orderBy("rank").collect()
+    assert [(r.query_id, r.vec_id, r.score) for r in got] == [(0, 1, np.inf), (0, 2, 1e200), (0, 3, -np.inf)]
+
+
+def test_recall_over_several_shards(spark):
+    """A table of many shards: the index alone, with few candidates of each, finds what brute force finds."""
+    rng = np.random.default_rng(9)
+    centre = rng.normal(size=(60, 24))
+    x = centre[rng.integers(0, 60, 6000)] + 0.4 * rng.normal(size=(6000, 24))
+    v = spark.createDataFrame([(i, y.tolist()) for i, y in enumerate(x)], "vec_id long, embedding array<double>")
+    config = ann.PermutationConfig(pivots=128, prefix=32, candidates=0.1, least_candidates=60, shard_rows=1000, query_rows=100)
+    got = {}
+    for r in ann.nearest(v, v.where("vec_id % 20 = 0"), 20, config).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = brute(np.arange(6000), x, np.arange(0, 6000, 20))
+    assert set(got) == set(want)
+    assert np.mean([len(got[q] & {i for i, _ in own}) / 20 for q, own in want.items()]) >= 0.9

@@ -17,7 +17,13 @@ def finite(x: Column) -> Column:
 
 def percent(x: Column, digits: int = 1, sign: bool = False) -> Column:
     """A share as a percentage text."""
-    return F.format_string(f"%{'+' if sign else ''}.{digits}f%%", finite(x) * 100)
+    share = finite(x) * 100
+    return F.when(share.isNotNull(), F.format_string(f"%{'+' if sign else ''}.{digits}f%%", share))
+
+
+def fixed(x: Column, digits: int = 1) -> Column:
+    """A number with so many decimals, rounded by its binary value, as texts for readers show it; for few rows."""
+    return F.pandas_udf(lambda s: s.map(lambda v: None if pd.isna(v) else f"{v:.{digits}f}"), "string")(x.cast("double"))
 
 
 def trimmed(text: Column, limit: int) -> Column:

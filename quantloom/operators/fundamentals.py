@@ -196,3 +196,29 @@ def ratios(quarters: DataFrame, prices: DataFrame, provided: DataFrame) -> DataF
     own = x.select("symbol", F.explode(F.map_from_arrays(F.array(*map(F.lit, RATIOS)), F.array(*(F.expr(sql) for sql in RATIOS.values())))).alias("ratio", "own"))
     both = own.join(provided, ["symbol", "ratio"], "full")
     return both.select("symbol", "ratio", F.coalesce("own", "value").alias("value"), F.when(F.col("own").isNotNull(), "statements").when(F.col("value").isNotNull(), "provider").alias("source"))
+
+
+def merge_statements(income: DataFrame, balance: DataFrame, cash: DataFrame, most: int = 12) -> DataFrame:
+    """The newest ``most`` periods of each symbol, the three statements joined on (symbol, period_end), any of them missing.
+
+    Fiscal quarter, fiscal year and filing date come from the first statement that has the period. Statements without a
+    period end are left out. Derived figures follow: free cash flow, total debt and margins, null where a part is.
+    """
+    dims = ("fiscal_quarter", "fiscal_year", "filing_date")
+    sides = {"income": income, "balance": balance, "cash-flow": cash}
+    out = None
+    for k, (name, df) in enumerate(sides.items()):
+        own = df.where("period_end is not null").withColumn(f"__{k}", F.lit(name))
+        own = own.select(*(F.col(c).alias(f"__{c}_{k}") if c in dims else F.col(c) for c in own.columns))
+        out = own if out is None else out.join(own, ["symbol", "period_end"], "full")
+    first = lambda c: F.coalesce(*(F.col(f"__{c}_{k}") for k, df in enumerate(sides.values()) if c in df.columns)).alias(c)
+    values = [c for c in out.columns if not c.startswith("__") and c not in ("symbol", "period_end")]
+    x = out.select("symbol", "period_end", *(first(c) for c in dims), F.array_compact(F.array("__0", "__1", "__2")).alias("statements"), *values)
+    ratio = lambda a, b: F.col(a) / F.nullif(F.col(b), F.lit(0.0))
+    x = x.withColumn("fcf", F.col("cfo") - F.abs("capex"))
+    no_debt = F.col("long_term_debt").isNull() & (F.coalesce("debt_current", F.lit(0.0)) == 0)
+    x = x.withColumn("total_debt", F.when(~no_debt, F.coalesce("debt_current", F.lit(0.0)) + F.coalesce("long_term_debt", F.lit(0.0))))
+    for name, part in (("gross_margin", "gross_profit"), ("operating_margin", "operating_income"), ("net_margin", "net_income"), ("fcf_margin", "fcf")):
+        x = x.withColumn(name, ratio(part, "revenue"))
+    age = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("period_end")))
+    return x.withColumn("age", age).where(F.col("age") <= most)

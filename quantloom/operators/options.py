@@ -7,7 +7,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _N = NormalDist()
@@ -45,6 +45,29 @@ def third_friday(month):
     return F.date_add(F.next_day(F.date_sub(F.trunc(month, "month"), 1), "FRI"), 14)
 
 
+def mid(bid: str = "bid", ask: str = "ask", others: tuple[str, ...] = ("day_close", "last")) -> Column:
+    """The middle of a two-sided quote, else the first of the others above zero; null where none is."""
+    quoted = F.when((F.col(ask) >= F.col(bid)) & (F.col(bid) > 0), (F.col(bid) + F.col(ask)) / 2)
+    return F.coalesce(quoted, *(F.when((F.col(c) > 0) & ~F.isnan(c), F.col(c).cast("double")) for c in others))
+
+
+def first_at_strike(contracts: DataFrame, by: str = "oi") -> DataFrame:
+    """One call and one put of each (underlying, strike): the nearest expiry's; absent sides count zero."""
+    x = contracts.groupBy("underlying", "strike").agg(*(F.min(F.when(F.col("type") == t, F.struct("expiry", by)))[by].alias(t) for t in ("call", "put")))
+    return x.select("underlying", "strike", *(F.coalesce(t, F.lit(0)).alias(t) for t in ("call", "put")))
+
+
+def zones(quantiles: DataFrame, horizons: tuple[int, ...] = (3, 6)) -> DataFrame:
+    """Price zones from implied quantiles (symbol, h, spot, q25, q75): cheap spans the 25 per cent points, rich the 75.
+
+    A horizon without both quantiles, or without a positive spot, takes no part; a symbol without any has no row.
+    """
+    ok = quantiles.where(F.col("h").isin(*horizons) & (F.col("spot") > 0)).dropna(subset=["q25", "q75"])
+    at = lambda q: F.col("spot") * (1 + F.col(q))
+    names = F.array_join(F.transform(F.array_sort(F.collect_set("h")), lambda h: F.concat(h.cast("string"), F.lit("m"))), "-")
+    return ok.groupBy("symbol").agg(*(F.round(f(at(q)), 4).alias(f"{name}_{end}") for name, q in (("cheap", "q25"), ("rich", "q75")) for end, f in (("lo", F.min), ("hi", F.max))), names.alias("horizon"))
+
+
 def price(spot: float, strike: float, t: float, r: float, sigma: float, call: bool, q: float = 0.0) -> float:
     """Black-Scholes value with a dividend yield; where degenerate, the discounted forward's intrinsic value."""
     if t <= 0 or sigma <= 0 or spot <= 0 or strike <= 0:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,12 +49,16 @@ def open_bars(ticks: DataFrame, minutes: int = 15) -> DataFrame:
     def step(key: tuple, batches: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
         bar = list(kept.get) if kept.exists else None
         rows = pd.concat(list(batches)).sort_values("event_id")
-        for t, price, size in zip(rows["ts"], rows["price"], rows["size"]):
-            bucket = int(t.timestamp()) // (minutes * 60) * minutes * 60
-            if bar is None or bucket > bar[0]:
-                bar = [bucket, price, price, price, price, size]
-            elif bucket == bar[0]:
-                bar = [bucket, bar[1], max(bar[2], price), min(bar[3], price), price, max(bar[5], size)]
+        bucket = rows["ts"].to_numpy("datetime64[s]").astype("int64") // (minutes * 60) * minutes * 60
+        seen = np.maximum.accumulate(bucket if bar is None else np.r_[bar[0], bucket])[-len(bucket) :]
+        last = int(seen[-1])
+        own = rows[(bucket == seen) & (bucket == last)]  # ticks of a bucket older than one seen are dropped
+        if len(own):
+            price, size = own["price"], own["size"]
+            new = [last, price.iloc[0], price.max(), price.min(), price.iloc[-1], size.max()]
+            if bar is not None and bar[0] == last:
+                new = [last, bar[1], max(bar[2], new[2]), min(bar[3], new[3]), new[4], max(bar[5], new[5])]
+            bar = [last, *map(float, new[1:])]
         kept.update(tuple(bar))
         yield pd.DataFrame([[key[0], pd.Timestamp(bar[0], unit="s"), *bar[1:]]], columns=["symbol", "bucket", "open", "high", "low", "close", "volume"])
 

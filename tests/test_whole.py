@@ -7,7 +7,6 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from quantloom.llm import secrets
 from quantloom.operators import models as M
 from quantloom.operators import texts as T
 from quantloom.queries import catalog
@@ -110,13 +109,3 @@ def test_every_symbol_is_there(spark, name, symbols):
     rows = QUERIES[name](spark, folder).collect()
     assert len({r.symbol for r in rows}) == symbols
     test_queries.test_matches_sql(spark, c, folder, name)
-
-
-def test_short_passwords_are_redacted(spark):
-    texts = ['say password="Tr0ub4dor&3" to enter', "the pwd: hunter2! of today", "her db_password = x7Kq9Lm2 is old", "password: required for all", "a token: none was given", "the secret: garden of old"]
-    docs = spark.createDataFrame([(i, t, "src1") for i, t in enumerate(texts)], "doc_id long, text string, source string")
-    out = {r.doc_id: r.text for r in secrets.redact(docs, secrets.fit(spark)).collect()}
-    assert [out[i] for i in range(3)] == ['say password="<secret>" to enter', "the pwd: <secret> of today", "her db_password = <secret> is old"]
-    assert [out[i] for i in range(3, 6)] == texts[3:]
-    half = "ab" * 200
-    assert secrets.features(half + "Z9" * 200, "", "", "")[1:7] != secrets.features(half + "ab" * 200, "", "", "")[1:7]

@@ -33,7 +33,10 @@ _DIGIT = re.compile(r"\d")
 _ASSIGNED = re.compile(r"(?:password|passwd|pwd|secret|token|api[_-]?key|credential)s?[\"']?\s{0,2}[:=]\s{0,2}[\"']?([^\s\"',;]+)", re.I)
 _BEGIN = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
 _END = re.compile(r"-----END [A-Z ]*PRIVATE KEY-----")
-_PLAIN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}|(?:AKIA|ASIA|gh[pousr]_|github_pat_|xox[abprs]-|sk[-_]|AIza|glpat-|npm_)[A-Za-z0-9_-]+" % LEAST_PLAIN)
+#: How known tokens begin.
+_BEGINNINGS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-", "sk-", "sk_", "AIza", "glpat-", "npm_")
+_LONG = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % LEAST_PLAIN)
+_KNOWN = re.compile(f"(?:{'|'.join(_BEGINNINGS)})[A-Za-z0-9_-]+")
 _VALUE = re.compile(r"[A-Za-z0-9+/_=.~@:-]+")
 _TELLING = re.compile(r"pass(?:word|wd)?|pwd|secret|token|key|auth|credential|bearer", re.I)
 _HARMLESS = re.compile(r"sha\d*|md5|digest|checksum|commit|uuid|guid|hash|version|revision|etag|phone|call|order|serial|isbn|build|ref", re.I)
@@ -93,6 +96,11 @@ def _blocks(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _assigned(text: str) -> list[tuple[int, int]]:
+    """Values after a telling name and a sign."""
+    return [m.span(1) for m in _ASSIGNED.finditer(text)] if "=" in text or ":" in text else []
+
+
 def _words(text: str) -> list[tuple[int, int]]:
     """Words that may be secrets on their own: with a digit, or long, or with the beginning of a known token."""
     out, at = [], 0
@@ -107,7 +115,10 @@ def _words(text: str) -> list[tuple[int, int]]:
             if _DIGIT.search(v[0]):
                 cut = v[0].rfind("=", 0, -1) + 1
                 out.append((v.start() + (cut if len(v[0]) - cut >= LEAST else 0), v.end()))
-    return out + [m.span() for m in _PLAIN.finditer(text) if not _DIGIT.search(m[0])]
+    # both patterns are dear, and most texts can't match them
+    plain = list(_LONG.finditer(text)) if max(map(len, text.split()), default=0) >= LEAST_PLAIN else []
+    plain += _KNOWN.finditer(text) if any(x in text for x in _BEGINNINGS) else ()
+    return out + [m.span() for m in plain if not _DIGIT.search(m[0])]
 
 
 def spans(text: str) -> list[tuple[int, int, str]]:
@@ -116,7 +127,7 @@ def spans(text: str) -> list[tuple[int, int, str]]:
     A block comes before an assigned value, that before a word, and of two words the one that begins first.
     """
     out: list[tuple[int, int, str]] = []
-    for kind, found in (("block", _blocks(text)), ("assigned", [m.span(1) for m in _ASSIGNED.finditer(text)]), ("word", _words(text))):
+    for kind, found in (("block", _blocks(text)), ("assigned", _assigned(text)), ("word", _words(text))):
         taken, own, done = [x[:2] for x in out], [], 0
         for start, end in sorted(found, key=lambda x: (x[0], -x[1])):
             if kind != "block":

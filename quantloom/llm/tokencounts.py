@@ -10,6 +10,7 @@ cutting falls into step again, and updates the sums above. What lies outside is
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -126,8 +127,11 @@ def trees(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
     def run(rows: pa.RecordBatch) -> pa.RecordBatch:
         enc = encoder(tokenizer)
         own = [enc.pretokens(x or "") for x in rows.column("text").to_pylist()]
-        tokens = [enc.counts(x) for x in own]
-        lists = [pa.array([[len(y) for y in x] for x in own], pa.list_(pa.int32())), pa.array(tokens, pa.list_(pa.int32())), pa.array([sum(x) for x in tokens], pa.int64())]
+        flat, ends = list(chain.from_iterable(own)), np.cumsum([0, *map(len, own)])
+        tokens, offsets = np.array(enc.counts(flat), np.int32), pa.array(ends, pa.int32())
+        lengths = np.fromiter(map(len, flat), np.int32, len(flat))
+        total = np.r_[0, np.cumsum(tokens, dtype=np.int64)][ends]
+        lists = [*(pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (lengths, tokens)), pa.array(np.diff(total))]
         return pa.RecordBatch.from_arrays([*rows.columns, *lists], [*rows.schema.names, "lengths", "tokens", "n_tokens"])
 
     return map_texts(docs, run, _ddl(docs) + "lengths array<int>, tokens array<int>, n_tokens long")
@@ -145,17 +149,23 @@ def apply_edits(trees_: DataFrame, tokenizer: str = "byte_bpe_50k.json") -> Data
 
     def run(rows: pa.RecordBatch) -> pa.RecordBatch:
         enc = encoder(tokenizer)
-        cols = {x: rows.column(x).to_pylist() for x in ("text", "lengths", "tokens", "n_tokens", "edits")}
-        before, again = list(cols["n_tokens"]), [0] * rows.num_rows
-        for i, own in enumerate(cols["edits"]):
-            if own:
-                tree = CountTree(cols["text"][i] or "", np.array(cols["lengths"][i], np.int64), np.array(cols["tokens"][i], np.int64), enc)
-                tree.edit([(e["start"], e["end"], e["replacement"] or "") for e in own])
-                cols["text"][i], cols["n_tokens"][i], again[i] = tree.text, tree.total, tree.reencoded
-                cols["lengths"][i], cols["tokens"][i] = tree.stored()
-        cols["edits"] = [None] * rows.num_rows
-        out = [pa.array(cols[x], rows.schema.field(x).type) if x in cols else rows.column(x) for x in names]
-        return pa.RecordBatch.from_arrays([*out, pa.array(before, pa.int64()), pa.array(again, pa.int64())], [*names, "n_tokens_before", "n_reencoded"])
+        edits = {i: own for i, own in enumerate(rows.column("edits").to_pylist()) if own}
+        again = np.zeros(rows.num_rows, np.int64)
+        out = {x: rows.column(x) for x in names} | {"edits": pa.nulls(rows.num_rows, rows.schema.field("edits").type)}
+        new: dict[str, list] = {x: [] for x in ("text", "lengths", "tokens", "n_tokens")}
+        for i, own in edits.items():
+            text, lengths, tokens = (rows.column(x)[i] for x in ("text", "lengths", "tokens"))
+            tree = CountTree(text.as_py() or "", lengths.values.to_numpy(), tokens.values.to_numpy(), enc)
+            tree.edit([(e["start"], e["end"], e["replacement"] or "") for e in own])
+            again[i] = tree.reencoded
+            for x, v in zip(new, (tree.text, *tree.stored(), tree.total)):
+                new[x].append(v)
+        if edits:  # the edited rows behind the others, then each in its place
+            at = np.arange(rows.num_rows)
+            at[list(edits)] = rows.num_rows + np.arange(len(edits))
+            for x, v in new.items():
+                out[x] = pa.concat_arrays([out[x], pa.array(v, out[x].type)]).take(pa.array(at))
+        return pa.RecordBatch.from_arrays([*out.values(), rows.column("n_tokens"), pa.array(again)], [*out, "n_tokens_before", "n_reencoded"])
 
     return map_texts(trees_, run, _ddl(trees_) + "n_tokens_before long, n_reencoded long")
 

@@ -103,4 +103,7 @@ def register(c: Catalog) -> None:
 
     c.add("asof_price_at_filing", filed, "symbol period_end filing_date ~close", SMOOTH + ", " + QUARTERS, f"SELECT q.symbol, period_end, filing_date, close FROM quarters q ASOF LEFT JOIN (SELECT date, close FROM bars WHERE symbol = '{REF}') b ON q.filing_date >= b.date")
     smooth("kinematics", lambda b: X.kinematics(I.ema_stack(b, (21,))), "symbol ~velocity ~acceleration ~jerk")
+    c.sql["kinematics"] = f"""WITH RECURSIVE {SMOOTH}, n AS (SELECT *, row_number() {W}) AS rn FROM bars), e AS (SELECT symbol, date, rn, close AS e FROM n WHERE rn = 1 UNION ALL SELECT n.symbol, n.date, n.rn, e.e + (n.close - e.e) / 11 FROM e JOIN n ON n.symbol = e.symbol AND n.rn = e.rn + 1),
+        v AS (SELECT symbol, avg(d) FILTER (age <= 21) AS v0, avg(d) FILTER (age BETWEEN 22 AND 42) AS v1, avg(d) FILTER (age BETWEEN 43 AND 63) AS v2 FROM (SELECT symbol, ln(e) - lag(ln(e)) {W}) AS d, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS age FROM e) WHERE age <= 84 GROUP BY symbol)
+        SELECT symbol, round(v0, 6) + 0.0 AS velocity, round(v0 - v1, 6) + 0.0 AS acceleration, round(v0 - 2 * v1 + v2, 6) + 0.0 AS jerk FROM v"""
     smooth("cross_calendar", lambda b: b.join(b.where("symbol = 'Brand#11'").select("date"), "date", "left_semi").groupBy("symbol").agg({"date": "count"}).toDF("symbol", "n"), "symbol n:long", "SELECT symbol, count(*) AS n FROM bars WHERE date IN (SELECT date FROM bars WHERE symbol = 'Brand#11') GROUP BY symbol")

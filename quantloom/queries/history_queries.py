@@ -89,7 +89,7 @@ def register(c: Catalog) -> None:
     quarter("metric_trends", Q.metric_trends, "symbol metric ~yoy ~qoq trend", "SELECT symbol, metric, yoy, qoq, CASE WHEN qoq IS NULL OR before IS NULL THEN 'stable' WHEN qoq < 0 AND before < 0 THEN 'declining' WHEN qoq > before + 0.01 THEN 'accelerating' WHEN qoq < before - 0.01 THEN 'decelerating' ELSE 'stable' END AS trend FROM (SELECT symbol, metric, max(v) FILTER (age = 1) / nullif(max(v) FILTER (age = 5), 0) - 1 AS yoy, max(v) FILTER (age = 1) / nullif(max(v) FILTER (age = 2), 0) - 1 AS qoq, max(v) FILTER (age = 2) / nullif(max(v) FILTER (age = 3), 0) - 1 AS before FROM (SELECT *, row_number() OVER (PARTITION BY symbol, metric ORDER BY period_end DESC) AS age FROM (UNPIVOT (SELECT symbol, period_end, revenue, gross_profit, operating_income, cfo FROM quarters) ON revenue, gross_profit, operating_income, cfo INTO NAME metric VALUE v)) WHERE age <= 5 GROUP BY ALL)")
     at = lambda v, k: f"max({v}) FILTER (age = {k})"
     rise = lambda a, b: f"{at('revenue', a)} / nullif({at('revenue', b)}, 0)"
-    stab = lambda v: Q.STABILITY.format(n=f"count({v}) FILTER (age <= 4)", spread=f"(max({v}) FILTER (age <= 4) - min({v}) FILTER (age <= 4))")
+    stab = lambda v: f"CASE WHEN count({v}) FILTER (age <= 4) <= 1 THEN 'insufficient' ELSE ['very stable', 'stable', 'moderate', 'volatile'][1 + len(list_filter([0.01, 0.03, 0.07], lambda b: max({v}) FILTER (age <= 4) - min({v}) FILTER (age <= 4) >= b))] END"
     quarter("momentum_and_margins", Q.momentum_and_margins, "symbol accelerating ~gross_change ~operating_change gross_stability operating_stability", f"SELECT symbol, coalesce({rise(1, 2)} > {rise(2, 3)} AND {rise(1, 5)} > {rise(2, 6)}, false) AS accelerating, {at('gross_margin', 1)} - {at('gross_margin', 5)} AS gross_change, {at('operating_margin', 1)} - {at('operating_margin', 5)} AS operating_change, {stab('gross_margin')} AS gross_stability, {stab('operating_margin')} AS operating_stability FROM a WHERE age <= 6 GROUP BY symbol", aged)
 
     def view(name: str, text: str):
@@ -102,7 +102,9 @@ def register(c: Catalog) -> None:
     flows, stocks = ("eps", "revenue", "gross_profit", "operating_income", "net_income", "ebitda", "fcf", "cfo", "interest"), ("shares", "cash", "investments", "total_debt", "equity", "total_assets")
     ys = f", st AS ({STATEMENTS.format(quarters='quarters')}), ys AS (SELECT symbol, {', '.join(f'CASE WHEN count({v}) = 4 THEN sum({v}) END AS {v}' for v in flows)}, {', '.join(f'max({v}) FILTER (age = 1) AS {v}' for v in stocks)} FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY period_end DESC) AS age FROM st) WHERE age <= 4 GROUP BY symbol)"
     quarter("quality", lambda q: Q.quality(statements(q)), "symbol ~gp_to_assets ~accruals ~net_debt_ebitda ~interest_cover", "SELECT symbol, gross_profit / nullif(total_assets, 0) AS gp_to_assets, (net_income - cfo) / nullif(total_assets, 0) AS accruals, (total_debt - coalesce(cash, 0) - coalesce(investments, 0)) / nullif(ebitda, 0) AS net_debt_ebitda, operating_income / nullif(abs(interest), 0) AS interest_cover FROM ys", ys)
-    each = " UNION ALL ".join(f"SELECT symbol, '{n}' AS ratio, {sql} AS own FROM cv" for n, sql in Q.RATIOS.items())
+    by_hand = """pe: price / eps; ps: cap / revenue; pb: cap / equity; ev_ebitda: ev / ebitda; ev_ebit: ev / operating_income; ev_sales: ev / revenue; debt_to_equity: total_debt / equity; fcf_yield: fcf / cap; nav_per_share: equity / shares;
+        net_cash_per_share: (cash + coalesce(investments, 0) - total_debt) / shares; gross_margin: gross_profit / revenue; operating_margin: operating_income / revenue; net_margin: net_income / revenue"""
+    each = " UNION ALL ".join("SELECT symbol, '{}' AS ratio, {} / nullif({}, 0) AS own FROM cv".format(x.split(":")[0].strip(), *x.split(":")[1].rsplit(" / ", 1)) for x in by_hand.split(";"))
     quarter("ratios", lambda q: Q.ratios(statements(q), prices(q), provided(q)), "symbol ratio ~value source", f"SELECT symbol, ratio, coalesce(own, value) AS value, CASE WHEN own IS NOT NULL THEN 'statements' WHEN value IS NOT NULL THEN 'provider' END AS source FROM ({each}) FULL JOIN ({PROVIDED.format(quarters='quarters')}) USING (symbol, ratio)", ys + f", cv AS (SELECT *, cap + total_debt - cash - coalesce(investments, 0) AS ev FROM (SELECT *, coalesce(price * shares, vendor_cap) AS cap FROM ys JOIN ({PRICES.format(quarters='quarters')}) USING (symbol)))")
 
     pts = CONTRACTS + f", pts AS ({POINTS.format(contracts='contracts')})"

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quantloom.operators import bars as B
 from quantloom.operators import cross as X
+from quantloom.operators import forecasts as G
 from quantloom.operators import opinions as P
 from quantloom.queries import Catalog
 from quantloom.queries.bar_queries import AGE, W
@@ -75,3 +76,22 @@ def register(c: Catalog) -> None:
     shrunk = lambda b: X.base_rates(b).selectExpr("symbol", "h", "q25", "q75", "shrunk AS q50")
     c.add("base_rate_spreads", lambda s, d: P.spreads_by_horizon(shrunk(smooth(s, d))), "symbol h:int ~iqr ~median")
     c.sql["base_rate_spreads"] = "SELECT symbol, h, round(q75 - q25, 6) AS iqr, shrunk AS median FROM (SELECT * FROM (" + c.sql["base_rates"].replace("round(CAST(q25 AS DOUBLE), 6) + 0.0 AS q25", "q25").replace("round(CAST(q75 AS DOUBLE), 6) + 0.0 AS q75", "q75") + ")) JOIN (" + c.sql["shrunk_base_rates"] + ") USING (symbol, h)"
+
+    def settled(s, d):
+        """Forecasts as they stood, and what came of them."""
+        x = c.queries["settled_means"](s, d)
+        both = x.selectExpr("symbol", "date", "stack(2, 'seasonality', seasonal, 'regime', by_label) AS (component, predicted)")
+        return G.skills(both, x.select("symbol", "date", "realized"))
+
+    skill = f"""sm AS ({c.sql['settled_means']}), ag AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS age, count(*) OVER (PARTITION BY symbol) AS n FROM sm WHERE realized IS NOT NULL),
+        bs AS (SELECT symbol, avg(realized) AS base FROM ag WHERE age > 252 GROUP BY symbol), te AS (SELECT ag.*, avg((realized - base) ** 2) OVER (PARTITION BY symbol) AS spread FROM ag JOIN bs USING (symbol) WHERE age <= 252 AND n > 312),
+        lg AS (SELECT symbol, 'seasonality' AS component, realized, spread, seasonal AS predicted FROM te UNION ALL SELECT symbol, 'regime', realized, spread, by_label FROM te),
+        sk AS (SELECT symbol, component, CASE WHEN count(predicted) >= 30 AND max(spread) > 0 THEN 1 - avg((realized - predicted) ** 2) / max(spread) END AS skill, count(predicted) AS n_test FROM (SELECT DISTINCT symbol FROM sm) CROSS JOIN (SELECT unnest(['seasonality', 'regime']) AS component) LEFT JOIN lg USING (symbol, component) GROUP BY symbol, component)"""
+    c.add("component_skill", settled, "symbol component ~skill n_test:long", skill, "SELECT * FROM sk")
+    wt = """, pr AS (SELECT *, CASE component WHEN 'regime' THEN 0.25 ELSE 0.15 END / 0.4 AS prior, greatest(skill, 0) AS up, count(skill) OVER (PARTITION BY symbol) AS k, min(skill) OVER (PARTITION BY symbol) AS worst FROM sk),
+        cr AS (SELECT *, CASE WHEN skill IS NULL THEN NULL WHEN k >= 2 AND (SELECT sum(up) FROM pr p WHERE p.symbol = pr.symbol) <= 0 THEN skill - worst ELSE up END AS credit FROM pr),
+        me AS (SELECT *, CASE WHEN coalesce(sum(credit) OVER w, 0) <= 0 OR skill IS NULL THEN prior ELSE credit / sum(credit) OVER w * sum(CASE WHEN skill IS NOT NULL THEN prior END) OVER w END AS measured FROM cr WINDOW w AS (PARTITION BY symbol))"""
+    c.add("component_weights", lambda s, d: G.weights(settled(s, d), G.PRIOR), "symbol component ~weight", skill + wt, "SELECT symbol, component, 0.5 * prior + 0.5 * measured / sum(measured) OVER (PARTITION BY symbol) AS weight FROM me")
+    parts = "SELECT symbol, CAST(h AS INT) AS h, 'drift' AS component, CASE WHEN ret_5 > -0.03 THEN ret_126 END AS value, abs(ret_21) * 5 AS evidence, CASE WHEN ret_63 > 0 THEN ret_63 / 4 - 0.02 END AS skill, CASE WHEN ret_21 > 0 THEN 1500 END AS n_obs, CASE WHEN ret_252 > -0.3 THEN 8e-2 * h / 252 END AS prior, -0.1 AS low, 0.12 AS high FROM {perf} {each}"
+    c.add("shrunk_components", lambda s, d: G.shrunk(s.sql(parts.replace("{each}", "LATERAL VIEW explode(array(21, 126)) t AS h"), perf=B.performance(smooth(s, d)))), "symbol h:int ~confidence ~calibrated clamped", perf, f"""SELECT symbol, h, confidence, CASE WHEN raw < low THEN low WHEN raw > high THEN high ELSE raw END AS calibrated, CASE WHEN raw < low THEN 'low' WHEN raw > high THEN 'high' END AS clamped FROM (SELECT *, coalesce(confidence * value + (1 - confidence) * prior, value) AS raw FROM (
+        SELECT *, least(0.9, least(1, evidence) * CASE WHEN skill IS NULL THEN 0.5 ELSE greatest(0.25, 0.5 + least(1, greatest(-1, skill / 0.05)) / 2) END * (coalesce(n_obs, 2520) / h) / (coalesce(n_obs, 2520) / h + 10)) AS confidence FROM ({parts.format(perf='perf', each=', unnest([21, 126]) AS t(h)')})))""")

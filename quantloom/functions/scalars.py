@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import math
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -73,3 +75,32 @@ def normal_pdf(x: Column) -> Column:
 
 def cache_key(*parts: Column) -> Column:
     return F.sha2(F.concat_ws(":", *parts), 256)
+
+
+def series_label(ts: Column, at: Column) -> Column:
+    """A time as its axis label: to the second for 15m, else its date."""
+    return F.when(at == "15m", F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.date_format(ts, "yyyy-MM-dd"))
+
+
+_STEP = re.compile(r"([^.\[\]]+)|\[(\d+)\]")
+
+
+def _walk(root: str | None, path: str | None) -> str | None:
+    try:
+        at = json.loads(root) if root and path else None
+    except ValueError:
+        return None
+    for key, index in _STEP.findall(path or ""):
+        if index:
+            at = at[int(index)] if isinstance(at, list) and int(index) < len(at) else None
+        elif isinstance(at, dict):
+            key = key.strip()
+            at = at[key] if key in at else next((v for k, v in at.items() if k.casefold() == key.casefold()), None)
+        else:
+            return None
+    return at if at is None or isinstance(at, str) else json.dumps(at)
+
+
+def walk_path(root: Column, path: Column) -> Column:
+    """What a path such as ``Quarters[0].revenue`` leads to in a JSON text, as text; keys in any case, null where it leads nowhere."""
+    return F.pandas_udf(lambda a, b: pd.Series([_walk(x, y) for x, y in zip(a, b)], dtype=object), "string")(root, path)

@@ -249,3 +249,13 @@ def aggregate_k(bars: DataFrame, k: int = 5) -> DataFrame:
     """Every ``k`` consecutive bars merged into one."""
     x = bars.withColumn("g", F.floor((F.row_number().over(by()) - 1) / k))
     return x.groupBy("symbol", "g").agg(F.min("date").alias("date"), F.min_by("open", "date").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "date").alias("close"), F.sum("volume").alias("volume"))
+
+
+def summary(bars: DataFrame) -> DataFrame:
+    """Last price, its change, annual volatility, distance from the 50-row mean (0 with fewer rows), and the 252-row high and low of closes."""
+    x = trailing(with_returns(bars), 504)
+    at = lambda k: F.max(F.when(F.col("age") == k, F.col("close")))
+    year = F.when(F.col("age") <= 252, F.col("close"))
+    g = x.groupBy("symbol").agg(at(1).alias("price"), F.coalesce(at(2), at(1)).alias("before"), F.coalesce(F.stddev_samp("ret") * F.sqrt(F.lit(252.0)), F.lit(0.0)).alias("annual"), F.avg(F.when(F.col("age") <= 50, F.col("close"))).alias("mean"), F.count("*").alias("n"), F.max(year).alias("high"), F.min(year).alias("low"))
+    change = F.col("price") - F.col("before")
+    return g.select("symbol", "price", change.alias("change"), F.coalesce(change / F.nullif(F.col("before"), F.lit(0.0)) * 100, F.lit(0.0)).alias("change_percent"), "annual", F.when(F.col("n") >= 50, F.col("price") / F.col("mean") - 1).otherwise(0.0).alias("trend"), "high", "low")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, StructType
 
 from quantloom.operators import bars as B
 from quantloom.operators import models as M
@@ -38,7 +39,18 @@ def assemble(bars: DataFrame, as_of: str | None = None) -> DataFrame:
 
 
 def packets(bars: DataFrame, as_of: str | None = None) -> DataFrame:
-    """Each packet as JSON, with NaN and infinities as nulls."""
+    """Each packet as JSON, with numbers that are NaN or infinite as nulls, however deep they lie."""
     x = assemble(bars, as_of)
-    body = F.to_json(F.struct(*(c for c in x.columns if c not in ("symbol", "as_of"))), {"ignoreNullFields": "false"})
-    return x.select("symbol", "as_of", F.regexp_replace(body, r'"?(NaN|-?Infinity)"?', "null").alias("packet"))
+    own = [finite(F.col(f.name), f.dataType).alias(f.name) for f in x.schema if f.name not in ("symbol", "as_of")]
+    return x.select("symbol", "as_of", F.to_json(F.struct(*own), {"ignoreNullFields": "false"}).alias("packet"))
+
+
+def finite(value: Column, kind: DataType) -> Column:
+    """The value with every number that is NaN or infinite as null; texts are left alone."""
+    if isinstance(kind, (DoubleType, FloatType)):
+        return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
+    if isinstance(kind, StructType):
+        return F.when(value.isNotNull(), F.struct(*(finite(value[f.name], f.dataType).alias(f.name) for f in kind)))
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda v: finite(v, kind.elementType))
+    return value

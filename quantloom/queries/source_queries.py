@@ -38,6 +38,7 @@ def register(c: Catalog) -> None:
     smooth, table = tables.bars_smooth, tables.table
     sources(c, smooth, table)
     filings(c, table)
+    dimensions(c, smooth, table)
     stores(c, smooth, table)
     workflow(c, smooth)
     streams(c)
@@ -141,6 +142,23 @@ def filings(c: Catalog, table) -> None:
           f"SELECT *, fcf / nullif(revenue, 0) AS fcf_margin, gp / nullif(revenue, 0) AS gross_margin, oi * 0.7 / nullif(revenue, 0) AS net_margin FROM (SELECT symbol, period_end, fiscal_quarter, {gone('revenue', 2)} AS revenue, {gone('gross_profit', 2)} AS gp, {gone('operating_income', 2)} AS oi, {gone('cfo - abs(capex)', 1)} AS fcf, CASE WHEN fiscal_quarter = 4 THEN revenue * 0.6 WHEN fiscal_quarter <> 3 THEN revenue * 0.5 END AS total_debt, row_number() OVER (PARTITION BY symbol ORDER BY period_end DESC) AS age FROM quarters) WHERE age <= 8")
 
 
+def dimensions(c: Catalog, smooth, table) -> None:
+    def ids(s, d):
+        x = table(s, d, "customer").select(F.struct(F.lower(F.substring("c_name", -6, 6)).alias("ticker"), (F.col("c_custkey") * 7).alias("cik_str")).alias("v"), F.col("c_custkey").cast("string").alias("k"))
+        return x.groupBy(F.substring("k", 1, 2)).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("k", "v")))).alias("json"))
+
+    c.add("company_ids", lambda s, d: landing.company_ids(ids(s, d)), "symbol cik", "", "SELECT upper(right(c_name, 6)) AS symbol, lpad(CAST(max_by(c_custkey * 7, c_custkey) AS VARCHAR), 10, '0') AS cik FROM customer GROUP BY 1")
+    dim = lambda s, d: table(s, d, "part").groupBy(F.col("p_brand").alias("symbol")).agg(F.element_at(F.split(F.min("p_type"), " "), 1).alias("sector"))
+    dims = "dim AS (SELECT p_brand AS symbol, lower(split_part(min(p_type), ' ', 1)) AS sector FROM part GROUP BY 1)"
+    c.add("peer_universe", lambda s, d: landing.universe(dim(s, d), symbol="Brand#11", broad=True, limit=20), "symbol pos:int", dims, "SELECT symbol, row_number() OVER (ORDER BY CASE WHEN sector = (SELECT sector FROM dim WHERE symbol = 'Brand#11') THEN 1 ELSE 2 END, symbol) AS pos FROM dim QUALIFY pos <= 20")
+    c.add("stock_summary", lambda s, d: B.summary(smooth(s, d)), "symbol ~price ~change ~change_percent ~annual ~trend ~high ~low", SMOOTH + f", ag AS (SELECT *, {AGE} FROM (SELECT *, close / lag(close) OVER (PARTITION BY symbol ORDER BY date) - 1 AS ret FROM bars))",
+          "SELECT symbol, price, price - before AS change, (price - before) / before * 100 AS change_percent, annual, CASE WHEN n >= 50 THEN price / mean - 1 ELSE 0 END AS trend, high, low FROM (SELECT symbol, max(close) FILTER (age = 1) AS price, coalesce(max(close) FILTER (age = 2), max(close) FILTER (age = 1)) AS before, coalesce(stddev_samp(ret) * sqrt(252), 0) AS annual, avg(close) FILTER (age <= 50) AS mean, count(*) AS n, max(close) FILTER (age <= 252) AS high, min(close) FILTER (age <= 252) AS low FROM ag WHERE age <= 504 GROUP BY symbol)")
+    c.add("axis_labels", lambda s, d: table(s, d, "events").select("event_id", S.series_label(F.col("ts"), F.when(F.col("event_id") % 2 == 0, "15m").otherwise("1d")).alias("label")), "event_id label", "", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') ELSE strftime(ts, '%Y-%m-%d') END AS label FROM events")
+    quarters = F.struct(F.array(F.struct(F.col("r_name").alias("Revenue"), F.col("r_regionkey").alias("key"))).alias("Quarters"))
+    path = F.element_at(F.array(F.lit("Quarters[0].revenue"), F.lit("quarters[0].key"), F.lit("Quarters[1].key"), F.lit("Quarters.key")), F.col("r_regionkey") % 4 + 1)
+    c.add("walked_paths", lambda s, d: table(s, d, "region").select("r_regionkey", S.walk_path(F.to_json(quarters), path).alias("found")), "r_regionkey found", "", "SELECT r_regionkey, CASE r_regionkey % 4 WHEN 0 THEN r_name WHEN 1 THEN CAST(r_regionkey AS VARCHAR) END AS found FROM region")
+
+
 def stores(c: Catalog, smooth, table) -> None:
     c.add("ndjson_rows", lambda s, d: sinks.ndjson(table(s, d, "nation")), "value", "", "SELECT CAST(to_json({'n_nationkey': n_nationkey, 'n_name': n_name, 'n_regionkey': n_regionkey}) AS VARCHAR) AS value FROM nation")
     keyed = "SELECT o_custkey AS k, o_orderdate AS seen, o_orderkey AS v FROM {orders} WHERE o_orderkey % 2 = "
@@ -154,6 +172,16 @@ def stores(c: Catalog, smooth, table) -> None:
     c.add("clean_symbols", lambda s, d: table(s, d, "part").selectExpr("p_partkey AS id", raw + " AS raw").withColumn("symbol", S.clean_symbol(F.col("raw"))), "id symbol", "", "SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 1 THEN 'BRK-' || (p_partkey % 9) WHEN 2 THEN '^GSPC' WHEN 3 THEN 'EURUSD=X' END AS symbol FROM part")
     value = "CASE l_linenumber WHEN 1 THEN 'NaN' WHEN 2 THEN 'Infinity' WHEN 3 THEN 'n/a' ELSE CAST(l_quantity - 20.5 AS STRING) END"
     c.add("finite_values", lambda s, d: table(s, d, "lineitem").selectExpr("l_linenumber AS k", value + " AS raw").withColumn("x", S.finite(F.col("raw"))).groupBy("k").agg(F.count("x").alias("n"), F.sum("x").alias("total"), F.min(S.percent(F.col("raw"), 1, True)).alias("least")), "k:int n:long ~total least", "", "SELECT l_linenumber AS k, count(*) FILTER (l_linenumber > 3) AS n, sum(l_quantity - 20.5) FILTER (l_linenumber > 3) AS total, min(printf('%+.1f%%', (l_quantity - 20.5) * 100)) FILTER (l_linenumber > 3) AS least FROM lineitem GROUP BY 1")
+    turns = "SELECT conv_id AS conversation, turn AS at, ' ab' AS symbol, CASE WHEN role IN ('user', 'assistant') THEN role ELSE 'assistant' END AS role, text AS content FROM {conversations} WHERE turn "
+
+    def chats(s, d):
+        t = table(s, d, "conversations").dropDuplicates(["conv_id", "turn"])
+        none = s.createDataFrame([], "conversation long, seq long, symbol string, role string, content string")
+        first = sinks.append_chat(none, s.sql(turns + "< 2", conversations=t))
+        return sinks.append_chat(first, s.sql(turns + ">= 2", conversations=t)).groupBy("conversation", "symbol").agg(F.max("seq").alias("turns"), F.count_if(F.col("role") == "user").alias("asked"))
+
+    c.add("chat_store", chats, "conversation symbol turns:long asked:long", "t AS (SELECT conv_id, turn, any_value(role) AS role FROM conversations GROUP BY ALL)", "SELECT conv_id AS conversation, 'AB' AS symbol, count(*) AS turns, count(*) FILTER (role = 'user') AS asked FROM t GROUP BY 1")
+    c.add("scan_providers", lambda s, d: sinks.providers(table(s, d, "supplier").select(F.element_at(F.array(F.lit("massive"), F.lit(""), F.lit("csv"), F.lit(None).cast("string")), (F.col("s_suppkey") % 4 + 1).cast("int")).alias("provider"))), "provider", "", "SELECT 'csv+massive' AS provider")
     c.add("cache_keys", lambda s, d: table(s, d, "nation").select("n_nationkey", S.cache_key(F.lit("v1"), F.col("n_name"), F.col("n_regionkey").cast("string")).alias("key")), "n_nationkey key", "", "SELECT n_nationkey, sha256('v1:' || n_name || ':' || n_regionkey) AS key FROM nation")
     c.add("trimmed_texts", lambda s, d: table(s, d, "documents").select("doc_id", S.trimmed(F.col("text"), 40).alias("short")).select("doc_id", F.length("short").alias("n"), F.col("short").endswith("…").alias("cut")), "doc_id n:int cut", "t AS (SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS t FROM documents)", "SELECT doc_id, CASE WHEN length(t) > 40 THEN length(rtrim(left(t, 39))) + 1 ELSE length(t) END AS n, length(t) > 40 AS cut FROM t")
     c.add("compact_shown", lambda s, d: table(s, d, "orders").select("o_orderkey", S.compact((F.floor("o_totalprice") * 100 + 7) * F.element_at(F.array(F.lit(1), F.lit(1000), F.lit(1000000)), (F.col("o_orderkey") % 3 + 1).cast("int"))).alias("shown")).groupBy("shown").agg(F.count("*").alias("n")), "shown n:long", "v AS (SELECT (CAST(floor(o_totalprice) AS BIGINT) * 100 + 7) * [1, 1000, 1000000][o_orderkey % 3 + 1] AS v FROM orders)",

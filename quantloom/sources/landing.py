@@ -109,3 +109,34 @@ def chain_rows(raw: DataFrame) -> DataFrame:
     x = raw.select("underlying", F.explode(F.from_json("json", f"results array<{row}>")["results"]).alias("r"))
     mid = F.when((F.col("r.last_quote.ask") >= F.col("r.last_quote.bid")) & (F.col("r.last_quote.bid") > 0), (F.col("r.last_quote.ask") + F.col("r.last_quote.bid")) / 2).otherwise(F.col("r.day.close"))
     return x.select("underlying", F.to_date("r.details.expiration_date").alias("expiry"), F.col("r.details.strike_price").alias("strike"), F.col("r.details.contract_type").alias("type"), F.coalesce("r.open_interest", F.lit(0.0)).alias("oi"), F.col("r.implied_volatility").alias("iv"), F.col("r.greeks.delta").alias("delta"), mid.alias("mark"), F.col("r.underlying_asset.price").alias("spot")).where("strike > 0 and expiry is not null")
+
+
+def company_ids(raw: DataFrame) -> DataFrame:
+    """json {"0": {"ticker", "cik_str", …}, …} to (symbol, cik), capitals and ten digits; of a symbol's entries the last stays."""
+    x = raw.select(F.explode(F.from_json("json", "map<string, struct<ticker: string, cik_str: bigint>>")).alias("k", "v"))
+    own = x.where("v.ticker is not null and v.cik_str is not null").select(F.upper("v.ticker").alias("symbol"), F.col("v.cik_str").alias("n"), F.col("k").try_cast("long").alias("k"))
+    return own.groupBy("symbol").agg(F.max_by("n", "k").alias("n")).select("symbol", F.lpad(F.col("n").cast("string"), 10, "0").alias("cik"))
+
+
+def universe(dimension: DataFrame, symbol: str | None = None, sector: str | None = None, broad: bool = False, limit: int | None = None) -> DataFrame:
+    """symbol and pos: a sector's symbols, or the peers of a symbol (itself among them), or all; ``broad`` adds all behind the peers.
+
+    ``dimension`` has symbol and sector. Where nothing is found it is all. Its window holds a row per symbol of the dimension.
+    """
+    names = dimension.select("symbol", F.lower(F.trim("sector")).alias("sector")).dropDuplicates(["symbol"])
+    if sector is not None:
+        own = names.where(F.col("sector") == sector.strip().lower()).withColumn("turn", F.lit(1))
+    elif symbol is not None:
+        mine = names.where(F.col("symbol") == symbol).select("sector")
+        peers = names.join(F.broadcast(mine), "sector", "left_semi").select("symbol").withColumn("turn", F.lit(1))
+        itself = dimension.sparkSession.createDataFrame([(symbol, 1)], "symbol string, turn int")
+        own = peers.unionByName(itself).dropDuplicates(["symbol"])
+        if broad:
+            own = own.unionByName(names.join(own, "symbol", "left_anti").select("symbol", F.lit(2).alias("turn")))
+    else:
+        own = names.withColumn("turn", F.lit(1))
+    own = own.select("symbol", "turn")
+    if own.isEmpty():
+        own = names.select("symbol", F.lit(1).alias("turn"))
+    out = own.withColumn("pos", F.row_number().over(Window.orderBy("turn", "symbol"))).select("symbol", "pos")
+    return out.where(F.col("pos") <= limit) if limit else out

@@ -44,3 +44,21 @@ def new_runs(due: DataFrame, runs: DataFrame, run_date: str) -> DataFrame:
     """Runs to write for the due rules, at most one scheduled run of a rule and day."""
     x = due.select("rule_id", F.lit(run_date).cast("date").alias("run_date"))
     return x.join(runs, ["rule_id", "run_date"], "left_anti")
+
+
+def append_chat(store: DataFrame, turns: DataFrame) -> DataFrame:
+    """The store (conversation, seq, symbol, role, content) with new turns behind each conversation's last; other roles are an error.
+
+    ``turns`` has conversation, at (their order), symbol, role and content; symbols are trimmed capitals, null texts empty.
+    """
+    role = F.when(F.col("role").isin("user", "assistant"), F.col("role")).otherwise(F.raise_error(F.lit("chat role must be 'user' or 'assistant'")))
+    last = store.groupBy("conversation").agg(F.max("seq").alias("__last"))
+    new = turns.join(last, "conversation", "left").withColumn("seq", F.coalesce("__last", F.lit(0)) + F.row_number().over(Window.partitionBy("conversation").orderBy("at")))
+    own = new.select("conversation", F.col("seq").cast("long").alias("seq"), F.upper(F.trim(F.coalesce("symbol", F.lit("")))).alias("symbol"), role.alias("role"), F.coalesce("content", F.lit("")).alias("content"))
+    return store.select("conversation", F.col("seq").cast("long").alias("seq"), "symbol", "role", "content").unionByName(own)
+
+
+def providers(rows: DataFrame) -> DataFrame:
+    """One row: the providers of a scan's rows, sorted and joined by a plus sign; empty where none is named."""
+    named = F.collect_set(F.nullif(F.col("provider"), F.lit("")))
+    return rows.agg(F.array_join(F.array_sort(named), "+").alias("provider"))

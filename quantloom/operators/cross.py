@@ -17,41 +17,56 @@ def returns(bars: DataFrame) -> DataFrame:
     return B.with_returns(bars).where("ret is not null").select("symbol", "date", "ret")
 
 
-#: The sums over shared dates from which a pair's moments follow.
-_SUMS = ("n", "x", "y", "xx", "yy", "xy")
+#: A pair's moments over shared dates: count, means, and sums of squares and products about the means.
+_MOMENTS = ("n", "mx", "my", "xx", "yy", "xy")
 
 
 def gram(r: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """a, b (a < b), the columns ``by``, and n, x, y, xx, yy, xy: the pair's sums over the dates that both have.
+    """a, b (a < b), the columns ``by``, and n, mx, my, xx, yy, xy: the pair's moments over the dates that both have.
 
-    Each quarter's returns are one matrix of dates by symbols, whose products with its transpose are the sums of all
-    pairs; quarters are added up by pair. Rows grow with pairs and quarters, not with pairs and dates.
+    Each quarter's returns are one matrix of dates by symbols, from which the moments of all pairs are taken at once; those of
+    a pair's quarters are merged. Rows grow with pairs and quarters, not with pairs and dates.
     """
     keys = ", ".join(f"`{k}` {r.schema[k].dataType.simpleString()}" for k in by)
-    schema = "a string, b string, " + (keys + ", " if by else "") + ", ".join(f"{c} double" for c in _SUMS)
+    schema = "a string, b string, " + (keys + ", " if by else "") + ", ".join(f"{c} double" for c in _MOMENTS)
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         wide = rows.pivot_table(index="date", columns="symbol", values="ret", aggfunc="last")
-        have = wide.notna().to_numpy().astype(float)
-        x = wide.fillna(0.0).to_numpy()
-        n, sx, sxx, sxy = have.T @ have, x.T @ have, (x * x).T @ have, x.T @ x
-        i, j = np.nonzero(np.triu(n, 1))
-        names = wide.columns.to_numpy()
-        out = {"a": names[i], "b": names[j]} | {k: v for k, v in zip(by, key[1:])}
-        return pd.DataFrame(out | {"n": n[i, j], "x": sx[i, j], "y": sx[j, i], "xx": sxx[i, j], "yy": sxx[j, i], "xy": sxy[i, j]})
-
-    blocks = r.where("ret is not null").groupBy(F.trunc("date", "quarter").alias("block"), *by)
-    return blocks.applyInPandas(run, schema).groupBy("a", "b", *by).agg(*(F.sum(c).alias(c) for c in _SUMS))
-
-
-def covariance(sample: bool = True) -> Column:
-    """Of the sums of :func:`gram`."""
-    return F.expr("(xy - x * y / n)") / (F.nullif(F.col("n") - 1, F.lit(0.0)) if sample else F.col("n"))
+        names, have, x = wide.columns.to_numpy(), wide.notna().to_numpy(), wide.fillna(0.0).to_numpy()
+        out = []
+        for i in range(len(names) - 1):  # one symbol against all behind it
+            both = have[:, i : i + 1] & have[:, i + 1 :]
+            n = both.sum(axis=0)
+            at = np.flatnonzero(n)
+            both, n = both[:, at], n[at].astype(float)
+            one, others = np.where(both, x[:, i : i + 1], 0.0), np.where(both, x[:, i + 1 :][:, at], 0.0)
+            mx, my = one.sum(axis=0) / n, others.sum(axis=0) / n
+            dx, dy = np.where(both, one - mx, 0.0), np.where(both, others - my, 0.0)
+            own = {"a": names[i], "b": names[i + 1 :][at]} | dict(zip(by, key[1:]))
+            out.append(pd.DataFrame(own | {"n": n, "mx": mx, "my": my, "xx": (dx * dx).sum(axis=0), "yy": (dy * dy).sum(axis=0), "xy": (dx * dy).sum(axis=0)}))
+        return pd.concat(out) if out else pd.DataFrame(columns=["a", "b", *by, *_MOMENTS])
+
+    blocks = r.where("ret is not null").groupBy(F.trunc("date", "quarter").alias("block"), *by).applyInPandas(run, schema)
+    first = F.struct(*(F.lit(0.0).alias(c) for c in _MOMENTS))
+
+    def merged(s: Column, t: Column) -> Column:
+        n = s["n"] + t["n"]
+        dx, dy, w = t["mx"] - s["mx"], t["my"] - s["my"], s["n"] * t["n"] / n
+        parts = (n, s["mx"] + dx * t["n"] / n, s["my"] + dy * t["n"] / n, s["xx"] + t["xx"] + dx * dx * w, s["yy"] + t["yy"] + dy * dy * w, s["xy"] + t["xy"] + dx * dy * w)
+        return F.struct(*(v.alias(c) for c, v in zip(_MOMENTS, parts)))
+
+    pairs = blocks.groupBy("a", "b", *by).agg(F.collect_list(F.struct(*_MOMENTS)).alias("m"))  # one entry a quarter
+    return pairs.select("a", "b", *by, F.aggregate("m", first, merged).alias("m")).select("a", "b", *by, "m.*")
+
+
+def covariance() -> Column:
+    """Of the moments of :func:`gram`; null with fewer than two dates."""
+    return F.expr("xy / nullif(n - 1, 0.0D)")
 
 
 def correlation() -> Column:
-    """Of the sums of :func:`gram`; null where a side is constant."""
-    return F.expr("(xy - x * y / n) / nullif(sqrt(greatest(xx - x * x / n, 0.0D) * greatest(yy - y * y / n, 0.0D)), 0.0D)")
+    """Of the moments of :func:`gram`; null with fewer than two dates and where a side is constant."""
+    return F.when(F.col("n") >= 2, F.expr("greatest(-1.0D, least(1.0D, xy / nullif(sqrt(xx * yy), 0.0D)))"))
 
 
 def against(r: DataFrame, reference: str) -> DataFrame:
@@ -83,7 +98,8 @@ def gauge_fixed(bars: DataFrame, reference: str) -> DataFrame:
 
 def correlations(r: DataFrame) -> DataFrame:
     """Correlation, annual covariance and cosine of every pair of return series on shared dates."""
-    cosine = F.expr("xy / nullif(sqrt(xx * yy), 0.0D)")
+    about = lambda c, x, y: f"({c} + n * {x} * {y})"
+    cosine = F.expr(f"{about('xy', 'mx', 'my')} / nullif(sqrt({about('xx', 'mx', 'mx')} * {about('yy', 'my', 'my')}), 0.0D)")
     return gram(r).select("a", "b", correlation().alias("corr"), (covariance() * 252).alias("cov"), cosine.alias("cosine"), F.col("n").cast("long").alias("n"))
 
 

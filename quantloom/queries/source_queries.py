@@ -154,9 +154,13 @@ def dimensions(c: Catalog, smooth, table) -> None:
     c.add("stock_summary", lambda s, d: B.summary(smooth(s, d)), "symbol ~price ~change ~change_percent ~annual ~trend ~high ~low", SMOOTH + f", ag AS (SELECT *, {AGE} FROM (SELECT *, close / lag(close) OVER (PARTITION BY symbol ORDER BY date) - 1 AS ret FROM bars))",
           "SELECT symbol, price, price - before AS change, (price - before) / before * 100 AS change_percent, annual, CASE WHEN n >= 50 THEN price / mean - 1 ELSE 0 END AS trend, high, low FROM (SELECT symbol, max(close) FILTER (age = 1) AS price, coalesce(max(close) FILTER (age = 2), max(close) FILTER (age = 1)) AS before, coalesce(stddev_samp(ret) * sqrt(252), 0) AS annual, avg(close) FILTER (age <= 50) AS mean, count(*) AS n, max(close) FILTER (age <= 252) AS high, min(close) FILTER (age <= 252) AS low FROM ag WHERE age <= 504 GROUP BY symbol)")
     c.add("axis_labels", lambda s, d: table(s, d, "events").select("event_id", S.series_label(F.col("ts"), F.when(F.col("event_id") % 2 == 0, "15m").otherwise("1d")).alias("label")), "event_id label", "", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') ELSE strftime(ts, '%Y-%m-%d') END AS label FROM events")
-    quarters = F.struct(F.array(F.struct(F.col("r_name").alias("Revenue"), F.col("r_regionkey").alias("key"))).alias("Quarters"))
-    path = F.element_at(F.array(F.lit("Quarters[0].revenue"), F.lit("quarters[0].key"), F.lit("Quarters[1].key"), F.lit("Quarters.key")), F.col("r_regionkey") % 4 + 1)
-    c.add("walked_paths", lambda s, d: table(s, d, "region").select("r_regionkey", S.walk_path(F.to_json(quarters), path).alias("found")), "r_regionkey found", "", "SELECT r_regionkey, CASE r_regionkey % 4 WHEN 0 THEN r_name WHEN 1 THEN CAST(r_regionkey AS VARCHAR) END AS found FROM region")
+
+    def walked(s, d):
+        quarters = F.struct(F.array(F.struct(F.col("r_name").alias("Revenue"), F.col("r_regionkey").alias("key"))).alias("Quarters"))
+        path = F.element_at(F.array(F.lit("Quarters[0].revenue"), F.lit("quarters[0].key"), F.lit("Quarters[1].key"), F.lit("Quarters.key")), F.col("r_regionkey") % 4 + 1)
+        return table(s, d, "region").select("r_regionkey", S.walk_path(F.to_json(quarters), path).alias("found"))
+
+    c.add("walked_paths", walked, "r_regionkey found", "", "SELECT r_regionkey, CASE r_regionkey % 4 WHEN 0 THEN r_name WHEN 1 THEN CAST(r_regionkey AS VARCHAR) END AS found FROM region")
 
 
 def stores(c: Catalog, smooth, table) -> None:

@@ -37,6 +37,7 @@ class Pieces:
 
     def __init__(self, pieces: list[tuple[str, float]], byte_ids: dict[int, int], unknown: float = 10.0, merges: bool = False):
         """pieces: text and score by id, with an empty text for ids that no text maps to."""
+        self.kind = np.dtype("<u2" if len(pieces) <= 1 << 16 else "<u4")  # ids as they are kept and returned
         self.table = [x.replace(MARK, " ").encode() for x, _ in pieces]
         for value, i in byte_ids.items():
             self.table[i] = bytes([value])
@@ -131,7 +132,7 @@ class Pieces:
         return out
 
     def _viterbi(self, words: list[str]) -> list[bytes]:
-        """Ids (16-bit) of words of one length."""
+        """Ids (of the model's kind) of words of one length."""
         n, size = len(words), len(words[0])
         chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(n, size).astype(np.uint64) + np.uint64(1)
         prefix = np.zeros((n, size + 1), np.uint64)
@@ -157,11 +158,12 @@ class Pieces:
                 allowed = self._whole[which[w, k]]
                 inner = allowed & (s[k] > 0)
                 w_, k_ = w[inner], k[inner]
-                allowed[inner] = self._neighbours(piece[w_, s[k_]] % (len(self.table) + 1), which[w_, k_])
+                before = piece[w_, s[k_]]
+                allowed[inner] = (before < 0) | self._neighbours(before % (len(self.table) + 1), which[w_, k_])  # nothing merges with a character of no piece
                 score[w[~allowed], k[~allowed]] = -np.inf
             top = score.argmax(axis=1)
             best[:, e], begin[:, e], piece[:, e] = score[rows, top], s[top], which[rows, top]
-        ids, at, count = np.zeros((n, size), "<u2"), np.full(n, size), np.zeros(n, np.int64)
+        ids, at, count = np.zeros((n, size), self.kind), np.full(n, size), np.zeros(n, np.int64)
         for column in range(size - 1, -1, -1):  # pieces from the last to the first, words side by side
             open_ = at > 0
             if not open_.any():
@@ -169,16 +171,16 @@ class Pieces:
             ids[open_, column] = np.maximum(piece[rows[open_], at[open_]], 0)
             count += open_
             at = np.where(open_, begin[rows, at], 0)
-        raw, out = ids.tobytes(), []
+        raw, out, width = ids.tobytes(), [], self.kind.itemsize
         for i, c in enumerate(count.tolist()):
-            out.append(raw[2 * (size * (i + 1) - c) : 2 * size * (i + 1)])
+            out.append(raw[width * (size * (i + 1) - c) : width * size * (i + 1)])
         for i in np.flatnonzero((piece[:, 1:] < 0).any(axis=1)):  # a character of no piece may be on the path
             e, parts = size, []
             while e:
                 s = begin[i, e]
                 parts.append([piece[i, e]] if piece[i, e] >= 0 else [self._bytes[x] for x in words[i][s:e].encode("utf-8", "replace")])
                 e = s
-            out[i] = np.array([x for part in reversed(parts) for x in part], "<u2").tobytes()
+            out[i] = np.array([x for part in reversed(parts) for x in part], self.kind).tobytes()
         return out
 
     def _marks(self, n: int) -> list[int]:
@@ -197,11 +199,12 @@ class Pieces:
         for w in words:
             rest = w.lstrip(MARK)
             n, own = len(w) - len(rest), self._cache[MARK + rest] if rest else b""
-            if rest and int.from_bytes(own[:2], "little") == self._mark:
-                own = own[2:]
+            width = self.kind.itemsize
+            if rest and int.from_bytes(own[:width], "little") == self._mark:
+                own = own[width:]
             elif rest:
                 n -= 1
-            self._cache[w] = np.array(self._marks(n), "<u2").tobytes() + own
+            self._cache[w] = np.array(self._marks(n), self.kind).tobytes() + own
 
     def _known(self, words: list[str]) -> None:
         """Encode words that the cache lacks."""
@@ -214,7 +217,7 @@ class Pieces:
                 self._cache.update(zip(own[lo : lo + step], self._viterbi(own[lo : lo + step])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of whole texts as 16-bit numbers. A mark stands before a text, as before each word; no text, no ids."""
+        """Ids of whole texts as numbers of ``kind``: 16 bits, or 32 where the vocabulary has more than 65,536 ids. A mark stands before a text, as before each word; no text, no ids."""
         cut = [self._apart.findall(MARK + x.replace(" ", MARK)) if x else [] for x in texts]
         if len(self._cache) > CACHE_WORDS:
             self._cache.clear()
@@ -269,7 +272,7 @@ def encode(docs: DataFrame, name: str = "piece_bpe_32k.model", carry: tuple[str,
     """
 
     def run(rows: pa.RecordBatch) -> pa.RecordBatch:
-        ids = [np.frombuffer(x, "<u2").astype("<u4").tobytes() for x in model(name).encode([x or "" for x in rows.column("text").to_pylist()])]
+        ids = [np.frombuffer(x, model(name).kind).astype("<u4").tobytes() for x in model(name).encode([x or "" for x in rows.column("text").to_pylist()])]
         return pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(ids, pa.binary()), *_carried(rows, carry)], ["doc_id", "ids", *carry])
 
     return map_texts(docs.select(*dict.fromkeys(("doc_id", "text", *carry))), run, "doc_id long, ids binary" + _types(docs, carry))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import ann, exactdedup, langid, packing, pieces, secrets, simhash, substrings, tokencounts, toxicity
+from quantloom.llm import align, ann, bestfit, exactdedup, langid, negatives, packing, pieces, secrets, simhash, substrings, tokencounts, toxicity
 from quantloom.llm.common import bucket_of
 
 
@@ -67,7 +67,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_simhash, op3_exact_dedup, op4_nearest, op5_substring_dedup, op6_toxicity, op7_token_counts, op8_sentencepiece, op9_language_id, op10_packing)}
+def op11_align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.link_counts(_table(spark, sf_dir, "documents"))
+
+
+def op12_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit.digest(bestfit.pack(_table(spark, sf_dir, "documents")))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = negatives.usable(_table(spark, sf_dir, "embeddings"))
+    vectors = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.mine(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_simhash, op3_exact_dedup, op4_nearest, op5_substring_dedup, op6_toxicity, op7_token_counts, op8_sentencepiece, op9_language_id, op10_packing, op11_align_tokens, op12_best_fit, op13_hard_negatives)}
 ORACLE_SQL = {
     "op3_exact_dedup": """
         WITH t AS (
@@ -77,4 +91,25 @@ ORACLE_SQL = {
         r AS (SELECT *, first_value(doc_id) OVER (PARTITION BY t ORDER BY points DESC, doc_id) AS keep_id,
                      count(*) OVER (PARTITION BY t) AS group_size FROM t)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM r""",
+    "op13_hard_negatives": """
+        WITH good AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        met AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+                   list_dot_product(a.v, b.v)::BIGINT AS score
+            FROM good a JOIN good b ON a.vec_id <> b.vec_id
+            WHERE a.vec_id % 50 = 0),
+        positives AS (
+            SELECT * FROM met WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+        SELECT p.anchor_id, p.id AS positive_id,
+               (row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id))::INTEGER AS rank,
+               n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+        FROM positives p JOIN met n ON n.anchor_id = p.anchor_id AND NOT n.same
+        WHERE 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+        QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id) <= 3""",
 }

@@ -201,6 +201,7 @@ def test_ids_are_the_models():
     texts = ["theaeath", "the theatre", "Kraftfahrzeug", "naïve", "xyzzyqq", "日本語 日  日", "12345.67", "", " ", "  lead", "a  b", " " * 33 + "y", " " * 40, "▁a", "a\n\n  b", "=" * 50]
     texts += ["".join(r.choice("abcdetnhéß日▁ \n0-") for _ in range(r.randrange(40))) for _ in range(800)]
     texts += [x[1] for x in cases.rows() if x[1]] + ["".join(r.choice("abcdetnh") for _ in range(5000))]
+    texts += ["".join(r.choice("ab \t\x0b\x00\x01𝄞") for _ in range(r.randrange(20))) for _ in range(200)]  # characters of no piece, anywhere
     got = [np.frombuffer(x, "<u2").tolist() for x in pieces.model().encode(texts)]
     assert got == sp.encode(texts)
 
@@ -220,6 +221,13 @@ def test_viterbi_of_a_model_of_scores():
         assert sum(sums[i] for i in ids) == pytest.approx(best[len(text)])
 
 
+def test_ids_beyond_16_bits_survive():
+    filler = [("", 0.0)] * 70_000
+    model = pieces.Pieces([*filler, ("▁", -1.0), ("a", -1.0), ("▁a", -0.5), ("b", -1.0)], {i: 0 for i in range(256)})
+    ids = np.frombuffer(model.encode(["ab a"])[0], model.kind)
+    assert ids.tolist() == [70_002, 70_003, 70_002] and model.decode(ids) == "ab a"
+
+
 def test_op8_round_trip(spark, sf_dir):
     got = QUERIES["op8_sentencepiece"](spark, sf_dir).collect()
     assert got and all(r.round_trip and r.n_tokens > 0 for r in got)

@@ -60,18 +60,17 @@ def sides(name_a: str, name_b: str) -> Sides:
     return _sides[name_a, name_b]
 
 
-def _tokens(own: Sides, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of both sides; none if a side's bytes aren't a space and the text."""
+def _tokens(own: Sides, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Ids of both sides of each text; none if a side's bytes aren't a space and the text. B's new words are searched together."""
     none = np.zeros(0, np.int64)
-    if not text:
-        return none, none
-    want = (" " + text).encode()
-    a = np.frombuffer(own.encoder.encode(" " + text), "<u2").astype(np.int64)
-    b = np.frombuffer(own.model.encode([text])[0], own.model.kind).astype(np.int64)
-    for ids, table in ((a, own.bytes_a), (b, own.bytes_b)):
-        if b"".join([table[i] for i in ids.tolist()]) != want:
-            return none, none
-    return a, b
+    out = []
+    for text, raw_b in zip(texts, own.model.encode([x or "" for x in texts])):
+        want = (" " + (text or "")).encode()
+        a = np.frombuffer(own.encoder.encode(" " + text) if text else b"", "<u2").astype(np.int64)
+        b = np.frombuffer(raw_b, own.model.kind).astype(np.int64)
+        joined = (b"".join([table[i] for i in ids.tolist()]) for ids, table in ((a, own.bytes_a), (b, own.bytes_b)))
+        out.append((a, b) if text and all(x == want for x in joined) else (none, none))
+    return out
 
 
 def overlaps(start_a: np.ndarray, start_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +91,7 @@ def _starts(lengths: np.ndarray) -> np.ndarray:
 
 def _slice(own: Sides, texts: list[str | None]) -> dict[str, list]:
     """Tokens, groups and links of some documents."""
-    both = [_tokens(own, x) for x in texts]
+    both = _tokens(own, texts)
     n_a, n_b = (np.array([len(x[k]) for x in both], np.int64) for k in (0, 1))
     a, b = (np.concatenate([x[k] for x in both]) if both else np.zeros(0, np.int64) for k in (0, 1))
     start_a, start_b = _starts(own.length_a[a]), _starts(own.length_b[b])

@@ -302,6 +302,30 @@ def scenarios(bars: DataFrame, horizons: tuple[int, ...] = (21, 63, 126, 252)) -
     return x.mapInPandas(run, "symbol string, h int, mean double, p_bear double, p_neutral double, p_bull double, bear double, neutral double, bull double")
 
 
+def moment_ridge(m: np.ndarray, lam: float) -> np.ndarray:
+    """Ridge coefficients on standardised columns, the constant first, from the summed products of rows (1, features, target)."""
+    n, mean, y = m[0, 0], m[0, 1:-1] / m[0, 0], m[0, -1] / m[0, 0]
+    cov = m[1:-1, 1:-1] - n * np.outer(mean, mean)
+    sd = np.sqrt(np.maximum(np.diag(cov) / n, 0))
+    sd = np.where(sd > 1e-12, sd, 1.0)
+    b = np.linalg.solve(cov / np.outer(sd, sd) + lam * np.eye(len(sd)), (m[1:-1, -1] - n * mean * y) / sd) / sd
+    return np.r_[y - mean @ b, b]
+
+
+def moment_penalty(parts: list[np.ndarray], grid: tuple[float, ...]) -> float:
+    """The penalty with the least squared error when each part (a year) is left out in turn; the middle one if none can be."""
+    total = sum(parts)
+    held = [p for p in parts if total[0, 0] - p[0, 0] >= max(len(total), 20)] if len(parts) > 1 else []
+    if not held:
+        return grid[len(grid) // 2]
+
+    def error(lam: float) -> float:
+        ends = [(np.r_[moment_ridge(total - p, lam), -1.0], p) for p in held]  # the squared error is a form in (b, -1)
+        return float(sum(b @ p @ b for b, p in ends))
+
+    return min(grid, key=error)
+
+
 def walk_forward(panel: DataFrame, features: tuple[str, ...] = ("mom", "reversal", "vol"), horizon: int = 1, embargo: int = 1, least: int = 200, months: int = 36, names: int = 8, grid: tuple[float, ...] = (1.0, 3.0, 10.0, 30.0, 100.0)) -> DataFrame:
     """Out-of-sample predictions: for each test year a standardised ridge on the months whose labels settled before it, with an embargo.
 
@@ -319,35 +343,13 @@ def walk_forward(panel: DataFrame, features: tuple[str, ...] = ("mom", "reversal
     for a, b in pairs_:
         sums[:, a, b] = sums[:, b, a] = stats[f"p{a}_{b}"].to_numpy(dtype=float)
 
-    def fit(m: np.ndarray, lam: float) -> np.ndarray:
-        """Coefficients, the constant first, from the summed products of rows."""
-        n, mean, y = m[0, 0], m[0, 1:-1] / m[0, 0], m[0, -1] / m[0, 0]
-        cov = m[1:-1, 1:-1] - n * np.outer(mean, mean)
-        sd = np.sqrt(np.maximum(np.diag(cov) / n, 0))
-        sd = np.where(sd > 1e-12, sd, 1.0)
-        b = np.linalg.solve(cov / np.outer(sd, sd) + lam * np.eye(len(sd)), (m[1:-1, -1] - n * mean * y) / sd) / sd
-        return np.r_[y - mean @ b, b]
-
-    def penalty(parts: list[np.ndarray]) -> float:
-        """The penalty with the least squared error when each year is left out in turn; the middle one if none can be."""
-        total = sum(parts)
-        held = [p for p in parts if total[0, 0] - p[0, 0] >= max(len(features) + 2, 20)] if len(parts) > 1 else []
-        if not held:
-            return grid[len(grid) // 2]
-
-        def error(lam: float) -> float:
-            ends = [(np.r_[fit(total - p, lam), -1.0], p) for p in held]  # the squared error is a form in (b, -1)
-            return float(sum(b @ p @ b for b, p in ends))
-
-        return min(grid, key=error)
-
     models = []
     for year in sorted({int(x) // 12 for x in at}):
         own = at + horizon <= at[at // 12 == year].min() - embargo
         if stats["n"].to_numpy()[own].sum() < least or own.sum() < months:
             continue
-        lam = penalty([sums[own & (at // 12 == y)].sum(axis=0) for y in np.unique(at[own] // 12)])
-        models.append((year, *fit(sums[own].sum(axis=0), lam).tolist()))
+        lam = moment_penalty([sums[own & (at // 12 == y)].sum(axis=0) for y in np.unique(at[own] // 12)], grid)
+        models.append((year, *moment_ridge(sums[own].sum(axis=0), lam).tolist()))
     schema = "year int, " + ", ".join(f"b{k} double" for k in range(len(features) + 1))
     betas = F.broadcast(panel.sparkSession.createDataFrame(models, schema))  # a row a year
     full = F.broadcast(panel.sparkSession.createDataFrame([(int(x),) for x in at[stats["n"].to_numpy() >= names]], "i int"))  # a row a month
@@ -365,10 +367,17 @@ def bootstrap_ci(values: np.ndarray, block: int = 6, draws: int = 1000, seed: in
     return tuple(np.quantile(values[rows].mean(axis=1), [0.05, 0.95]))
 
 
+def expected_best_sharpe(trials: int, variance: float) -> float:
+    """The greatest Sharpe ratio to be expected of so many trials by chance, given the variance among them."""
+    gamma = 0.5772156649015329
+    if trials <= 1 or variance <= 0:
+        return 0.0
+    return math.sqrt(variance) * ((1 - gamma) * _N.inv_cdf(1 - 1 / trials) + gamma * _N.inv_cdf(1 - 1 / (trials * math.e)))
+
+
 def deflated_sharpe(sharpe: float, n: int, skew: float, kurtosis: float, trials: int, variance: float) -> float:
     """Probability that a Sharpe ratio beats the greatest expected among ``trials`` chance ones."""
-    gamma = 0.5772156649015329
-    bar = math.sqrt(max(variance, 0)) * ((1 - gamma) * _N.inv_cdf(1 - 1 / trials) + gamma * _N.inv_cdf(1 - 1 / (trials * math.e))) if trials > 1 else 0.0
+    bar = expected_best_sharpe(trials, variance)
     spread = math.sqrt(max(1 - skew * sharpe + (kurtosis - 1) / 4 * sharpe * sharpe, 1e-12))
     return _N.cdf((sharpe - bar) * math.sqrt(max(n - 1, 1)) / spread)
 

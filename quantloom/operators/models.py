@@ -33,21 +33,45 @@ def ols(x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray | float]:
 
 
 def factor_regression(bars: DataFrame, factors: list[str], window: int = 756) -> DataFrame:
-    """Each symbol's returns on those of some factor symbols, over the newest rows that all have."""
+    """Each symbol's returns on those of some factor symbols, over the newest rows that all have; sigma is the residuals' deviation.
+
+    Sums of products are enough for the fit: Spark forms them and each symbol's row of sums is solved.
+    """
     r = X.returns(bars)
     f = r.where(F.col("symbol").isin(factors)).groupBy("date").pivot("symbol", factors).agg(F.first("ret")).toDF("date", *(f"f{i}" for i in range(len(factors)))).dropna()
     x = r.where(~F.col("symbol").isin(factors)).join(f, "date")
     x = x.withColumn("age", F.row_number().over(B.newest())).where(F.col("age") <= window)
     k = len(factors)
+    cols = [F.lit(1.0), *(F.col(f"f{i}") for i in range(k)), F.col("ret")]
+    pairs = [(a, b) for a in range(k + 2) for b in range(a, k + 2)]
+    sums = x.groupBy("symbol").agg(F.array(*(F.sum(cols[a] * cols[b]) for a, b in pairs)).alias("sums"), F.count("*").alias("n")).where(F.col("n") >= max(10 * k, 30))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) < max(10 * k, 30):
-            return pd.DataFrame({c: pd.Series(dtype=t) for c, t in {"symbol": "object", "name": "object", "coef": "float64", "t": "float64", "r2": "float64", "n": "int32"}.items()})
-        rows = rows.sort_values("date")
-        m = ols(rows[[f"f{i}" for i in range(k)]].to_numpy(), rows["ret"].to_numpy())
-        return pd.DataFrame({"symbol": rows["symbol"].iloc[0], "name": ["alpha", *factors], "coef": m["coef"], "t": m["t"], "r2": m["r2"], "n": len(rows)})
-
-    return x.groupBy("symbol").applyInPandas(run, "symbol string, name string, coef double, t double, r2 double, n int")
+    def run(frames):
+        for rows in frames:
+            out = []
+            for symbol, own, n in rows.itertuples(index=False):
+                m = np.zeros((k + 2, k + 2))
+                for (a, b), v in zip(pairs, own):
+                    m[a, b] = m[b, a] = v
+                fit = ols_from_sums(m)
+                out += [(symbol, name, c, t, fit["r2"], n, fit["sigma"]) for name, c, t in zip(["alpha", *factors], fit["coef"], fit["t"])]
+            yield pd.DataFrame(out, columns=["symbol", "name", "coef", "t", "r2", "n", "sigma"])
+
+    return sums.mapInPandas(run, "symbol string, name string, coef double, t double, r2 double, n int, sigma double")
+
+
+def ols_from_sums(m: np.ndarray) -> dict[str, np.ndarray | float]:
+    """Least squares from the summed products of (1, features, target), centred before they are solved."""
+    n, mean = m[0, 0], m[0, 1:] / m[0, 0]
+    c = m[1:, 1:] - n * np.outer(mean, mean)
+    inverse = np.linalg.pinv(c[:-1, :-1])
+    b = inverse @ c[:-1, -1]
+    sse, free = max(float(c[-1, -1] - b @ c[:-1, -1]), 0.0), max(1.0, n - len(m) + 1)
+    var = sse / free
+    se = np.sqrt(np.clip(np.r_[var / n + mean[:-1] @ inverse @ mean[:-1] * var, np.diag(inverse) * var], 0, None))
+    coef = np.r_[mean[-1] - mean[:-1] @ b, b]
+    r2 = 1 - sse / c[-1, -1] if c[-1, -1] > 0 else 0.0
+    return {"coef": coef, "se": se, "t": np.divide(coef, se, out=np.zeros_like(coef), where=se > 0), "r2": r2, "sigma": math.sqrt(var)}
 
 
 def ridge(x: np.ndarray, y: np.ndarray, lam: float, weights: np.ndarray | None = None) -> np.ndarray:

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from quantloom.operators import components as C
 from quantloom.operators import cross as X
 from quantloom.operators import cycles
+from quantloom.operators import exposures as E
 from quantloom.operators import forecasts as G
 from quantloom.operators import fundamentals as Q
+from quantloom.operators import implied as I
 from quantloom.operators import opinions as P
 from quantloom.operators import stack as S
 from quantloom.queries import Catalog
@@ -21,6 +23,10 @@ FACTORS = ["Brand#11", "Brand#12", "Brand#13"]
 #: Which symbols stand for the macro series.
 MACRO = {"hy_spread": "Brand#21", "vix": "Brand#22", "dollar": "Brand#23", "curve": "Brand#24"}
 
+#: Which symbols stand for rates in the basket; the day on which quotes are taken.
+RATES = ["Brand#21", "Brand#22"]
+AS_OF = "2001-01-15"
+
 VOLS = """
     lr AS (
         SELECT symbol, date, close, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY date)) AS lr
@@ -101,6 +107,26 @@ def changes(bars: DataFrame) -> DataFrame:
     return x.select(name[F.col("symbol")].alias("series"), F.col("pct").alias("change"), F.when(F.col("symbol") == MACRO["curve"], "diff").otherwise("pct").alias("mode"))
 
 
+def basket(bars: DataFrame) -> DataFrame:
+    """Monthly log returns of the factor symbols, and changes in level of two that stand for rates."""
+    own = E.log_returns(bars.where(F.col("symbol").isin(FACTORS)))
+    rates = E.differences(bars.where(F.col("symbol").isin(RATES)))
+    return own.unionByName(rates).select("month", F.col("symbol").alias("leg"), F.col("y").alias("x"))
+
+
+def chain(s: SparkSession, d: str) -> DataFrame:
+    """Quotes of every brand's contracts: strikes by its parts' sizes about the newest close, mids at its volatility with a smile."""
+    b = tables.bars_smooth(s, d)
+    own = b.groupBy("symbol").agg(F.max_by("close", "date").alias("spot")).join(C.daily_volatility(b), "symbol")
+    part = tables.table(s, d, "part")
+    days = F.element_at(F.array(*map(F.lit, (30, 91, 182, 364))), (F.pmod("p_partkey", F.lit(4)) + 1).cast("int"))
+    x = part.select(F.col("p_brand").alias("symbol"), (0.5 + F.col("p_size") / 50).alias("k"), F.date_add(F.lit(AS_OF).cast("date"), days).alias("expiry"), (days / 365.25).alias("t")).distinct()
+    x = x.join(own, "symbol").withColumn("strike", F.col("spot") * F.col("k")).withColumn("type", F.explode(F.array(F.lit("call"), F.lit("put"))))
+    sigma = F.col("daily") * F.sqrt(F.lit(252.0)) * (1 + 0.3 * F.pow(F.ln("k"), F.lit(2)))
+    mid = I.priced(F.col("spot"), F.col("strike"), F.col("t"), sigma, F.col("type") == "call")
+    return x.select(F.col("symbol").alias("underlying"), "spot", "expiry", "strike", "type", mid.alias("mid"))
+
+
 def register(c: Catalog) -> None:
     smooth = tables.bars_smooth
 
@@ -220,3 +246,18 @@ def register(c: Catalog) -> None:
     c.add("price_zones", lambda s, d: C.zones(mixed(s, d), price(s, d)), "symbol ~price ~bargain_below ~fair_value ~expensive_above ~against_fair")
     c.add("price_goals", lambda s, d: C.targets(mixed(s, d), price(s, d)), "symbol months:int kind ~target ~probability")
     c.add("recommendations", recommended, "symbol ~edge ~gap ~score action ~conviction strength")
+
+    def exposed(s, d):
+        return E.exposures(E.log_returns(smooth(s, d).where(~F.col("symbol").isin(FACTORS + RATES))), basket(smooth(s, d)), FACTORS + RATES)
+
+    c.add("exposure_summary", lambda s, d: exposed(s, d).withColumn("pruned", F.array_join("pruned", ",")), "symbol ~alpha ~r2 ~share ~residual ~penalty months:int start finish pruned")
+    c.add("exposure_betas", lambda s, d: exposed(s, d).select("symbol", F.inline("betas")), "symbol leg ~beta ~se ~change_6 ~change_12")
+    c.add("exposure_path", lambda s, d: exposed(s, d).select("symbol", F.inline("path")), "symbol leg month ~beta")
+
+    def rates(s, d):
+        x = X.base_rates(smooth(s, d)).selectExpr("symbol", "h", "q25", "q75", "shrunk AS q50")
+        return P.spreads_by_horizon(x).withColumnRenamed("h", "months")
+
+    fields = " ".join(f"~{f}" for f in ("q05", "q25", "q50", "q75", "q95", "iv_atm", "skew_25d", "p_up10", "p_dn10", "p_up20", "p_dn20", "rn_mean", "span", "forward"))
+    c.add("implied_by_horizon", lambda s, d: I.implied(chain(s, d), AS_OF), f"underlying months:int expiry {fields} n_strikes:int monotone quality")
+    c.add("implied_shifted", lambda s, d: I.to_base_rates(I.implied(chain(s, d), AS_OF), rates(s, d)), "underlying months:int ~implied_iqr ~width_ratio ~mean_shift ~rw_q05 ~rw_q25 ~rw_q50 ~rw_q75 ~rw_q95")

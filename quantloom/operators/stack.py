@@ -44,7 +44,7 @@ class StackConfig:
 
 @dataclass
 class Stack:
-    """What :func:`stack` returns; ``panel`` is the persisted panel, to be unpersisted when the rest has been used. ``gates``: a row a horizon. ``ablations``: a row a horizon and feature left out. ``predictions``:
+    """What :func:`stack` returns. ``gates``: a row a horizon. ``ablations``: a row a horizon and feature left out. ``predictions``:
     a row a symbol and horizon. ``contributions``: a row a symbol, horizon and feature. ``features`` were kept, ``absent`` has why others weren't."""
 
     gates: DataFrame
@@ -56,7 +56,6 @@ class Stack:
     published: bool
     reason: str | None
     trials: int
-    panel: DataFrame
 
 
 def feature_panel(bars: DataFrame, sectors: DataFrame, horizons: tuple[int, ...] = StackConfig.horizons, fundamentals: DataFrame | None = None) -> DataFrame:
@@ -194,9 +193,9 @@ def stack(panel: DataFrame, config: StackConfig = StackConfig(), candidates: tup
     correlation above ``gate``, its bootstrapped lower bound above zero, and a Sharpe ratio of the quintile spread above what the best of
     all trials (full, ablated and final, one frozen set) would reach by chance. It is published if any horizon passes.
     Predictions come from a fit on all labelled rows; the band adds quantiles of the residuals out of sample (ten at least, else the middle alone).
-    With too few names or no feature nothing is fitted: no rows, and a reason.
+    With too few names or no feature nothing is fitted: no rows, and a reason. The panel is read five times: store it first.
     """
-    spark, panel = panel.sparkSession, panel.persist()  # read four times; a row a symbol and month
+    spark = panel.sparkSession
     horizons = [h for h in config.horizons if f"target_h{h}" in panel.columns]
     present = [f for f in candidates if f in panel.columns]
     spread = panel.agg(F.count_distinct("symbol").alias("names"), *(F.stddev_pop(f).alias(f) for f in present)).first()
@@ -212,7 +211,7 @@ def stack(panel: DataFrame, config: StackConfig = StackConfig(), candidates: tup
     if reason:
         return Stack(
             empty(gate_schema), empty("h int, dropped string, ic_full double, ic_without double, raises boolean"), empty(prediction_schema),
-            empty("symbol string, h int, feature string, contribution double"), features, absent, False, reason, 0, panel,
+            empty("symbol string, h int, feature string, contribution double"), features, absent, False, reason, 0,
         )
 
     k, z = len(features), standardised(panel, features)
@@ -271,5 +270,5 @@ def stack(panel: DataFrame, config: StackConfig = StackConfig(), candidates: tup
     return Stack(
         spark.createDataFrame(gates, gate_schema), spark.createDataFrame(ablations, "h int, dropped string, ic_full double, ic_without double, raises boolean"),
         predictions, x.select("symbol", "h", F.inline("parts")), kept, absent, published,
-        None if published else "gates not met (OOS IC / deflated Sharpe); engine falls back to base_rates + implied", trials, panel,
+        None if published else "gates not met (OOS IC / deflated Sharpe); engine falls back to base_rates + implied", trials,
     )

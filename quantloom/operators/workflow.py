@@ -101,7 +101,11 @@ def with_texts(found: DataFrame, rows: DataFrame) -> DataFrame:
     return x.select(*found.columns, pick(0).alias("title"), message.alias("message"), pick(2).alias("action"))
 
 
-def material(found: DataFrame, least: str | None, levels: tuple[str, ...] = ("low", "medium", "high")) -> DataFrame:
+#: Levels of materiality from the least up.
+MATERIALITY = ("noise", "minor", "material", "urgent")
+
+
+def material(found: DataFrame, least: str | None, levels: tuple[str, ...] = MATERIALITY) -> DataFrame:
     """Alerts whose known materiality is ``least`` or more; those that were not scored stay. An unknown ``least`` keeps all."""
     least = (least or "").strip().lower()
     if least not in levels:

@@ -13,9 +13,11 @@ from quantloom.operators import forecasts as G
 from quantloom.operators import fundamentals as Q
 from quantloom.operators import implied as I
 from quantloom.operators import opinions as P
+from quantloom.operators import peers
 from quantloom.operators import stack as S
 from quantloom.queries import Catalog
 from quantloom.queries.sql import QUARTERS, SMOOTH
+from quantloom.session import shared_folder
 from quantloom.sources import tables
 
 MARKET = "Brand#11"
@@ -137,10 +139,16 @@ def register(c: Catalog) -> None:
         "feature_panel", panel, "symbol month ~mom_12_1 ~rev_1m ~vol_dummy ~trend_dummy ~target_h1 ~target_h6 ~target_h18",
         SMOOTH + "," + PANEL, "SELECT * FROM fp WHERE place > 12 AND n >= 15",
     )
-    c.add("stack_gates", lambda s, d: S.stack(panel(s, d)).gates, "h:int ~oos_ic ~ci_low ~ci_high n_test_months:int n_oos_rows:long ~sharpe ~deflated ~probability ic_pass sharpe_pass passed n_trials:int")
-    c.add("stack_ablations", lambda s, d: S.stack(panel(s, d)).ablations, "h:int dropped ~ic_full ~ic_without raises")
-    c.add("stack_predictions", lambda s, d: S.stack(panel(s, d)).predictions, "symbol h:int ~expected ~q05 ~q25 ~q50 ~q75 ~q95")
-    c.add("stack_contributions", lambda s, d: S.stack(panel(s, d)).contributions, "symbol h:int feature ~contribution")
+    def stored(s, d):
+        """The panel as a written table: what follows reads it several times."""
+        if s.sparkContext.getCheckpointDir() is None:
+            s.sparkContext.setCheckpointDir(shared_folder(s))
+        return panel(s, d).checkpoint()
+
+    c.add("stack_gates", lambda s, d: S.stack(stored(s, d)).gates, "h:int ~oos_ic ~ci_low ~ci_high n_test_months:int n_oos_rows:long ~sharpe ~deflated ~probability ic_pass sharpe_pass passed n_trials:int")
+    c.add("stack_ablations", lambda s, d: S.stack(stored(s, d)).ablations, "h:int dropped ~ic_full ~ic_without raises")
+    c.add("stack_predictions", lambda s, d: S.stack(stored(s, d)).predictions, "symbol h:int ~expected ~q05 ~q25 ~q50 ~q75 ~q95")
+    c.add("stack_contributions", lambda s, d: S.stack(stored(s, d)).contributions, "symbol h:int feature ~contribution")
 
     c.add("cycle_modes", lambda s, d: cycles.cycle_modes(smooth(s, d)), "symbol rank:int k:int ~period ~amplitude ~phase ~share position ~passed")
     c.add("cycle_consistency", lambda s, d: cycles.cycle_consistency(smooth(s, d)), "symbol n:int ~r2 ~dominant ~error ~usual ~spread ~z blocks:int label")
@@ -261,3 +269,10 @@ def register(c: Catalog) -> None:
     fields = " ".join(f"~{f}" for f in ("q05", "q25", "q50", "q75", "q95", "iv_atm", "skew_25d", "p_up10", "p_dn10", "p_up20", "p_dn20", "rn_mean", "span", "forward"))
     c.add("implied_by_horizon", lambda s, d: I.implied(chain(s, d), AS_OF), f"underlying months:int expiry {fields} n_strikes:int monotone quality")
     c.add("implied_shifted", lambda s, d: I.to_base_rates(I.implied(chain(s, d), AS_OF), rates(s, d)), "underlying months:int ~implied_iqr ~width_ratio ~mean_shift ~rw_q05 ~rw_q25 ~rw_q50 ~rw_q75 ~rw_q95")
+
+    def families(s, d):
+        return smooth(s, d).select("symbol").distinct().withColumn("sector", F.concat(F.lit("maker "), F.substring("symbol", 7, 1)))
+
+    shown = "sector symbol month rank:int bucket ~expected ~confidence sure " + " ".join(f"~p_{b}" for b in peers.BUCKETS) + " ~predicted_last ~realized_last"
+    c.add("sector_forecast", lambda s, d: peers.forecasts(stored(s, d), families(s, d)), shown)
+    c.add("peer_projection", lambda s, d: peers.projected(peers.forecasts(stored(s, d), families(s, d)), MARKET).withColumn("peers", F.to_json("peers")), "sector symbol bucket ~expected ~confidence peers")

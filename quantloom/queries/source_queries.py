@@ -15,6 +15,7 @@ from quantloom.functions import scalars as S
 from quantloom.operators import bars as B
 from quantloom.operators import fundamentals as Q
 from quantloom.operators import options as O
+from quantloom.operators import alertruns as R
 from quantloom.operators import workflow as A
 from quantloom.queries import Catalog
 from quantloom.queries.bar_queries import AGE
@@ -206,8 +207,49 @@ def workflow(c: Catalog, smooth) -> None:
         WHEN 'fresh-short-flow' THEN symbol || ' printed a fresh short Flow Compass shift.' WHEN 'fresh-long-flow' THEN symbol || ' printed a fresh long Flow Compass shift.' WHEN 'ridge-sell' THEN symbol || ' has a Ridge SELL recommendation.' WHEN 'ridge-buy' THEN symbol || ' has a Ridge BUY recommendation.'
         WHEN 'ridge-buy-setup' THEN symbol || ' has a Ridge BUY SETUP recommendation.' WHEN 'auction-above-value' THEN symbol || ' is accepting above auction value.' WHEN 'auction-below-value' THEN symbol || ' is trading below auction value.' ELSE printf('%s is running at %.1f%% annualized volatility.', symbol, volatility * 100) END AS message FROM fired"""
     c.add("alert_texts", lambda s, d: A.with_texts(A.alerts(rows(s, d)), rows(s, d)), "symbol kind message", scored + fired, told)
-    level = "CASE WHEN kind LIKE 'ridge%' THEN 'high' WHEN kind LIKE 'auction%' THEN 'low' WHEN kind LIKE 'fresh%' THEN 'medium' END"
-    c.add("material_alerts", lambda s, d: A.material(A.alerts(rows(s, d)).withColumn("materiality", F.expr(level)), " Medium "), "symbol kind severity", scored + fired, "SELECT symbol, kind, severity FROM fired WHERE kind NOT LIKE 'auction%'")
+    level = "CASE WHEN kind LIKE 'ridge%' THEN 'urgent' WHEN kind LIKE 'auction%' THEN 'noise' WHEN kind LIKE 'fresh%' THEN 'material' WHEN kind = 'risk-lane' THEN 'minor' END"
+    c.add(
+        "material_alerts", lambda s, d: A.material(A.alerts(rows(s, d)).withColumn("materiality", F.expr(level)), " Material "), "symbol kind severity", scored + fired,
+        "SELECT symbol, kind, severity FROM fired WHERE kind NOT LIKE 'auction%' AND kind <> 'risk-lane'",
+    )
+
+    def keyed(s, d):
+        own = rows(s, d)
+        found = A.with_texts(A.alerts(own), own)
+        return R.content_key(found.join(own.select("symbol", F.col("volatility").alias("volatility_now")), "symbol"))
+
+    def scorer(found: list[dict]) -> list[dict | None]:
+        """Stands for the service: grave alerts are likely material, others minor; those of the auction get no answer."""
+        grave, mild = {"material": 0.6, "urgent": 0.4}, {"minor": 0.7, "material": 0.3}
+        return [None if x["category"] == "Auction" else {"probabilities": grave if x["severity"] == "High" else mild, "confidence": 0.8} for x in found]
+
+    def judged(s, d):
+        return R.with_scores(keyed(s, d), R.score(keyed(s, d), scorer))
+
+    c.add(
+        "scored_alerts", judged, "symbol kind materiality ~materiality_score ~materiality_confidence", scored + fired,
+        """
+        SELECT symbol, kind,
+               CASE WHEN kind LIKE 'auction%' THEN NULL WHEN severity = 'High' THEN 'material' ELSE 'minor' END AS materiality,
+               CASE WHEN kind LIKE 'auction%' THEN NULL WHEN severity = 'High' THEN (0.6 * 2 + 0.4 * 3) / 3 ELSE (0.7 + 0.3 * 2) / 3 END AS materiality_score,
+               CASE WHEN kind LIKE 'auction%' THEN NULL ELSE 0.8 END AS materiality_confidence
+        FROM fired""",
+    )
+
+    def watchers(s, d):
+        """A rule for each customer: tickers, materiality and delivery by its key."""
+        return tables.table(s, d, "customer").selectExpr(
+            "c_custkey AS rule_id", "c_acctbal > 0 AS active", "c_custkey AS updated_at", "CASE WHEN c_custkey % 3 = 0 THEN DATE'2024-01-03' END AS last_run_date",
+            "1 + c_custkey % 25 AS a", "1 + c_custkey % 7 AS b",
+        ).selectExpr(
+            "rule_id", "active", "updated_at", "last_run_date", "array('BRAND#' || a, ' brand#' || b) AS tickers", "CAST(1 + a % 2 AS INT) AS max_results", "5 AS max_alerts", "0.3 AS volatility",
+            "CASE a % 3 WHEN 0 THEN 'material' WHEN 1 THEN 'urgent' END AS least", "CASE b % 2 WHEN 0 THEN 'webhook' ELSE 'none' END AS channel", "CASE b % 3 WHEN 0 THEN 'high' ELSE 'any' END AS severity",
+        )
+
+    def scheduled(s, d):
+        return R.runs(watchers(s, d), judged(s, d).withColumn("symbol", F.upper("symbol")), "2024-01-03").withColumn("alert_ids", F.array_join("alert_ids", ","))
+
+    c.add("alert_runs", scheduled, "rule_id run_date status alert_count:long high_alert_count:long headline alert_ids delivery")
     names = lambda cond: f"(SELECT string_agg(symbol, ', ' ORDER BY rank) FROM (SELECT symbol, rank FROM scored WHERE {cond} ORDER BY rank LIMIT 5))"
     note = f"""SELECT CASE WHEN high > 0 THEN high || ' high-priority alert' || CASE WHEN high = 1 THEN '' ELSE 's' END || tail WHEN n > 0 THEN n || ' watchlist alert' || CASE WHEN n = 1 THEN '' ELSE 's' END || tail ELSE 'No high-signal alerts' || tail END AS headline,
         coalesce(nullif(concat_ws(' | ', 'Priority: ' || {names("lane = 'Priority'")}, 'Risk: ' || {names("lane = 'Risk'")}, 'Flow shifts: ' || {names('fresh_long OR fresh_short')}), ''), 'No names crossed the alert rules in this run.') AS summary

@@ -21,11 +21,23 @@ def returns(bars: DataFrame) -> DataFrame:
 _MOMENTS = ("n", "mx", "my", "xx", "yy", "xy")
 
 
-def gram(r: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+def tiled(r: DataFrame, size: int) -> DataFrame:
+    """The rows once for each pair of tiles (i <= j) that their symbol's tile is in; a tile holds ``size`` symbols in order of name.
+
+    The window that numbers symbols has no partition: a row a symbol.
+    """
+    names = r.select("symbol").distinct().withColumn("tile", F.floor((F.row_number().over(Window.orderBy("symbol")) - 1) / size).cast("int"))
+    names = names.withColumn("tiles", F.max("tile").over(Window.partitionBy()))
+    x = r.join(F.broadcast(names), "symbol").withColumn("other", F.explode(F.sequence(F.lit(0), "tiles")))  # a row a symbol
+    return x.withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other")).drop("tiles", "other")
+
+
+def gram(r: DataFrame, by: tuple[str, ...] = (), tile: int = 512) -> DataFrame:
     """a, b (a < b), the columns ``by``, and n, mx, my, xx, yy, xy: the pair's moments over the dates that both have.
 
-    Each quarter's returns are one matrix of dates by symbols, from which the moments of all pairs are taken at once; those of
-    a pair's quarters are merged. Rows grow with pairs and quarters, not with pairs and dates.
+    Each quarter's returns of two tiles of symbols are one matrix of dates by symbols, from which the moments of the tiles' pairs are taken;
+    those of a pair's quarters are merged. A task holds a tile's square of pairs at most, however many symbols there are. Rows grow with
+    pairs and quarters, not with pairs and dates.
     """
     keys = ", ".join(f"`{k}` {r.schema[k].dataType.simpleString()}" for k in by)
     schema = "a string, b string, " + (keys + ", " if by else "") + ", ".join(f"{c} double" for c in _MOMENTS)
@@ -33,20 +45,23 @@ def gram(r: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         wide = rows.pivot_table(index="date", columns="symbol", values="ret", aggfunc="last")
         names, have, x = wide.columns.to_numpy(), wide.notna().to_numpy(), wide.fillna(0.0).to_numpy()
+        first = rows.loc[rows["tile"] == key[1], "symbol"].nunique()  # the first tile's symbols come first by name
         out = []
-        for i in range(len(names) - 1):  # one symbol against all behind it
-            both = have[:, i : i + 1] & have[:, i + 1 :]
+        for i in range(first):  # one symbol against those behind it, or all of the other tile
+            start = i + 1 if key[1] == key[2] else first
+            both = have[:, i : i + 1] & have[:, start:]
             n = both.sum(axis=0)
             at = np.flatnonzero(n)
             both, n = both[:, at], n[at].astype(float)
-            one, others = np.where(both, x[:, i : i + 1], 0.0), np.where(both, x[:, i + 1 :][:, at], 0.0)
+            one, others = np.where(both, x[:, i : i + 1], 0.0), np.where(both, x[:, start:][:, at], 0.0)
             mx, my = one.sum(axis=0) / n, others.sum(axis=0) / n
             dx, dy = np.where(both, one - mx, 0.0), np.where(both, others - my, 0.0)
-            own = {"a": names[i], "b": names[i + 1 :][at]} | dict(zip(by, key[1:]))
+            own = {"a": names[i], "b": names[start:][at]} | dict(zip(by, key[3:]))
             out.append(pd.DataFrame(own | {"n": n, "mx": mx, "my": my, "xx": (dx * dx).sum(axis=0), "yy": (dy * dy).sum(axis=0), "xy": (dx * dy).sum(axis=0)}))
         return pd.concat(out) if out else pd.DataFrame(columns=["a", "b", *by, *_MOMENTS])
 
-    blocks = r.where("ret is not null").groupBy(F.trunc("date", "quarter").alias("block"), *by).applyInPandas(run, schema)
+    own = tiled(r.where("ret is not null").select("symbol", "date", "ret", *by), tile)
+    blocks = own.groupBy(F.trunc("date", "quarter").alias("block"), "i", "j", *by).applyInPandas(run, schema)
     first = F.struct(*(F.lit(0.0).alias(c) for c in _MOMENTS))
 
     def merged(s: Column, t: Column) -> Column:
@@ -247,6 +262,24 @@ def as_of(left: DataFrame, right: DataFrame, by: str, left_on: str, right_on: st
     return both.withColumn(value, F.last("__value", ignorenulls=True).over(w)).where("__side = 1").drop("__at", "__side", "__value")
 
 
+def as_of_series(left: DataFrame, series: DataFrame, left_on: str, right_on: str, value: str) -> DataFrame:
+    """``left`` with the last known ``value`` of one series on or before its date; null before the series begins.
+
+    The series is packed by month (31 entries at most) with the value it had before; rows meet their month by a broadcast table as
+    long as the calendar, so ``left`` stays where it is and is not copied. Of one date's values the largest counts.
+    """
+    own = series.where(F.col(value).isNotNull()).select(F.col(right_on).alias("d"), F.col(value).alias("v"))
+    month = own.groupBy(F.trunc("d", "month").alias("__month")).agg(F.sort_array(F.collect_list(F.struct("d", "v"))).alias("__days"))
+    span = month.agg(F.min("__month").alias("a"), F.max("__month").alias("b")).where("a is not null").select(F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("__month"))
+    w = Window.orderBy("__month").rowsBetween(Window.unboundedPreceding, -1)  # a row a month
+    table = span.join(month, "__month", "left").withColumn("__before", F.last(F.element_at("__days", -1)["v"], ignorenulls=True).over(w))
+    end = own.agg(F.max_by("v", F.struct("d", "v")).alias("__end"), F.max("d").alias("__last"))  # one row
+    x = left.withColumn("__month", F.trunc(left_on, "month")).join(F.broadcast(table), "__month", "left").join(F.broadcast(end))
+    known = F.filter("__days", lambda s: s["d"] <= F.col(left_on))
+    found = F.when(F.col(left_on) >= F.col("__last"), F.col("__end")).otherwise(F.coalesce(F.when(F.size(known) > 0, F.element_at(known, -1)["v"]), F.col("__before")))
+    return x.withColumn(value, found).drop("__month", "__days", "__before", "__end", "__last")
+
+
 def changes_as_of(series: DataFrame, months: tuple[int, ...] = (1, 3, 12)) -> DataFrame:
     """Newest close of each symbol and its change from the value as of some months before."""
     now = series.groupBy("symbol").agg(F.max("date").alias("date"), F.max_by("close", "date").alias("now"))

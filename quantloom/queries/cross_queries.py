@@ -98,8 +98,8 @@ def register(c: Catalog) -> None:
 
     def filed(spark, sf_dir):
         q = tables.quarters(spark, sf_dir)
-        price = tables.bars_smooth(spark, sf_dir).where(f"symbol = '{REF}'").select("date", "close").crossJoin(q.select("symbol").distinct())  # a few segments share one price series
-        return X.as_of(q, price, "symbol", "filing_date", "date", "close").select("symbol", "period_end", "filing_date", "close")
+        price = tables.bars_smooth(spark, sf_dir).where(f"symbol = '{REF}'").select("date", "close")
+        return X.as_of_series(q, price, "filing_date", "date", "close").select("symbol", "period_end", "filing_date", "close")
 
     c.add("asof_price_at_filing", filed, "symbol period_end filing_date ~close", SMOOTH + ", " + QUARTERS, f"SELECT q.symbol, period_end, filing_date, close FROM quarters q ASOF LEFT JOIN (SELECT date, close FROM bars WHERE symbol = '{REF}') b ON q.filing_date >= b.date")
     smooth("kinematics", lambda b: X.kinematics(I.ema_stack(b, (21,))), "symbol ~velocity ~acceleration ~jerk")

@@ -63,8 +63,8 @@ def register(c: Catalog) -> None:
 
     def priced(spark, sf_dir):
         q = tables.quarters(spark, sf_dir)
-        price = tables.bars_smooth(spark, sf_dir).where("symbol = 'Brand#11'").select("date", "close").crossJoin(q.select("symbol").distinct())  # a few segments share one price series
-        return Q.value_z(X.as_of(q, price, "symbol", "filing_date", "date", "close"))
+        price = tables.bars_smooth(spark, sf_dir).where("symbol = 'Brand#11'").select("date", "close")
+        return Q.value_z(X.as_of_series(q, price, "filing_date", "date", "close"))
 
     c.add("value_z", priced, "symbol period_end ~ps ~z", SMOOTH + ", " + QUARTERS, f"""SELECT symbol, period_end, ps, CASE WHEN count(ps) {WQ} ROWS UNBOUNDED PRECEDING) >= 8 THEN (ps - avg(ps) {WQ} ROWS UNBOUNDED PRECEDING)) / nullif(stddev_samp(ps) {WQ} ROWS UNBOUNDED PRECEDING), 0) END AS z FROM (
         SELECT symbol, period_end, CASE WHEN count(revenue) {four} = 4 THEN close / sum(revenue) {four} * 1e9 END AS ps FROM (SELECT q.*, close FROM quarters q ASOF LEFT JOIN (SELECT date, close FROM bars WHERE symbol = 'Brand#11') b ON q.filing_date >= b.date))""")

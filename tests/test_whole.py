@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from quantloom.operators import cross as X
 from quantloom.operators import models as M
 from quantloom.operators import texts as T
 from quantloom.queries import catalog
@@ -109,3 +110,33 @@ def test_every_symbol_is_there(spark, name, symbols):
     rows = QUERIES[name](spark, folder).collect()
     assert len({r.symbol for r in rows}) == symbols
     test_queries.test_matches_sql(spark, c, folder, name)
+
+
+@pytest.mark.parametrize("tile", [3, 7, 512])
+def test_pairs_come_from_tiles(spark, tile):
+    """Whatever the tiles, the moments are those of pandas; no pair is missing or doubled."""
+    bars = bars_smooth(spark, "/root/testdata/sf0.01")
+    r = X.returns(bars).where("symbol <> 'Brand#11' or date > '1999-01-01'")
+    got = {(m.a, m.b): m for m in X.gram(r, tile=tile).collect()}
+    wide = r.toPandas().pivot(index="date", columns="symbol", values="ret").astype(float)
+    names = sorted(wide.columns)
+    assert set(got) == {(a, b) for i, a in enumerate(names) for b in names[i + 1 :]}
+    for (a, b), m in list(got.items())[::17]:
+        both = wide[[a, b]].dropna()
+        assert m.n == len(both) and m.xy == pytest.approx(((both[a] - both[a].mean()) * (both[b] - both[b].mean())).sum(), abs=1e-12)
+
+
+def test_many_symbols_in_many_tiles(spark):
+    r = spark.range(2000 * 6).selectExpr("concat('S', lpad(id % 2000, 4, '0')) AS symbol", "date_add(DATE'2024-01-01', CAST(id / 2000 AS INT)) AS date", "sin(id * 1.7) AS ret")
+    x = X.gram(r, tile=256)
+    n, a, b = x.selectExpr("count(*)", "count(DISTINCT a)", "count_if(a >= b or n <> 6)").first()
+    assert (n, a, b) == (2000 * 1999 // 2, 1999, 0)
+
+
+def test_as_of_one_series(spark):
+    series = spark.createDataFrame([("2024-01-05", 1.0), ("2024-01-20", 2.0), ("2024-04-02", 3.0), ("2024-04-02", None), ("2024-05-01", None)], "d string, close double").selectExpr("CAST(d AS DATE) AS d", "close")
+    asked = ["2024-01-04", "2024-01-05", "2024-01-19", "2024-01-31", "2024-02-10", "2024-04-01", "2024-04-02", "2025-09-09", None]
+    left = spark.createDataFrame([(x,) for x in asked], "at string").selectExpr("CAST(at AS DATE) AS at", "1 AS v", "2 AS d")
+    got = {str(r["at"]): r.close for r in X.as_of_series(left, series, "at", "d", "close").collect()}
+    assert got == dict(zip(map(str, asked), [None, 1.0, 1.0, 2.0, 2.0, 2.0, 3.0, 3.0, None]))
+    assert X.as_of_series(left, series.limit(0), "at", "d", "close").where("close is not null").count() == 0

@@ -13,15 +13,16 @@ import base64
 import json
 import re
 from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import map_texts, stored
+from quantloom.llm.common import map_texts, stored, text_slices
 
 #: A worker's cache of pieces of text is emptied beyond so many entries.
 CACHE_PIECES = 250_000
@@ -84,16 +85,20 @@ class Encoder:
             return self._pattern.findall(text)
         return [y for k, x in enumerate(self._special.split(text)) for y in ([x] if k % 2 else self._pattern.findall(x))]
 
-    def pretokens_from(self, text: str, at: int) -> Iterator[str]:
-        """The same from a pre-token's beginning on, one by one."""
+    def special_spans(self, text: str) -> list[tuple[int, int]]:
+        """Where the special tokens of a text stand, in order."""
+        return [m.span() for m in self._special.finditer(text)] if self._special else []
+
+    def cuts_from(self, text: str, at: int, specials: list[tuple[int, int]]) -> Iterator[int]:
+        """Where the pre-tokens end, one by one, from a pre-token's beginning on; ``specials`` are the text's :meth:`special_spans`."""
+        k = bisect_left(specials, (at, 0)) if specials else 0
         while at < len(text):
-            special = self._special.search(text, at) if self._special else None
-            end = special.start() if special else len(text)
-            for m in self._pattern.finditer(text, at, end):
-                yield m[0]
-            if special:
-                yield special[0]
-            at = special.end() if special else end
+            start, end = specials[k] if k < len(specials) else (len(text), len(text))
+            for m in self._pattern.finditer(text, at, start):
+                yield m.end()
+            if end > start:
+                yield end
+            at, k = end, k + 1
 
     def counts(self, pretokens: list[str]) -> list[int]:
         """How many ids each pre-token has."""
@@ -134,8 +139,7 @@ def encoded(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, before = encoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                rows = batch.slice(lo, 500)
+            for rows in text_slices(batch, "text"):
                 ids = [enc.encode(x or "") + end for x in rows.column("text").to_pylist()]
                 n = np.array([len(x) // 2 for x in ids], np.int64)
                 at = before + np.cumsum(n) - n
@@ -157,16 +161,14 @@ def pack(docs: DataFrame, window: int = 1024, tokenizer: str = "byte_bpe_50k.jso
     An empty table gives no rows. Other columns of ``docs`` are not read.
     """
     table = stored(encoded(docs, tokenizer, end_id), "packing")
-    totals = table.groupBy("part").agg(F.max(F.col("before") + F.col("n")).alias("n")).orderBy("part").collect()  # one row per partition of the input
-    base, at = {}, 0
-    for part, n in totals:
-        base[part] = at
-        at += n
+    totals = table.groupBy("part").agg(F.max(F.col("before") + F.col("n")).alias("total"))  # a row for each partition of the input
+    ahead = F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    table = table.join(F.broadcast(totals.select("part", ahead.alias("base"))), "part")
 
     def cut(rows: pa.RecordBatch) -> pa.RecordBatch:
         out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids")}
-        for part, before, doc, n, ids in zip(*(rows.column(k).to_pylist() for k in ("part", "before", "doc_id", "n", "ids"))):
-            own, at, start = np.frombuffer(ids, "<u2").astype("<u4"), base[part] + before, 0
+        for at, doc, n, ids in zip(*(rows.column(k).to_pylist() for k in ("at", "doc_id", "n", "ids"))):
+            own, start = np.frombuffer(ids, "<u2").astype("<u4"), 0
             while start < n:
                 length = min(n - start, window - (at + start) % window)
                 for k, v in zip(out, (doc, start, length, n, (at + start) // window, (at + start) % window, own[start : start + length].tobytes())):
@@ -176,7 +178,7 @@ def pack(docs: DataFrame, window: int = 1024, tokenizer: str = "byte_bpe_50k.jso
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], list(out))
 
     schema = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
-    return map_texts(table, cut, schema, "ids")
+    return map_texts(table.select((F.col("base") + F.col("before")).alias("at"), "doc_id", "n", "ids"), cut, schema, "ids")
 
 
 def digest(pieces: DataFrame) -> DataFrame:

@@ -4,13 +4,16 @@ A document's pre-tokens (the units that BPE merges within) are the leaves of a s
 characters and of tokens below them. :func:`trees` adds a document's leaves to its row, so they can be stored and edited
 later without encoding the text again. :func:`apply_edits` finds the leaves that an edit touches by the sums of
 characters, cuts and encodes again from the last leaf that the edit can't reach up to the first old border behind it where
-cutting falls into step again, and updates the sums above. What lies outside is not read.
+cutting falls into step again, and updates the sums above. What lies outside is not encoded. The leaves are what is stored; the sums
+above them are formed again, by slices, for each row that is edited.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -34,7 +37,7 @@ class CountTree:
             half = size // 2
             self.sums[:, half:size] = self.sums[:, size : 2 * size : 2] + self.sums[:, size + 1 : 2 * size : 2]
             size = half
-        self.reencoded = 0
+        self.reencoded = self.touched = 0  # pre-tokens encoded again; nodes that the last edit wrote
 
     @classmethod
     def of(cls, text: str, enc: Encoder) -> CountTree:
@@ -62,58 +65,85 @@ class CountTree:
                 i += 1
         return i - self.size, before
 
-    def _set(self, leaf: int, chars: int, tokens: int) -> None:
-        i = self.size + leaf
-        change = np.array([chars, tokens]) - self.sums[:, i]
-        while i:
-            self.sums[:, i] += change
-            i //= 2
+    def _set(self, leaves: np.ndarray, values: np.ndarray) -> None:
+        """New values of some leaves, and the sums above them: of each level only the nodes above a changed leaf."""
+        at = self.size + leaves
+        self.sums[:, at] = values
+        self.touched = len(at)
+        while len(at) and at[0] > 1:
+            at = at >> 1
+            at = at[np.r_[True, at[1:] != at[:-1]]]  # the leaves are in order
+            self.sums[:, at] = self.sums[:, 2 * at] + self.sums[:, 2 * at + 1]
+            self.touched += len(at)
+
+    def _finder(self, asked: int):
+        """How to find the leaf of a character: by the tree, or, for many, by the borders of all leaves."""
+        if asked * self.size.bit_length() < self.leaves // 8:
+            return self._leaf
+        borders = np.cumsum(self.sums[0, self.size : self.size + self.leaves]).tolist()
+        end = borders[-1] if borders else 0
+
+        def find(at: int) -> tuple[int, int]:
+            if at >= end:
+                return self.leaves, end
+            leaf = bisect_right(borders, at)
+            return leaf, borders[leaf - 1] if leaf else 0
+
+        return find
 
     def edit(self, edits: list[tuple[int, int, str]]) -> None:
         """Apply edits (start, end, replacement) at positions of the text as it is now.
 
         Positions beyond the text are moved to its ends. Of edits that overlap, the later start loses what is gone.
         """
-        todo, done, parts = [], 0, []
-        for a, b, new in sorted(edits, key=lambda e: e[:2]):
-            a, b = (max(min(max(x, 0), len(self.text)), done) for x in (a, max(a, b)))
-            parts += [self.text[done:a], new]
-            todo.append((a, b, len(new)))
+        todo, done, parts, size = [], 0, [], len(self.text)
+        for a, b, new in sorted(edits, key=itemgetter(0, 1)):
+            a = min(max(a, done), size)
+            b = min(max(a, b), size)
+            parts += (self.text[done:a], new)
+            todo.append((a, b, len(new) - (b - a)))
             done = b
         text = "".join(parts) + self.text[done:]
-        shift, k, changes = 0, 0, []  # characters that earlier regions have added; the changes are of the old leaves
-        while k < len(todo):
-            first, at = self._leaf(max(todo[k][0] - self._enc.context, 0))
-            first = min(first, max(self.leaves - 1, 0))
-            if first < self.leaves and at == self.sums[0, 1] and at:
-                at -= int(self.sums[0, self.size + first])
-            own, here, last = [], at + shift, self.leaves
-            moved, b = shift + todo[k][2] - (todo[k][1] - todo[k][0]), todo[k][1]
-            k += 1
-            for x in self._enc.pretokens_from(text, here):
-                own.append(x)
-                here += len(x)
-                while k < len(todo) and here - moved + self._enc.context > todo[k][0]:  # the next edit is of this region
-                    moved, b = moved + todo[k][2] - (todo[k][1] - todo[k][0]), todo[k][1]
-                    k += 1
+        find, specials, context = self._finder(len(todo)), self._enc.special_spans(text), self._enc.context
+        cut, least, most, chars, cuts = self._enc.cuts_from, [], [], [], []  # the changes are of the old leaves
+        flat: list[str] = []
+        shift, k, end, more = 0, 0, int(self.sums[0, 1]), len(todo)  # characters that earlier regions have added
+        while k < more:
+            first, at = find(max(todo[k][0] - context, 0))
+            if first >= self.leaves > 0:
+                first, at = self.leaves - 1, end - int(self.sums[0, self.size + self.leaves - 1])
+            start = here = at + shift
+            last, (_, b, added) = self.leaves, todo[k]
+            moved, k = shift + added, k + 1
+            for x in cut(text, here, specials):
+                flat.append(text[here:x])
+                here = x
+                while k < more and here - moved + context > todo[k][0]:  # the next edit is of this region
+                    b, moved, k = todo[k][1], moved + todo[k][2], k + 1
                 if here - moved >= b:
-                    leaf, begin = self._leaf(here - moved)
+                    leaf, begin = find(here - moved)
                     if begin == here - moved and leaf > first:
                         last = leaf
                         break
             else:  # the text's end: edits behind it have nothing left to cut
-                moved += sum(n - (b - a) for a, b, n in todo[k:])
-                k = len(todo)
-            changes.append((first, last, sum(map(len, own)), sum(self._enc.counts(own))))
-            self.reencoded += len(own)
+                moved += sum(x[2] for x in todo[k:])
+                k = more
+            least.append(first)
+            most.append(last)
+            chars.append(here - start)
+            cuts.append(len(flat))
             shift = moved
         if not self.leaves:
             self.leaves = 1
-        for first, last, chars, tokens in changes:
-            self._set(first, chars, tokens)
-            for leaf in range(first + 1, last):
-                if self.sums[0, self.size + leaf]:
-                    self._set(leaf, 0, 0)
+        self.reencoded += len(flat)
+        if least:
+            before = np.r_[0, np.cumsum(np.array(self._enc.counts(flat), np.int64))][[0, *cuts]]
+            first = np.array(least, np.int64)
+            n = np.maximum(np.array(most, np.int64) - first, 1)  # a region's first leaf takes all of it, the others are emptied
+            starts = np.cumsum(n) - n
+            values = np.zeros((2, int(n.sum())), np.int64)
+            values[:, starts] = chars, np.diff(before)
+            self._set(np.repeat(first - starts, n) + np.arange(values.shape[1]), values)
         self.text = text
 
 

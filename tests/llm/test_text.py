@@ -184,6 +184,27 @@ def test_long_texts_without_space_take_linear_time():
     assert time.perf_counter() - began < 60
 
 
+def test_edits_cost_less_than_counting_anew():
+    """Many edits of a long text take about as long as building its tree at most, one edit a few nodes of a large tree."""
+    import time
+
+    enc = packing.encoder("byte_bpe_50k.json")
+    text = " ".join(f"some words here and mail zu.{i % 900}@mail{i % 7}.example.com ok" for i in range(16_000))
+    own = [(e["start"], e["end"], e["replacement"]) for e in tokencounts.masks(text)]
+    took = {"build": [], "edit": []}
+    for _ in range(4):
+        began = time.perf_counter()
+        tree = tokencounts.CountTree.of(text, enc)
+        took["build"].append(time.perf_counter() - began)
+        began = time.perf_counter()
+        tree.edit(own)
+        took["edit"].append(time.perf_counter() - began)
+    assert len(own) == 16_000 and tree.total == len(enc.encode(tree.text)) // 2
+    assert min(took["edit"]) < 1.5 * min(took["build"])  # half as much again, for machines that are busy
+    tree.edit([(400_000, 400_003, "zz")])
+    assert 0 < tree.touched <= 4 * tree.leaves.bit_length() and tree.total == len(enc.encode(tree.text)) // 2
+
+
 def test_counts_awkward_rows(spark):
     docs = cases.docs(spark).selectExpr("*", "if(doc_id % 2 = 0, array(named_struct('start', 2, 'end', 99999999, 'replacement', 'zz')), null) AS edits")
     got = {r.doc_id: r for r in tokencounts.counts(docs).collect()}

@@ -13,6 +13,8 @@ steps, as is done for graphs too large to hold:
 
 Each path is then verified: its source coordinates are joined to the source document, and a digest of the words that
 stand there to the document that repeats it, which compares it with its own words before it cuts. Hashes only find paths.
+Different words that share their hashes are to be expected in a large corpus. What the comparison rejects is settled by the
+words themselves: the rejected edges' occurrences in all documents are found again and grouped by their words' digest.
 """
 
 from __future__ import annotations
@@ -325,44 +327,118 @@ def digests(docs: DataFrame, found: DataFrame, k: int) -> DataFrame:
     return join_heavy(found, said, ["src", "src_place", "n"], "count")
 
 
-def cut_repeats(docs: DataFrame, k: int = 13, seed: int = 0, bits: int = 64) -> DataFrame:
-    """doc_id, n_words, n_removed and kept (the words that stay, joined by single spaces) of every row.
+def _edge_hashes(words: list[bytes], k: int) -> np.ndarray:
+    """A 64-bit hash of each run of k words."""
+    if len(words) < k:
+        return np.zeros(0, np.uint64)
+    return _rolling(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)), k)
+
+
+def _bits(hashes: DataFrame) -> np.ndarray:
+    """The hashes' first 27 bits as one map of 16 MB, whatever their number."""
+    at = F.shiftrightunsigned("hash", 37)
+    maps = hashes.groupBy(F.shiftright(at, 15).cast("int").alias("part")).agg(F.bitmap_construct_agg(at.bitwiseAND(F.lit(32767))).alias("map"))
+    out = np.zeros((1 << 12, 1 << 12), np.uint8)
+    for r in maps.collect():  # 4,096 rows of 4 KB at most
+        out[r["part"]] = np.frombuffer(r["map"], np.uint8)
+    return out.ravel()
 
-    A word goes if a run of ``k`` words (1 or more) that covers it also starts in a document with a smaller doc_id; runs are
-    judged on the input. Words are unchanged; null, empty and wordless texts have none, and texts of fewer than k words lose
-    none. Rows with a null doc_id are kept whole and are no source. A repeated row (same doc_id and text) is cut like the
-    first; of rows that share a doc_id with different texts each is cut by itself, and none for the sake of another. A
-    document does not lose what repeats only within it. Other columns are not read.
 
-    Should two different runs of words share their hashes, the words' comparison fails the query: ``seed`` gives other
-    hashes. ``bits`` of a word's hash are used (fewer are for tests).
+def settled(docs: DataFrame, wrong: DataFrame, k: int) -> DataFrame:
+    """doc_id, place, n (1) and digest of edges that also start in a smaller document, among those of rejected paths.
+
+    ``wrong`` has doc_id, text and the rejected paths' places in it (wrong: at and n). All documents are read once more; of
+    their edges those go on whose hash may be a rejected one, and are grouped by their words' digest. What that lets
+    through beside them is judged by its words too, so it does no harm.
     """
-    if k < 1:
-        raise ValueError("a run has one word or more")
-    found = stored(paths(spans(stretches(docs, k, seed, bits))), "substring-paths")
-    cuts = digests(docs, found, k).groupBy(F.col("doc_id").alias("__doc"), F.expr(f"place & ~{_AT}").alias("__tag"))
+
+    def asked(rows: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for text, paths_ in zip(rows.column("text").to_pylist(), rows.column("wrong").to_pylist()):
+            hashes = _edge_hashes(_words(text), k)
+            out += [hashes[x["at"] : x["at"] + x["n"]] for x in paths_]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64))], ["hash"])
+
+    said = docs.sparkSession.sparkContext.broadcast(_bits(map_texts(wrong, asked, "hash long")))
+
+    def run(rows: pa.RecordBatch) -> pa.RecordBatch:
+        doc, place, digest = [], [], []
+        for i, tag, text in zip(*(rows.column(c).to_pylist() for c in ("doc_id", "tag", "text"))):
+            words = _words(text)
+            at = _edge_hashes(words, k) >> np.uint64(37)
+            hit = np.flatnonzero(said.value[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).tolist()
+            doc += [i] * len(hit)
+            place += [tag + x for x in hit]
+            digest += [_digest(words, x, 1, k) for x in hit]
+        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(place, pa.int64()), pa.array(digest, pa.binary())], ["doc_id", "place", "digest"])
+
+    own = _own(docs).where("doc_id is not null and text is not null").select("doc_id", "tag", "text")
+    seen = stored(map_texts(own, run, "doc_id long, place long, digest binary"), "substring-seen")
+    least = seen.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("count")).where("least < most")
+    return join_heavy(seen, least.drop("most"), ["digest"], "count").where("doc_id > least").select("doc_id", "place", F.lit(1).alias("n"), "digest")
+
+
+def _cut(own: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """The columns of ``cut_repeats`` for the rows of ``own``, with their text's tag and hash, and the paths (wrong: at and
+    n) whose words are not those of their digest, which cut nothing."""
+    cuts = found.groupBy(F.col("doc_id").alias("__doc"), F.expr(f"place & ~{_AT}").alias("__tag"))
     cuts = cuts.agg(F.collect_list(F.struct(F.expr(f"int(place & {_AT})").alias("at"), "n", "digest")).alias("cuts"))
-    own = marked(_own(docs), "row", found.select(F.xxhash64("doc_id", F.expr(f"place & ~{_AT}")).alias("row")))
+    own = marked(own, "row", found.select(F.xxhash64("doc_id", F.expr(f"place & ~{_AT}")).alias("row")))
     hit = own.where("may")  # the others aren't moved
-    hit = hit.join(cuts.hint("merge"), (hit["doc_id"] == cuts["__doc"]) & (hit["tag"] == cuts["__tag"]), "left").select("doc_id", "text", "cuts")
-    rest = own.where("not may").select("doc_id", "text", F.lit(None).cast(cuts.schema["cuts"].dataType).alias("cuts"))
+    hit = hit.join(cuts.hint("merge"), (hit["doc_id"] == cuts["__doc"]) & (hit["tag"] == cuts["__tag"]), "left").select("doc_id", "tag", "row", "text", "cuts")
+    rest = own.where("not may").select("doc_id", "tag", "row", "text", F.lit(None).cast(cuts.schema["cuts"].dataType).alias("cuts"))
+    paths_ = pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32())]))
 
     def run(rows: pa.RecordBatch) -> pa.RecordBatch:
-        words_n, removed_n, kept = [], [], []
+        words_n, removed_n, kept, wrong = [], [], [], []
         for text, cuts in zip(rows.column("text").to_pylist(), rows.column("cuts").to_pylist()):
             words = _words(text)
-            total = len(words)
+            total, rejected = len(words), []
             if cuts:
                 edge = np.zeros(total + 1, np.int64)
                 for x in cuts:
-                    if _digest(words, x["at"], x["n"], k) != x["digest"]:
-                        raise ValueError("different words share their hashes; give another seed")
-                    edge[x["at"]] += 1
-                    edge[x["at"] + x["n"] + k - 1] -= 1
+                    if _digest(words, x["at"], x["n"], k) == x["digest"]:
+                        edge[x["at"]] += 1
+                        edge[x["at"] + x["n"] + k - 1] -= 1
+                    else:
+                        rejected.append({"at": x["at"], "n": x["n"]})
                 words = [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
             words_n.append(total)
             removed_n.append(total - len(words))
             kept.append(b" ".join(words).decode("utf-8", "replace"))
-        return pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(words_n, pa.int64()), pa.array(removed_n, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+            wrong.append(rejected or None)
+        own_ = [rows.column(c) for c in ("doc_id", "tag", "row")]
+        return pa.RecordBatch.from_arrays([*own_, pa.array(words_n, pa.int64()), pa.array(removed_n, pa.int64()), pa.array(kept, pa.string()), pa.array(wrong, paths_)], ["doc_id", "tag", "row", "n_words", "n_removed", "kept", "wrong"])
+
+    return map_texts(hit.unionByName(rest), run, "doc_id long, tag long, row long, n_words long, n_removed long, kept string, wrong array<struct<at: int, n: int>>")
+
+
+def cut_repeats(docs: DataFrame, k: int = 13, seed: int = 0, bits: int = 64) -> DataFrame:
+    """doc_id, n_words, n_removed and kept (the words that stay, joined by single spaces) of every row.
+
+    A word goes if a run of ``k`` words (1 or more) that covers it also starts in a document with a smaller doc_id; runs are
+    judged on the input. Words are unchanged; null, empty and wordless texts have none, and texts of fewer than k words lose
+    none. Rows with a null doc_id are kept whole and are no source. A repeated row (same doc_id and text) is cut like the
+    first; of rows that share a doc_id with different texts each is cut by itself, and none for the sake of another. A
+    document does not lose what repeats only within it. Other columns are not read.
 
-    return map_texts(hit.unionByName(rest), run, "doc_id long, n_words long, n_removed long, kept string")
+    Different runs of words that share their hashes are told apart by their words: only then are all texts read once more,
+    and the rows that this concerns cut again. ``bits`` of a word's hash are used (fewer are for tests).
+    """
+    if k < 1:
+        raise ValueError("a run has one word or more")
+    found = stored(paths(spans(stretches(docs, k, seed, bits))), "substring-paths")
+    told = digests(docs, found, k).select("doc_id", "place", "n", "digest")
+    own = _own(docs)
+    out = stored(_cut(own, told, k), "substring-kept")
+    shown = ["doc_id", "n_words", "n_removed", "kept"]
+    wrong = out.where("wrong is not null").select("doc_id", "tag", "row", "wrong")
+    if wrong.isEmpty():
+        return out.select(shown)
+    asked = wrong.select(F.col("doc_id").alias("__doc"), F.col("tag").alias("__tag"), "wrong").dropDuplicates(["__doc", "__tag"])
+    with_text = marked(own, "row", wrong).where("may")
+    with_text = with_text.join(asked.hint("merge"), (with_text["doc_id"] == asked["__doc"]) & (with_text["tag"] == asked["__tag"])).select("text", "wrong")
+    more = stored(settled(docs, with_text, k), "substring-settled")
+    anew = more.select(F.xxhash64("doc_id", F.expr(f"place & ~{_AT}")).alias("row"))
+    mended = _cut(marked(own, "row", anew).where("may").select(own.columns), told.unionByName(more), k)
+    return marked(out, "row", anew).where("not may").select(shown).unionByName(mended.select(shown))

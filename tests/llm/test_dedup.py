@@ -219,9 +219,18 @@ def test_paths_are_whole(spark):
     assert [(r.doc_id, r.place & 0xFFFFFFFF, r.n, r.src, r.src_place & 0xFFFFFFFF) for r in got] == [(2, 2, 288, 1, 50)]
 
 
-def test_words_are_compared(spark):
-    """With four bits of a word's hash, different runs meet, and the comparison of words tells."""
-    words = [f"w{i}" for i in range(300)]
-    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[::-1])), (3, " ".join(words[100:] + words[:100]))], "doc_id long, text string")
-    with pytest.raises(Exception, match="share their hashes"):
-        substrings.cut_repeats(docs, 2, bits=1).collect()
+@pytest.mark.parametrize("k, bits", [(1, 3), (2, 1), (3, 2), (13, 1)])
+def test_shared_hashes_are_settled_by_words(spark, k, bits):
+    """With so few bits of a word's hash nearly all runs meet others, whose words tell them apart."""
+    words = [f"w{i % 90}" if i % 7 else f"v{i}" for i in range(300)]
+    texts = [words, words[::-1], words[100:] + words[:100], ["x"] + words[150:], words[:40] * 2, [f"u{i}" for i in range(50)]]
+    rows = [(i, " ".join(x)) for i, x in enumerate(texts, 1)] + [(2, " ".join(words[20:60])), (9, None), (None, " ".join(words)), (3, rows_text := " ".join(texts[2])), (3, rows_text)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substrings.cut_repeats(docs, k, bits=bits).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, brute_cut(rows, k)))
+
+
+def test_nothing_is_settled_without_need(spark, monkeypatch):
+    """Whole hashes of so few words are all different: texts are not read again."""
+    monkeypatch.setattr(substrings, "settled", None)
+    assert substrings.cut_repeats(cases.docs(spark)).count() == len(cases.rows())

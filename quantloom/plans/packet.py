@@ -15,26 +15,28 @@ ROWS = {"auction": B.auction_location, "volatility": B.volatility_table, "perfor
 LISTS = {"seasonality": B.seasonal_stats, "levels": A.key_levels, "scenarios": M.scenarios, "bounds": B.return_bounds}
 
 
-def sections(bars: DataFrame) -> dict[str, DataFrame]:
-    """Each section as (symbol, section): a struct, or an array of structs in a fixed order."""
-    out = {}
-    for name, op in ROWS.items():
-        df = op(bars)
-        out[name] = df.select("symbol", F.struct(*(c for c in df.columns if c != "symbol")).alias(name))
-    for name, op in LISTS.items():
-        df = op(bars)
-        out[name] = df.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct(*(c for c in df.columns if c != "symbol")))).alias(name))
-    return out
+def gather(symbols: DataFrame, one: dict[str, DataFrame], many: dict[str, DataFrame] | None = None) -> DataFrame:
+    """``symbols`` (symbol and columns of its own, a row each) with a struct for each of ``one`` and a sorted array of structs for each of ``many``.
+
+    The sections' rows are laid under one another and grouped once, so that their number adds rows to one shuffle and no joins. A
+    section is null where a symbol has no row in it; rows of other symbols are left out. Of several rows in ``one`` the greatest counts.
+    """
+    many = many or {}
+    own = [c for c in symbols.columns if c != "symbol"]
+    x = symbols.withColumn("__own", F.lit(True))
+    for name, df in (one | many).items():
+        x = x.unionByName(df.select("symbol", F.struct(*(c for c in df.columns if c != "symbol")).alias(name)), allowMissingColumns=True)
+    lists = [F.array_sort(F.collect_list(name)).alias(name) for name in many]
+    g = x.groupBy("symbol").agg(*(F.max(c).alias(c) for c in [*own, "__own", *one]), *lists).where("__own")
+    return g.select("symbol", *own, *one, *(F.when(F.size(name) > 0, F.col(name)).alias(name) for name in many))
 
 
 def assemble(bars: DataFrame, as_of: str | None = None) -> DataFrame:
     """(symbol, as_of, sections…, errors): every section is there, null where it has no row, and then named in errors."""
     bars = bars.where(F.col("date") <= F.lit(as_of).cast("date")) if as_of else bars
-    out = bars.groupBy("symbol").agg(F.max("date").alias("as_of"))
-    parts = sections(bars)
-    for part in parts.values():
-        out = out.join(part, "symbol", "left")
-    errors = F.filter(F.array(*(F.when(F.col(n).isNull(), F.lit(n)) for n in parts)), lambda x: x.isNotNull())
+    symbols = bars.groupBy("symbol").agg(F.max("date").alias("as_of"))
+    out = gather(symbols, {name: op(bars) for name, op in ROWS.items()}, {name: op(bars) for name, op in LISTS.items()})
+    errors = F.filter(F.array(*(F.when(F.col(n).isNull(), F.lit(n)) for n in (*ROWS, *LISTS))), lambda x: x.isNotNull())
     return out.withColumn("errors", errors)
 
 

@@ -116,9 +116,9 @@ def basket(bars: DataFrame) -> DataFrame:
     return own.unionByName(rates).select("month", F.col("symbol").alias("leg"), F.col("y").alias("x"))
 
 
-def chain(s: SparkSession, d: str) -> DataFrame:
+def chain(s: SparkSession, d: str, bars: DataFrame | None = None) -> DataFrame:
     """Quotes of every brand's contracts: strikes by its parts' sizes about the newest close, mids at its volatility with a smile."""
-    b = tables.bars_smooth(s, d)
+    b = tables.bars_smooth(s, d) if bars is None else bars
     own = b.groupBy("symbol").agg(F.max_by("close", "date").alias("spot")).join(C.daily_volatility(b), "symbol")
     part = tables.table(s, d, "part")
     days = F.element_at(F.array(*map(F.lit, (30, 91, 182, 364))), (F.pmod("p_partkey", F.lit(4)) + 1).cast("int"))

@@ -34,4 +34,4 @@ def register(c: Catalog) -> None:
         return a.join(b, "i").where("a < b").groupBy("a", "b").agg((F.sum(F.col("x") * F.col("y")) / F.sqrt(F.sum(F.col("x") * F.col("x")) * F.sum(F.col("y") * F.col("y")))).alias("cosine"))
 
     c.add("embedding_cosine", centroids, "a b ~cosine", "x AS (SELECT label, i, avg(CAST(v AS DOUBLE)) AS x FROM (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE label IS NOT NULL) GROUP BY ALL)", "SELECT a.label AS a, b.label AS b, sum(a.x * b.x) / sqrt(sum(a.x * a.x) * sum(b.x * b.x)) AS cosine FROM x a JOIN x b ON a.i = b.i AND a.label < b.label GROUP BY ALL")
-    c.add("research_packet", lambda s, d: packet.packets(smooth(s, d)), "symbol as_of packet")
+    c.add("research_packet", lambda s, d: packet.packets(tables.written(smooth(s, d))), "symbol as_of packet")

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quantloom.session import shared_folder
+
 #: All columns of a line item; together they are a key, and so a total order within a day.
 SEQ = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
 
@@ -16,6 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a checkpoint in the shared folder, for tables that what follows reads several times."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    return df.checkpoint()
+
+
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """symbol, date, price, size and seq of every line item, a part's brand being the symbol."""
     part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("symbol"))

@@ -81,7 +81,8 @@ def covariance() -> Column:
 
 def correlation() -> Column:
     """Of the moments of :func:`gram`; null with fewer than two dates and where a side is constant."""
-    return F.when(F.col("n") >= 2, F.expr("greatest(-1.0D, least(1.0D, xy / nullif(sqrt(xx * yy), 0.0D)))"))
+    size = F.sqrt(F.col("xx") * F.col("yy"))
+    return F.when((F.col("n") >= 2) & (size > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("xy") / size)))  # greatest and least pass over nulls
 
 
 def against(r: DataFrame, reference: str) -> DataFrame:

@@ -33,9 +33,9 @@ class Catalog:
 
 
 def catalog() -> Catalog:
-    from quantloom.queries import bar_queries, cross_queries, filing_queries, forecast_queries, history_queries, model_queries, opinion_queries, packet_queries, pool_queries, scoring_queries, source_queries, tick_queries
+    from quantloom.queries import bar_queries, cross_queries, eigen_queries, filing_queries, forecast_queries, history_queries, model_queries, opinion_queries, packet_queries, pool_queries, scoring_queries, source_queries, tick_queries
 
     out = Catalog()
-    for module in (bar_queries, cross_queries, filing_queries, tick_queries, model_queries, scoring_queries, history_queries, source_queries, opinion_queries, forecast_queries, pool_queries, packet_queries):
+    for module in (bar_queries, cross_queries, filing_queries, tick_queries, model_queries, scoring_queries, history_queries, source_queries, opinion_queries, forecast_queries, pool_queries, packet_queries, eigen_queries):
         module.register(out)
     return out

@@ -105,7 +105,7 @@ def test_gather_is_one_shuffle(spark):
 
 
 def test_width_labels(spark):
-    x = spark.sql("SELECT id, cast(r AS double) AS r FROM VALUES (1, 1.16), (2, 1.15), (3, 0.85), (4, 0.84), (5, null), (6, 'NaN') AS t(id, r)")
+    x = spark.createDataFrame(list(enumerate([1.16, 1.15, 0.85, 0.84, None, math.nan])), "id int, r double").coalesce(1)
     assert [r.l for r in x.select(M.width_label(F.col("r")).alias("l")).collect()] == ["wider", "in_line", "in_line", "narrower", None, None]
 
 

@@ -5,7 +5,7 @@ Each is a lazy DataFrame; filters and columns chosen by a caller reach the Parqu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quantloom.session import shared_folder
@@ -26,6 +26,21 @@ def written(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def mean(name: str) -> Column:
+    """A double column's mean from a sum of decimals, which no order of rows changes; of doubles where a value is no such decimal.
+
+    Sums of doubles differ by order in their last bits, which is enough to round a mean that lies half-way up or down.
+    """
+    d = F.col(name).try_cast("decimal(38,18)")
+    exact = F.try_divide(F.try_sum(d).cast("double"), F.count(d))
+    return F.coalesce(F.when(F.count(d) == F.count(name), exact), F.avg(name))
+
+
+def rounded(x: Column, places: int) -> Column:
+    """Rounded as SQL engines round doubles, the scaled value half away from zero; F.round goes by the shortest decimal."""
+    return F.round(x * 10.0**places) / 10.0**places
+
+
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """symbol, date, price, size and seq of every line item, a part's brand being the symbol."""
     part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("symbol"))
@@ -47,7 +62,7 @@ def bars_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = table(spark, sf_dir, "lineitem")
     day = item.join(part, item.l_partkey == part.p_partkey).groupBy("symbol", F.to_date("l_shipdate").alias("date"))
     d = day.agg(
-        F.round((F.avg("l_discount") - 0.05) / 2, 9).alias("r"), F.round(F.avg("l_tax") / 10, 9).alias("t"), F.sum("l_quantity").alias("volume")
+        rounded((mean("l_discount") - 0.05) / 2, 9).alias("r"), rounded(mean("l_tax") / 10, 9).alias("t"), F.sum("l_quantity").alias("volume")
     )
     w = Window.partitionBy("symbol").orderBy("date")
     c = d.withColumn("close", F.round(100 * F.exp(F.sum("r").over(w.rowsBetween(Window.unboundedPreceding, 0))), 6))

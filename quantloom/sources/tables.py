@@ -100,4 +100,4 @@ def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("p_partkey") % 2 == 0, "call").otherwise("put")
     expiry = F.date_add(F.lit("2024-01-01").cast("date"), (F.pmod(F.col("p_partkey"), F.lit(24)) * 30 + 18).cast("int"))
     by = part.groupBy(F.col("p_brand").alias("underlying"), expiry.alias("expiry"), (F.col("p_size") * 5).cast("double").alias("strike"), kind.alias("type"))
-    return by.agg(F.count("*").alias("oi"), F.round(F.avg("p_retailprice") / 100, 4).alias("mark"))
+    return by.agg(F.count("*").alias("oi"), rounded(mean("p_retailprice") / 100, 4).alias("mark"))

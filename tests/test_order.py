@@ -27,6 +27,11 @@ def folder(request, spark, tmp_path_factory):
     return path
 
 
+def test_marks_half_way(spark, folder):
+    assert [r.mark for r in tables.contracts(spark, folder).collect()] == [9.4691]
+    assert [(r.oi, r.mark) for r in QUERIES["option_chain_rows"](spark, folder).collect()] == [(40.0, 9.9691)]
+
+
 def test_trend_of_returns_half_way(spark, folder):
     rows = QUERIES["bars_since_trend_off"](spark, folder).orderBy("date").collect()
     assert [(r.trend_on, r.since_off) for r in rows] == [(False, 0), (True, 1)]

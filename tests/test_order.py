@@ -32,6 +32,10 @@ def test_marks_half_way(spark, folder):
     assert [(r.oi, r.mark) for r in QUERIES["option_chain_rows"](spark, folder).collect()] == [(40.0, 9.9691)]
 
 
+def test_mid_of_marks_half_way(spark, folder):
+    assert [r.mid for r in QUERIES["quote_mid"](spark, folder).collect()] == [18.9382]
+
+
 def test_trend_of_returns_half_way(spark, folder):
     rows = QUERIES["bars_since_trend_off"](spark, folder).orderBy("date").collect()
     assert [(r.trend_on, r.since_off) for r in rows] == [(False, 0), (True, 1)]

@@ -59,29 +59,38 @@ def _first_copies(x: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
     return keep[np.argsort(ids[keep], kind="stable")]
 
 
+def _most(x: np.ndarray, n: int) -> np.ndarray:
+    """Places of the ``n`` largest, in order of place; of equals the first."""
+    if len(x) <= n:
+        return np.arange(len(x))
+    least = np.partition(x, -n)[-n]
+    above, equal = np.flatnonzero(x > least), np.flatnonzero(x == least)
+    return np.sort(np.r_[above, equal[: n - len(above)]])
+
+
 def _search(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, pivots: np.ndarray, norm: float, k: int, config: PermutationConfig, scale: float = 1.0) -> pd.DataFrame:
     """The k best of one shard for each query. Pivots and norm are of vectors divided by ``scale``; scores are of the vectors."""
     keep = _first_copies(x, ids, k + 1)
     ids, x = ids[keep], x[keep]
     m = min(config.prefix, len(pivots))
     near = np.argsort(-(_lifted(x / scale, norm) @ pivots.T), axis=1, kind="stable")[:, :m]
-    by = np.argsort(near.ravel(), kind="stable")  # the inverted files: rows and ranks, by pivot
-    row, rank, ends = by // m, by % m, np.searchsorted(near.ravel()[by], np.arange(len(pivots) + 1))
+    files = np.zeros((len(pivots), len(ids)), np.uint16 if m < 362 else np.int64)  # the inverted files: what a posted vector can agree on, by pivot
+    files[near, np.arange(len(ids))[:, None]] = m - np.arange(m)
     asked = np.argsort(-(np.c_[q / scale, np.zeros(len(q))] @ pivots.T), axis=1, kind="stable")[:, :m]
+    own = (m - np.arange(m)).astype(files.dtype)[:, None]
     most = max(config.least_candidates, int(len(ids) * config.candidates), 2 * k)
-    out = []
+    found, visited, met = [], np.empty((m, len(ids)), files.dtype), np.empty((min(most, len(ids)), x.shape[1]))
     for i in range(len(q)):
-        agreed = np.zeros(len(ids))  # the footrule distance is a constant less twice this
-        for r, p in enumerate(asked[i]):
-            at = slice(ends[p], ends[p + 1])
-            agreed[row[at]] += m - np.maximum(rank[at], r)
-        best = np.lexsort((np.arange(len(ids)), -agreed))[:most] if len(ids) > most else np.arange(len(ids))
+        np.minimum(np.take(files, asked[i], axis=0, out=visited, mode="clip"), own, out=visited)
+        best = _most(visited.sum(axis=0, dtype=files.dtype), most)  # the footrule distance is a constant less twice the sum
         best = best[ids[best] != qids[i]]
         with np.errstate(over="ignore", invalid="ignore"):
-            score = (x[best] * q[i]).sum(axis=1)
-        top = np.lexsort((ids[best], -np.where(np.isnan(score), -np.inf, score)))[:k]
-        out.append(pd.DataFrame({"query_id": qids[i], "vec_id": ids[best][top], "score": score[top]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            score = np.multiply(np.take(x, best, axis=0, out=met[: len(best)], mode="clip"), q[i], out=met[: len(best)]).sum(axis=1)
+        order = np.where(np.isnan(score), -np.inf, score)
+        top = np.flatnonzero(order >= np.partition(order, -k)[-k]) if len(order) > k else np.arange(len(order))
+        top = top[np.lexsort((ids[best[top]], -order[top]))[:k]]
+        found.append((np.full(len(top), qids[i]), ids[best[top]], score[top]))
+    return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*found))))) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, config: PermutationConfig = PermutationConfig()) -> DataFrame:

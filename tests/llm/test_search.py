@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 
 from quantloom.llm import ann
@@ -74,3 +76,41 @@ def test_recall_over_several_shards(spark):
     want = brute(np.arange(6000), x, np.arange(0, 6000, 20))
     assert set(got) == set(want)
     assert np.mean([len(got[q] & {i for i, _ in own}) / 20 for q, own in want.items()]) >= 0.9
+
+
+def test_candidates_are_those_of_least_footrule():
+    """Without an exact rank list of all: the reranked ones are the nearest by the orders of pivots, of equals the first."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(700, 8))
+    config = ann.PermutationConfig(pivots=20, prefix=7, candidates=0.1, least_candidates=30)
+    norm = float(np.linalg.norm(x, axis=1).max())
+    pivots = ann._lifted(x[:20], norm)
+    got = ann._search(np.arange(700), x, np.arange(5), x[:5], pivots, norm, 12, config)
+    order = lambda v: [int(p) for p in np.argsort(-(v @ pivots.T), kind="stable")[:7]]
+    lists = [order(v) for v in ann._lifted(x, norm)]
+    for i in range(5):
+        asked = order(np.r_[x[i], 0.0])
+        rank = lambda own, p: own.index(p) if p in own else 7
+        footrule = [sum(abs(rank(asked, p) - rank(own, p)) for p in range(20)) for own in lists]
+        best = [j for j in np.lexsort((np.arange(700), footrule))[:70] if j != i]
+        want = sorted(best, key=lambda j: (-(x[j] * x[i]).sum(), j))[:12]
+        assert list(got[got.query_id == i].vec_id) == want
+
+
+def test_a_query_costs_little_beside_all_products():
+    """CPU time of one thread for queries added to a full shard, against exact products with all its vectors."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(8192, 64))
+    norm = float(np.linalg.norm(x, axis=1).max())
+    ids, pivots, config = np.arange(len(x)), ann._lifted(x[:512], norm), ann.PermutationConfig()
+
+    def cpu(f):
+        t = time.thread_time()
+        f()
+        return time.thread_time() - t
+
+    of = lambda n: cpu(lambda: ann._search(ids, x, ids[:n], x[:n], pivots, norm, 20, config))
+    plain = min(cpu(lambda: [np.lexsort((ids, -(x * x[i]).sum(axis=1)))[:20] for i in range(200)]) for _ in range(3))
+    of(10)
+    added = min(of(210) for _ in range(3)) - min(of(10) for _ in range(3))
+    assert added < 1.3 * plain
